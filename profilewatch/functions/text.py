@@ -8,6 +8,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import ANSWER_KEYS, WHITESPACE, WORD_PATTERN
 from ..schemas import PROMPT_DOCUMENT
@@ -95,26 +96,33 @@ def prompt_text(payload: Column) -> Column:
     return F.coalesce(raw["text"], F.try_element_at(raw["messages"], F.lit(-1))["content"])
 
 
-def _answers(node):
-    """Texts of an answer document in the order they count; the first one wins."""
-    if isinstance(node, str):
-        yield node
-    elif isinstance(node, list):
-        yield from _answers(node[0]) if node else ()
-    elif isinstance(node, dict):
-        for child in map(node.get, ANSWER_KEYS):
-            # text counts even when empty, a nested document only when it holds some
-            yield from [child] if isinstance(child, str) else filter(None, islice(_answers(child), 1))
-        choices, message = node.get("choices"), node.get("message")
-        if isinstance(choices, list) and choices:
-            yield next(_answers(choices), "")
-        if isinstance(message, dict) and isinstance(message.get("content"), str):
-            yield message["content"]
+def _nested_answers():
+    """Arrow helper for answers below the top level.
 
-
-@F.pandas_udf("string")
-def _nested_answer(body: pd.Series) -> pd.Series:
-    return body.map(lambda text: next(_answers(json.loads(text)), ""), na_action="ignore")
+    Built in one closure so that it ships to the executors by value.
+    """
+    keys = list(ANSWER_KEYS)
+
+    def answers(node):
+        """Texts of a document in the order they count; the first one wins."""
+        if isinstance(node, str):
+            yield node
+        elif isinstance(node, list):
+            yield from answers(node[0]) if node else ()
+        elif isinstance(node, dict):
+            for child in map(node.get, keys):
+                # text counts even when empty, a nested document only when it holds some
+                yield from [child] if isinstance(child, str) else filter(None, islice(answers(child), 1))
+            choices, message = node.get("choices"), node.get("message")
+            if isinstance(choices, list) and choices:
+                yield next(answers(choices), "")
+            if isinstance(message, dict) and isinstance(message.get("content"), str):
+                yield message["content"]
+
+    def batch(body: pd.Series) -> pd.Series:
+        return body.map(lambda text: next(answers(json.loads(text)), ""), na_action="ignore")
+
+    return F.pandas_udf(batch, T.StringType())
 
 
 def response_text(body: Column) -> Column:
@@ -136,4 +144,4 @@ def response_text(body: Column) -> Column:
             .otherwise(top)
         )
     plain = F.when(document.isNull(), body).otherwise(top)
-    return F.when(body.isNotNull(), F.coalesce(plain, _nested_answer(F.when(plain.isNull(), body))))
+    return F.when(body.isNotNull(), F.coalesce(plain, _nested_answers()(F.when(plain.isNull(), body))))

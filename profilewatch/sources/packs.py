@@ -8,32 +8,30 @@ from pyspark.sql import Window
 
 from ..functions.text import escape_line, unescape_line
 
-#: ``monotonically_increasing_id`` keeps the row number within a partition here.
-_ROW_BITS = (1 << 33) - 1
+def with_position(scan: DataFrame, columns: list, name: str = "position") -> DataFrame:
+    """``columns`` of a file scan plus the 0-based row position in file order.
 
-
-def with_position(df: DataFrame, name: str = "position") -> DataFrame:
-    """0-based row position in file order, without sorting the rows.
-
-    Each partition counts its rows; the running total runs over one row per
-    partition, and every row adds its own place within the partition.
+    No row is sorted: every split of a file counts its rows, the running total runs
+    over one row per split (ordered by path and offset, because Spark schedules
+    splits by size), and a row adds its own place within its split.
     """
-    marked = df.select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_row"),
+    marked = scan.select(
+        *columns,
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = marked.groupBy("_path", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        marked.groupBy("_part")
-        .count()
-        .select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    starts = splits.select(
+        "_path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    # one row per partition of the scan: bounded by the task count
     return (
-        marked.join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + F.col("_row"))
-        .drop("_part", "_row", "_start")
+        marked.join(starts, ["_path", "_block"])
+        .withColumn(name, F.col("_start") + F.col("_row") - F.col("_first"))
+        .drop("_path", "_block", "_row", "_first", "_start")
     )
 
 
@@ -56,18 +54,18 @@ def read_pack(spark: SparkSession, folder: str) -> DataFrame:
     csv_path, txt_path = f"{folder}/pack.csv", f"{folder}/pack.txt"
     table = read_pack_csv(spark, csv_path) if _exists(spark, csv_path) else None
     if table is not None and "prompt" in table.columns:
-        listed = with_position(table.select(F.col("prompt_id").cast("string"), "prompt"))
+        listed = with_position(table, [F.col("prompt_id").cast("string"), F.col("prompt")])
     else:
         if not _exists(spark, txt_path):
             raise FileNotFoundError(f"no pack.csv or pack.txt in {folder}")
         lines = spark.read.text(txt_path).filter(F.btrim("value") != "")
-        listed = with_position(lines.select(unescape_line(F.col("value")).alias("prompt")))
+        listed = with_position(lines, [unescape_line(F.col("value")).alias("prompt")])
         if table is None:
             number = F.lpad(F.col("position").cast("string"), 2, "0")
             number = F.when(F.col("position") > 99, F.col("position").cast("string")).otherwise(number)
             listed = listed.withColumn("prompt_id", F.concat(F.lit("pack-"), number))
         else:
-            ids = with_position(table.select(F.col("prompt_id").cast("string")))
+            ids = with_position(table, [F.col("prompt_id").cast("string")])
             listed = listed.join(ids, "position")
     return listed.groupBy("prompt_id").agg(F.max_by("prompt", "position").alias("prompt"))
 
