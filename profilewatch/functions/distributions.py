@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import at_least
+
 #: erfc(z) is below 1e-18 from here on.
 _ERF_ONE_FROM = 40.0
 #: Above this many degrees of freedom the normal expansion is exact to double noise.
@@ -58,9 +60,8 @@ def chi_square_cdf(x: Column, df: int) -> Column:
         )
     else:
         tail = F.lit(0.0)
-    return F.when(x <= 0.0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), start - tail))
-    )
+    inside = start - tail
+    return F.when((x <= 0.0) | (inside < 0.0), F.lit(0.0)).when(inside > 1.0, F.lit(1.0)).otherwise(inside)
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -110,5 +111,5 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return (
         F.when(df < 1, F.lit(None).cast("double"))
         .when(df > _T_SUM_MAX_DF, normal_two_sided(z * F.sqrt(y)))
-        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - inside))
+        .otherwise(at_least(F.lit(1.0) - inside, 0.0))
     )

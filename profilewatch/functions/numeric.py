@@ -30,6 +30,11 @@ def guarded_z(x: Column, mean: Column, sd: Column) -> Column:
     return F.when(is_finite(sd) & (sd != 0.0), F.try_divide(x - mean, sd)).otherwise(F.lit(0.0))
 
 
+def at_least(x: Column, floor: float) -> Column:
+    """``x`` from ``floor`` up. ``greatest`` would turn a missing x into the floor."""
+    return F.when(x < floor, F.lit(floor)).otherwise(x)
+
+
 def variation(values: Column) -> Column:
     """Aggregate: population sd over |mean|, 0 where the mean says nothing."""
     mean = F.avg(values)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import KEEP_DIMS, SATURATION_ABOVE, SCALARS
+from .numeric import at_least
 
 
 def leading_dims(v: Column, keep: int = KEEP_DIMS) -> Column:
@@ -49,4 +50,4 @@ def scaled_norm(v: Column, weights: Column) -> Column:
     total = F.aggregate(
         F.zip_with(v, weights, lambda x, w: x * x * w), F.lit(0.0), lambda acc, x: acc + x
     )
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+    return F.sqrt(at_least(total, 0.0))
