@@ -46,7 +46,12 @@ def layer_signal_names(n_layers: int = N_LAYERS) -> list[str]:
 
 def pass_number(text: Column) -> Column:
     """Pass text as a number ('10' is after '8'); text that is no number is NULL."""
-    return F.when(text.rlike(r"^[0-9]+\z"), text).try_cast("int")
+    return text.try_cast("int")
+
+
+def is_pass_text(text: Column) -> Column:
+    """Digits only, the stricter form the vector reader asks for."""
+    return text.rlike(r"^[0-9]+\z")
 
 
 def position_rule(signal: Column) -> Column:

@@ -6,14 +6,27 @@ import json
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import ANSWER_KEYS, WHITESPACE, WORD_PATTERN
 from ..schemas import PROMPT_DOCUMENT
 
-_SPACE_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
+
+
+def _char_class(chars: str) -> str:
+    """Regex class of some characters, neighbours as ranges (few nodes match fast)."""
+    points, ranges = sorted(map(ord, chars)), []
+    for p in points:
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+_SPACE_RUN = _char_class(WHITESPACE) + "+"
 _HELD_BACKSLASH = "\u0001"
 
 
@@ -31,35 +44,28 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lower)
 
 
-def word_counts(tokens: Column) -> Column:
-    """struct(total, distinct, top) of a token array.
+def with_word_counts(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``n_words, n_distinct_words, top_word_count``.
 
-    One walk over the sorted tokens inside the row: no explode, no shuffle.
+    All inside the row, no explode and no shuffle: the sorted tokens change value
+    at the first place of each distinct word, and the gaps between those places
+    are the counts. Each step is a column of its own, so it is computed once.
     """
-    start = F.struct(
-        F.lit(None).cast("string").alias("word"),
-        F.lit(0).alias("run"),
-        F.lit(0).alias("top"),
-        F.lit(0).alias("distinct"),
-    )
-
-    def step(acc, word):
-        same = acc["word"].eqNullSafe(word)
-        run = F.when(same, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(
-            word.alias("word"),
-            run.alias("run"),
-            F.greatest(acc["top"], run).alias("top"),
-            F.when(same, acc["distinct"]).otherwise(acc["distinct"] + 1).alias("distinct"),
+    i, here = F.sequence(F.lit(0), F.size("_words") - 1), F.col("_words")
+    starts = F.filter(i, lambda k: ~F.get(here, k).eqNullSafe(F.get(here, k - 1)))
+    n, first = F.size("_words"), F.col("_starts")
+    gaps = F.transform(first, lambda at, k: F.coalesce(F.get(first, k + 1), n) - at)
+    return (
+        df.withColumn("_words", F.sort_array(words(text)))
+        .withColumn("_starts", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")))
+        .withColumns(
+            {
+                "n_words": n.cast("long"),
+                "n_distinct_words": F.size("_starts").cast("long"),
+                "top_word_count": F.coalesce(F.array_max(gaps), F.lit(0)).cast("long"),
+            }
         )
-
-    return F.aggregate(
-        F.array_sort(tokens),
-        start,
-        step,
-        lambda acc: F.struct(
-            F.size(tokens).alias("total"), acc["distinct"].alias("distinct"), acc["top"].alias("top")
-        ),
+        .drop("_words", "_starts")
     )
 
 

@@ -21,6 +21,11 @@ def vector_mean(v: Column) -> Column:
     return F.try_divide(_total(v, lambda x: x), F.size(v).cast("double"))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def vector_scalars(v: Column) -> dict[str, Column]:
     """std (population), mean, L2 norm, share of exact zeros, share beyond 0.95.
 
@@ -30,13 +35,16 @@ def vector_scalars(v: Column) -> dict[str, Column]:
         F.raise_error(F.lit("no statistics for an empty vector")).cast("array<double>")
     )
     n = F.size(v).cast("double")
-    mean = vector_mean(v)
+
+    def spread(mean: Column) -> Column:
+        return F.sqrt(_total(v, lambda x: (x - mean) * (x - mean)) / n)
+
     return dict(
         zip(
             SCALARS,
             [
-                F.sqrt(_total(v, lambda x: (x - mean) * (x - mean)) / n),
-                mean,
+                _bound(vector_mean(v), spread),
+                vector_mean(v),
                 F.sqrt(_total(v, lambda x: x * x)),
                 F.size(F.filter(v, lambda x: x == 0.0)) / n,
                 F.size(F.filter(v, lambda x: F.abs(x.cast("double")) > SATURATION_ABOVE)) / n,

@@ -54,15 +54,19 @@ def typed_cells(
     A request whose rows all lie outside the scope keeps one row with NULL layer
     and pass: it was read, so it must be countable as incomplete.
     """
-    layer, number = layer_of(F.col("signal_type")), pass_number(F.col("forward_pass_index"))
-    inside = layer.isin(list(layers)) & number.isin(list(passes))
-    scoped = rows.select(
+    # parsed in a projection of its own: the scope test below reads the columns
+    # several times, the name and the pass text are taken apart once
+    parsed = rows.select(
         "request_id",
-        F.when(inside, layer).alias("layer"),
-        F.when(inside, number).alias("pass"),
-        F.when(inside, nan_to_null(F.col(value))).alias("value"),
+        layer_of(F.col("signal_type")).alias("layer"),
+        pass_number(F.col("forward_pass_index")).alias("pass"),
+        nan_to_null(F.col(value)).alias("value"),
         order_key(tie_break).alias("_order"),
     )
+    inside = F.col("layer").isin(list(layers)) & F.col("pass").isin(list(passes))
+    scoped = parsed.select(
+        "request_id", *[F.when(inside, F.col(c)).alias(c) for c in ("layer", "pass", "value")], "_order"
+    )
     return first_per_key(scoped, ["request_id", "layer", "pass"], ["value"], "_order")
 
 

@@ -19,14 +19,17 @@ def request_by_text(
     The pack side is one row per text (a repeated text keeps its last id), so
     copies of one prompt cannot multiply.
     """
-    ours = (
-        pack.select(single_spaced(F.col("prompt")).alias("text"), "prompt_id", F.col(order).alias("_o"))
-        .groupBy(F.xxhash64("text").alias("digest"), "text")
-        .agg(F.max_by("prompt_id", "_o").alias("prompt_id"))
-    )
-    theirs = prompts.select("request_id", single_spaced(F.col("prompt")).alias("text")).withColumn(
-        "digest", F.xxhash64("text")
+    def normalised(df, *keep):
+        # never NULL, so the join adds no null test that would compute the text twice
+        text = F.coalesce(single_spaced(F.col("prompt")), F.lit(""))
+        return df.filter(F.col("prompt").isNotNull()).select(text.alias("text"), *keep).withColumn(
+            "digest", F.xxhash64("text")
+        )
+
+    ours = normalised(pack, "prompt_id", F.col(order).alias("_o")).groupBy("digest", "text").agg(
+        F.max_by("prompt_id", "_o").alias("prompt_id")
     )
+    theirs = normalised(prompts, "request_id")
     return theirs.join(ours, ["digest", "text"]).select("request_id", "prompt_id")
 
 

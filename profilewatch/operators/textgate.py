@@ -12,7 +12,7 @@ from ..constants import (
     TEXT_MIN_CHARS,
     TEXT_MIN_DISTINCT_WORD_RATIO,
 )
-from ..functions.text import longest_char_run, strip, word_counts, words
+from ..functions.text import longest_char_run, strip, with_word_counts
 
 #: Short codes of the reasons, in the order they are reported.
 REASON_CODES = ["too_short", "too_long", "char_run", "few_distinct", "top_word", "no_words"]
@@ -21,19 +21,16 @@ REASON_CODES = ["too_short", "too_long", "char_run", "few_distinct", "top_word",
 def text_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the numbers the checks are made on, all computed inside the row."""
     stripped = df.withColumn("_t", strip(F.col(text)))
-    counted = stripped.withColumn("_w", word_counts(words(F.col("_t"))))
-    total = F.col("_w.total")
+    counted = with_word_counts(stripped, F.col("_t"))
+    total = F.col("n_words")
     return counted.withColumns(
         {
             "stripped_chars": F.length("_t").cast("long"),
             "char_run": longest_char_run(F.col("_t")).cast("long"),
-            "n_words": total.cast("long"),
-            "n_distinct_words": F.col("_w.distinct").cast("long"),
-            "top_word_count": F.col("_w.top").cast("long"),
-            "distinct_ratio": F.try_divide(F.col("_w.distinct"), total),
-            "top_share": F.try_divide(F.col("_w.top"), total),
+            "distinct_ratio": F.try_divide("n_distinct_words", total),
+            "top_share": F.try_divide("top_word_count", total),
         }
-    ).drop("_t", "_w")
+    ).drop("_t")
 
 
 def text_checks(

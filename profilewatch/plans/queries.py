@@ -19,7 +19,7 @@ from ..operators import paired, panel, parity, replay, score, textgate
 from ..operators import profile as P
 from ..operators import vectors as V
 from ..operators.quantiles import exact_quantiles
-from ..session import configure, scratch_path
+from ..session import configure, scratch_path, settle
 from ..sources import manifest, packs, readers, snapshot, tables
 from ..sources.tables import (
     DENSE_LAYERS, LAYERS, PASSES, STREAM_DELAY, STREAM_EVERY, VECTOR_WINDOW, WINDOW, table,
@@ -599,7 +599,12 @@ def first_complete_prompts(spark, sf_dir):
 
 
 def _paired(spark, sf_dir):
-    docs = textgate.text_measures(table(spark, sf_dir, "documents")).select(
+    """Documents beside the first document of their language and source.
+
+    The measures are settled: a few numbers per document, read by the candidates
+    and by their controls, instead of going through the texts twice.
+    """
+    measures = textgate.text_measures(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.col("lang").alias("family"),
         F.col("source").alias("question"),
@@ -608,13 +613,12 @@ def _paired(spark, sf_dir):
         F.col("distinct_ratio").alias("z_cv"),
         "n_words",
     )
-    measured = docs.filter(F.col("z_cv").isNotNull())
+    measured = settle(measures).filter(F.col("z_cv").isNotNull())
     controls = measured.groupBy("control_id").agg(
-        F.min("doc_id").alias("control_doc"), F.min_by("z_cv", "doc_id").alias("z_cv")
+        F.min("doc_id").alias("doc_id"), F.min_by("z_cv", "doc_id").alias("z_cv")
     )
-    pairs = paired.match_controls(measured, controls.select("control_id", "z_cv"), ["z_cv"])
-    chosen = controls.select("control_doc")
-    return pairs.join(chosen, pairs["doc_id"] == chosen["control_doc"], "left_anti")
+    pairs = paired.match_controls(measured, controls, ["z_cv", "doc_id"])
+    return pairs.filter(F.col("doc_id") != F.col("control_doc_id"))
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CELL_KEYS, KEEP_DIMS, REFERENCE_SIGNAL, SCALARS
-from ..functions.signals import layer_signal_names, pass_number
+from ..functions.signals import is_pass_text, layer_signal_names, pass_number
 from ..functions.text import prompt_text
 from ..functions.vectors import leading_dims
 from ..operators.cells import first_per_key, latest_per_request
@@ -132,7 +132,9 @@ def read_last_vectors(
     number = pass_number(F.col("forward_pass_index"))
     rows = signals_in_window(
         signals, payloads, window, signal_types=[signal_type], model_id=model_id
-    ).filter((F.size("embedding_vector") > 0) & (number >= min_pass))
+    ).filter(
+        (F.size("embedding_vector") > 0) & is_pass_text(F.col("forward_pass_index")) & (number >= min_pass)
+    )
     picked = latest_per_request(
         rows.select(
             "request_id",

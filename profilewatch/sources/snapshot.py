@@ -24,11 +24,15 @@ def census(
     Rows fold to (request, layer, pass) facts first, so every distinct count is a
     plain count of groups.
     """
-    layer, number = layer_of(F.col("signal_type")), pass_number(F.col("forward_pass_index"))
-    inside = layer.isin(list(layers)) & number.isin(list(passes))
+    parsed = scalars.select(
+        "request_id",
+        layer_of(F.col("signal_type")).alias("layer"),
+        pass_number(F.col("forward_pass_index")).alias("pass"),
+    )
+    inside = F.col("layer").isin(list(layers)) & F.col("pass").isin(list(passes))
     wanted = len(set(layers)) * len(set(passes))
-    per_cell = scalars.groupBy(
-        "request_id", F.when(inside, layer).alias("layer"), F.when(inside, number).alias("pass")
+    per_cell = parsed.groupBy(
+        "request_id", F.when(inside, F.col("layer")).alias("layer"), F.when(inside, F.col("pass")).alias("pass")
     ).agg(F.count(F.lit(1)).alias("n_rows"))
     per_request = per_cell.groupBy("request_id").agg(
         F.sum("n_rows").alias("n_rows"), F.count("layer").alias("n_cells")
