@@ -8,6 +8,7 @@ matrix-vector product and one weighted norm, both in the JVM.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,17 +54,20 @@ class Manifold:
             F.col(vector).isNotNull(),
             F.raise_error(F.lit(f"vector does not have {self.dim} dimensions")).cast("array<double>"),
         )
-        x = F.zip_with(
-            checked.cast("array<double>"), _literal(self.mean), lambda a, m: a - m
-        )
+        x = checked.cast("array<double>")
         if self.mode == "diagonal":
-            return df.withColumn(out, scaled_norm(x, _literal(self.weights)))
-        # the MLlib projection does not centre, so the vectors are centred first
-        zero = F.transform(_literal(self.mean), lambda m: m * 0.0)
-        centred = df.withColumn("_x", array_to_vector(F.coalesce(x, zero)))
-        projected = self.basis.setInputCol("_x").setOutputCol("_z").transform(centred)
-        dist = scaled_norm(vector_to_array("_z"), _literal(self.weights))
-        return projected.withColumn(out, F.when(F.col(vector).isNotNull(), dist)).drop("_x", "_z")
+            centred = F.zip_with(x, _literal(self.mean), lambda a, m: a - m)
+            return df.withColumn(out, scaled_norm(centred, _literal(self.weights)))
+        # MLlib's projection does not centre; the projected mean is subtracted
+        # afterwards, on k numbers instead of on every dimension
+        offset = np.asarray(self.basis.pc.toArray()).T @ np.asarray(self.mean)
+        present = F.coalesce(x, _literal([0.0] * self.dim))
+        projected = self.basis.setInputCol("_x").setOutputCol("_z").transform(
+            df.withColumn("_x", array_to_vector(present))
+        )
+        centred = F.zip_with(vector_to_array("_z"), _literal(offset), lambda z, m: z - m)
+        dist = F.when(F.col(vector).isNotNull(), scaled_norm(centred, _literal(self.weights)))
+        return projected.withColumn(out, dist).drop("_x", "_z")
 
     def score(
         self, df: DataFrame, vector: str = "vector", ood_prob_max: float = OOD_PROB_MAX
@@ -105,7 +109,8 @@ def load_manifold(spark: SparkSession, path: str) -> Manifold:
 
 
 def _literal(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array; the optimizer folds the parse, so wide ones stay one expression."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
 def ood_verdict(

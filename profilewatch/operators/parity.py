@@ -188,6 +188,43 @@ def _by_request_pass(diff: DataFrame, column: str, atol: float, rtol: float) ->
     )
 
 
+_TOTALS = [
+    "n_local_rows", "n_platform_rows", "n_matched", "n_comparable", "n_diverged", "n_over",
+    "n_within", "n_unprinted", "sum_abs", "n_abs",
+]
+
+
+def _levels(folded: DataFrame) -> DataFrame:
+    """Totals over everything (``level`` 'all') and per pass, from one aggregation chain.
+
+    A folded row counts once for its request as a whole and once for its pass;
+    grouping by request before grouping by level makes "how many requests have
+    any" a plain count.
+    """
+    def entry(level, at):
+        return F.struct(F.lit(level).alias("level"), at.alias("at"))
+
+    entries = folded.select(
+        "*", F.explode(F.array(entry("all", F.lit(None).cast("int")), entry("pass", F.col("pass")))).alias("e")
+    )
+    per_request = entries.groupBy("request_id", "e.level", "e.at").agg(
+        *[F.sum(c).alias(c) for c in _TOTALS],
+        F.max("max_abs").alias("max_abs"),
+        F.max("max_rel").alias("max_rel"),
+        F.min(F.when(F.col("n_over") > 0, F.col("pass"))).alias("first_over"),
+    )
+    return per_request.groupBy("level", "at").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _TOTALS],
+        F.count_if(F.col("n_matched") > 0).alias("n_requests_captured"),
+        F.count_if(F.col("n_local_rows") > 0).alias("n_requests_local"),
+        F.count_if(F.col("n_diverged") > 0).alias("n_requests_diverged"),
+        F.count_if(F.col("n_unprinted") > 0).alias("n_requests_unprinted"),
+        F.max("max_abs").alias("max_abs"),
+        F.max("max_rel").alias("max_rel"),
+        F.min("first_over").alias("first_over"),
+    )
+
+
 def divergence_by_pass(
     diff: DataFrame, *, column: str = "std", atol: float = COMPARE_ATOL, rtol: float = COMPARE_RTOL
 ) -> DataFrame:
@@ -215,51 +252,34 @@ def summarise(
     diff: DataFrame, *, column: str = "std", atol: float = COMPARE_ATOL, rtol: float = COMPARE_RTOL
 ) -> DataFrame:
     """The one-row verdict; judged on comparable rows, failed by platform-only rows."""
-    folded = _by_request_pass(diff, column, atol, rtol)
-    totals = [
-        "n_local_rows", "n_platform_rows", "n_matched", "n_comparable", "n_diverged", "n_over",
-        "n_within", "n_unprinted", "sum_abs", "n_abs",
+    levels = _levels(_by_request_pass(diff, column, atol, rtol))
+    everything = F.col("level") == "all"
+    counts = [
+        "n_local_rows", "n_platform_rows", "n_matched", "n_comparable", "n_diverged", "n_over", "n_within",
+        "n_requests_captured", "n_requests_local", "n_requests_diverged", "n_requests_unprinted",
     ]
-    per_request = folded.groupBy("request_id").agg(
-        *[F.sum(c).alias(c) for c in totals],
-        F.max("max_abs").alias("max_abs"),
-        F.max("max_rel").alias("max_rel"),
-        F.min(F.when(F.col("n_over") > 0, F.col("pass"))).alias("first_over"),
-    )
-    one = per_request.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals],
-        F.count_if(F.col("n_matched") > 0).alias("n_requests_captured"),
-        F.count_if(F.col("n_local_rows") > 0).alias("n_requests_local"),
-        F.count_if(F.col("n_diverged") > 0).alias("n_requests_decode_diverged"),
-        F.count_if(F.col("n_unprinted") > 0).alias("n_requests_without_fingerprint"),
-        F.max("max_abs").alias("max_abs"),
-        F.max("max_rel").alias("max_rel"),
-        F.min("first_over").alias("first_over"),
-    )
-    by_pass = divergence_by_pass(diff, column=column, atol=atol, rtol=rtol)
-    known = F.col("pass").isNotNull()
-    # one entry per pass number
-    maps = by_pass.agg(
-        F.array_sort(F.collect_list(F.when(known & (F.col("n_comparable") > 0), F.col("pass")))).alias(
-            "passes"
+    compared = (F.col("level") == "pass") & F.col("at").isNotNull() & (F.col("n_comparable") > 0)
+    diverged = (F.col("level") == "pass") & F.col("at").isNotNull() & (F.col("n_requests_diverged") > 0)
+
+    def listed(condition, value):
+        # one entry per pass number
+        return F.array_sort(F.collect_list(F.when(condition, value)))
+
+    one = levels.agg(
+        *[F.coalesce(F.max(F.when(everything, F.col(c))), F.lit(0)).alias(c) for c in counts],
+        *[
+            F.max(F.when(everything, F.col(c))).alias(c)
+            for c in ("sum_abs", "n_abs", "max_abs", "max_rel", "first_over")
+        ],
+        listed(compared, F.col("at")).alias("passes"),
+        F.map_from_entries(listed(compared, F.struct("at", "max_abs"))).alias("max_abs_d_by_pass"),
+        F.map_from_entries(listed(diverged, F.struct("at", "n_requests_diverged"))).alias(
+            "decode_divergence_by_pass"
         ),
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(F.when(known & (F.col("n_comparable") > 0), F.struct("pass", "max_abs_d")))
-            )
-        ).alias("max_abs_d_by_pass"),
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(
-                    F.when(known & (F.col("n_requests_diverged") > 0), F.struct("pass", "n_requests_diverged"))
-                )
-            )
-        ).alias("decode_divergence_by_pass"),
     )
     within = (F.col("n_comparable") > 0) & (F.col("n_within") == F.col("n_comparable"))
     platform_only = F.col("n_platform_rows") - F.col("n_matched")
-    row = one.withColumn("_maps", maps.select(F.struct("*").alias("m")).scalar())
-    return row.select(
+    return one.select(
         "n_local_rows",
         "n_platform_rows",
         "n_matched",
@@ -277,10 +297,10 @@ def summarise(
         F.lit(rtol).alias("rtol"),
         "n_comparable",
         F.col("n_diverged").alias("n_decode_diverged"),
-        "n_requests_decode_diverged",
-        "n_requests_without_fingerprint",
+        F.col("n_requests_diverged").alias("n_requests_decode_diverged"),
+        F.col("n_requests_unprinted").alias("n_requests_without_fingerprint"),
         (within & (platform_only == 0)).alias("passed"),
-        F.col("_maps.passes").alias("passes"),
-        F.col("_maps.max_abs_d_by_pass").alias("max_abs_d_by_pass"),
-        F.col("_maps.decode_divergence_by_pass").alias("decode_divergence_by_pass"),
+        "passes",
+        "max_abs_d_by_pass",
+        "decode_divergence_by_pass",
     )

@@ -25,70 +25,66 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         if not 0.0 <= p <= 1.0:
             raise ValueError("quantile must be in [0, 1]")
     values = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n = values.count()
-    if n == 0:
-        return [None for _ in probabilities]
-    ranks = {p: (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in probabilities}
-
-    found: dict[float, tuple[float, float]] = {}
+    found: dict[float, float] = {}
     margin = 4.0 / _ACCURACY
-    while len(found) < len(ranks):
-        open_ps = [p for p in ranks if p not in found]
-        low = [max(0.0, p - margin) for p in open_ps]
-        high = [min(1.0, p + margin) for p in open_ps]
-        if margin >= 1.0:
-            ends = values.agg(F.min("x"), F.max("x")).first()
-            brackets = [(ends[0], ends[1]) for _ in open_ps]
-        else:
-            sketch = values.agg(
-                F.percentile_approx("x", low + high, _ACCURACY).alias("b")
-            ).first()["b"]
-            brackets = list(zip(sketch[: len(open_ps)], sketch[len(open_ps) :]))
-        found.update(_pick(values, open_ps, brackets, ranks))
+    while len(found) < len(set(probabilities)):
+        missing = [p for p in dict.fromkeys(probabilities) if p not in found]
+        n, brackets = _brackets(values, missing, margin)
+        if n == 0:
+            return [None for _ in probabilities]
+        found.update(_inside(values, n, brackets))
         margin *= 8.0
-
-    result = []
-    for p in probabilities:
-        lo, hi = found[p]
-        result.append(lo + (hi - lo) * (p * (n - 1) - ranks[p][0]))
-    return result
+    return [found[p] for p in probabilities]
 
 
-def _pick(values, ps, brackets, ranks):
-    """Values at the wanted ranks, for every bracket that contains both of its ranks."""
-    below = values.agg(
-        *[F.count_if(F.col("x") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)]
+def _brackets(values: DataFrame, ps: list[float], margin: float):
+    """Row count and, per probability, two values that should enclose its ranks."""
+    low, high = [max(0.0, p - margin) for p in ps], [min(1.0, p + margin) for p in ps]
+    row = values.agg(
+        F.count("x").alias("n"),
+        F.min("x").alias("lo"),
+        F.max("x").alias("hi"),
+        F.percentile_approx("x", low + high, _ACCURACY).alias("sketch"),
     ).first()
+    if margin >= 1.0 or not row["n"]:
+        return row["n"], {p: (row["lo"], row["hi"]) for p in ps}
+    return row["n"], {p: (a, b) for p, a, b in zip(ps, row["sketch"], row["sketch"][len(ps) :])}
+
+
+def _inside(values: DataFrame, n: int, brackets: dict[float, tuple[float, float]]) -> dict[float, float]:
+    """Quantiles whose two ranks lie inside their bracket, in one pass.
+
+    Everything below a bracket folds to one row, so the running count is a rank.
+    """
     table = F.array(
         *[
             F.struct(F.lit(i).alias("i"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-            for i, (lo, hi) in enumerate(brackets)
+            for i, (lo, hi) in enumerate(brackets.values())
         ]
     )
-    inside = F.filter(table, lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"]))
-    folded = (
-        values.select("x", F.explode(inside).alias("b"))
-        .groupBy(F.col("b.i").alias("i"), "x")
-        .agg(F.count(F.lit(1)).alias("n"))
+    x = F.col("x")
+    hits = F.transform(
+        F.filter(table, lambda b: x <= b["hi"]),
+        lambda b: F.struct(b["i"].alias("i"), F.when(x >= b["lo"], x).alias("x")),
     )
-    upto = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = folded.withColumn("last", F.sum("n").over(upto) - 1)
-    wanted = []
-    for i, p in enumerate(ps):
-        wanted += [(i, r - below[i]) for r in ranks[p]]
+    folded = values.select(F.inline(hits)).groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("i").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = folded.select("i", "x", "n", F.sum("n").over(upto).alias("upto"))
+    wanted = {
+        i: (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for i, p in enumerate(brackets)
+    }
     hit = F.lit(False)
-    for i, r in wanted:
-        hit = hit | (
-            (F.col("i") == i) & (F.col("last") >= r) & (F.col("last") - F.col("n") < r)
-        )
-    # at most two rows per requested quantile
-    rows = ranked.filter(hit).collect()
+    for i, ranks in wanted.items():
+        for r in ranks:
+            hit = hit | ((F.col("i") == i) & (F.col("upto") - F.col("n") <= r) & (r < F.col("upto")))
+    # at most two rows per quantile
+    rows = ranked.filter(hit & x.isNotNull()).collect()
     found = {}
-    for i, p in enumerate(ps):
-        at = []
-        for r in ranks[p]:
-            r -= below[i]
-            at += [row["x"] for row in rows if row["i"] == i and row["last"] - row["n"] < r <= row["last"]]
-        if len(at) == 2:
-            found[p] = (at[0], at[1])
+    for i, p in enumerate(brackets):
+        lo, hi = (
+            [row["x"] for row in rows if row["i"] == i and row["upto"] - row["n"] <= r < row["upto"]]
+            for r in wanted[i]
+        )
+        if lo and hi:
+            found[p] = lo[0] + (hi[0] - lo[0]) * (p * (n - 1) - wanted[i][0])
     return found

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import KEEP_DIMS, MAX_PASSES, REFERENCE_SIGNAL
 from ..functions.signals import pass_number, position_rule
-from ..functions.vectors import leading_dims, vector_scalars
+from ..functions.vectors import leading_dims, vector_scalars, vector_scalars_arrow
 from .cells import latest_per_request, within_pass_budget
 
 _KEYS = ["request_id", "signal_type", "forward_pass_index"]
@@ -54,11 +54,9 @@ def capture_rows(
 ) -> DataFrame:
     """Hidden states to scalar rows: budgeted passes, reduced positions, five scalars."""
     reduced = reduce_positions(within_pass_budget(hidden, max_passes), rule)
-    return reduced.select(
-        *_KEYS,
-        *scalar_columns(leading_dims(F.col("vector"), keep_dims)),
-        "n_positions",
-        F.size("vector").cast("long").alias("dim"),
+    kept = leading_dims(F.col("vector"), keep_dims)
+    return reduced.withColumn("_s", vector_scalars_arrow(kept)).select(
+        *_KEYS, "_s.*", "n_positions", F.size("vector").cast("long").alias("dim")
     )
 
 

@@ -115,17 +115,16 @@ def refresh_manifest(previous: DataFrame, current: DataFrame) -> DataFrame:
 
     No previous record gives no record: there is nothing to refresh.
     """
-    old = previous.select(*[F.col(c).alias(f"_old_{c}") for c in CARRIED])
-    # both sides are single rows
-    one = F.lit(1)
-    joined = current.withColumn("_k", one).join(F.broadcast(old.withColumn("_k", one)), "_k")
+    # a manifest is one row, so its carried fields come in as one struct
+    carried = previous.select(F.struct(*CARRIED).alias("old")).scalar()
+    joined = current.withColumn("_old", carried).filter(F.col("_old").isNotNull())
 
     def empty(c):
         return F.col(c).isNull() if c in ("model_id", "source_created_utc") else F.size(c) == 0
 
     return joined.select(
         *[
-            F.when(empty(c), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in CARRIED else F.col(c)
+            F.when(empty(c), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) if c in CARRIED else F.col(c)
             for c in current.columns
         ]
     )

@@ -95,6 +95,20 @@ def test_five_scalars_by_hand(spark):
         spark.createDataFrame([([],)], "v array<double>").select(*V.scalar_columns(F.col("v"))).collect()
 
 
+def test_arrow_scalars_equal_the_native_ones(spark):
+    from profilewatch.functions.vectors import vector_scalars_arrow
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.where(rng.random(n) < 0.2, 0.0, rng.normal(size=n))])
+            for i, n in enumerate([1, 7, 7, 64, 33, 64])]
+    df = spark.createDataFrame(rows, "i int, v array<float>")
+    native = df.select("i", *V.scalar_columns(F.col("v"))).orderBy("i").collect()
+    arrow = df.withColumn("s", vector_scalars_arrow(F.col("v"))).select("i", "s.*").orderBy("i").collect()
+    np.testing.assert_allclose(np.array(arrow), np.array(native), rtol=1e-12, atol=1e-15)
+    with pytest.raises(Exception, match="empty vector"):
+        spark.createDataFrame([([],)], "v array<float>").select(vector_scalars_arrow(F.col("v"))).collect()
+
+
 def test_positions_average_for_the_embedding_and_take_the_first_otherwise(spark):
     rows = [("r", s, str(p), pos, [float(pos), 1.0, 2.0 * pos]) for s in (EMBED, LAYER + "0") for p in (1, 9)
             for pos in (2, 0, 1)]

@@ -9,8 +9,8 @@ from tests.compare import connect, differences
 
 #: Not expressible in the oracle's SQL: an eigenbasis, digests of the folder's files.
 NO_ORACLE = {"ood_scores", "manifest_verify", "manifest_refresh"}
-#: Answers of unknown nesting; everything else stays in the JVM.
-USES_PYTHON = {"response_text"}
+#: Answers of unknown nesting, numpy on wide vectors; everything else stays in the JVM.
+USES_PYTHON = {"response_text"}  # captured_rows_roundtrip reads what Python has already written
 
 
 @pytest.fixture(scope="module")
