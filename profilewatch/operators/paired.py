@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..constants import PACK_SIZE
 from ..functions.distributions import t_two_sided
+from .joins import join_hot
 
 
 def match_controls(candidates: DataFrame, controls: DataFrame, measures: list[str]) -> DataFrame:
     """Each candidate beside its control: ``control_<m>`` and ``d<m>`` per measure.
 
-    ``controls`` holds one row per ``control_id``. Whether it is broadcast is left
-    to its run-time size; beyond that a hot control is split by the skew join.
+    ``controls`` holds one row per ``control_id``; it is broadcast if its run-time
+    size allows, else the candidates of a hot control are split.
     """
     right = controls.select("control_id", *[F.col(m).alias(f"control_{m}") for m in measures])
-    return candidates.join(right, "control_id").withColumns(
+    return join_hot(candidates, right, ["control_id"]).withColumns(
         {f"d{m}": F.col(m) - F.col(f"control_{m}") for m in measures}
     )
 

@@ -20,6 +20,7 @@ from ..constants import (
 from ..functions.numeric import nan_to_null
 from ..functions.signals import pass_number
 from .cells import order_key
+from .joins import join_hot
 
 _SIDES = ("local", "platform")
 
@@ -104,7 +105,7 @@ def comparability(pairs: DataFrame, token_match_tol: float = TOKEN_MATCH_TOL) ->
     seen = pairs.select("request_id", pass_number(F.col("forward_pass_index")).alias("pass")).filter(
         F.col("pass").isNotNull()
     ).distinct()
-    flagged = seen.join(_token_flags(pairs, token_match_tol), "request_id", "left")
+    flagged = join_hot(seen, _token_flags(pairs, token_match_tol), ["request_id"], "left")
     return flagged.select("request_id", "pass", *_flag_columns())
 
 
@@ -130,9 +131,8 @@ def diff_rows(
     """Outer comparison with deltas, origin and comparability of every row."""
     pairs = paired_rows(local, platform, passes)
     flags = _token_flags(pairs, token_match_tol)
-    joined = pairs.withColumn("pass", pass_number(F.col("forward_pass_index"))).join(
-        flags, "request_id", "left"
-    )
+    numbered = pairs.withColumn("pass", pass_number(F.col("forward_pass_index")))
+    joined = join_hot(numbered, flags, ["request_id"], "left")
     captured = F.col("_local") & F.col("_platform")
     side = (
         F.when(captured, F.lit("both"))

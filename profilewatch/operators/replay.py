@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import WINDOW_PAD_SECONDS
 from ..functions.text import single_spaced
+from .joins import join_hot
 
 
 def request_by_text(
@@ -14,23 +15,20 @@ def request_by_text(
 ) -> DataFrame:
     """``request_id, prompt_id`` of requests whose prompt is a pack prompt.
 
-    Prompts are equal up to white space. The join runs on a 64-bit digest of the
-    text and confirms on the text itself, so long texts are compared, not sorted.
-    The pack side is one row per text (a repeated text keeps its last id), so
-    copies of one prompt cannot multiply.
+    Prompts are equal up to white space. The pack side is one row per text (a
+    repeated text keeps its last id), so copies of one prompt cannot multiply, and
+    requests that ask the same are split over tasks.
     """
+
     def normalised(df, *keep):
         # never NULL, so the join adds no null test that would compute the text twice
         text = F.coalesce(single_spaced(F.col("prompt")), F.lit(""))
-        return df.filter(F.col("prompt").isNotNull()).select(text.alias("text"), *keep).withColumn(
-            "digest", F.xxhash64("text")
-        )
+        return df.filter(F.col("prompt").isNotNull()).select(text.alias("text"), *keep)
 
-    ours = normalised(pack, "prompt_id", F.col(order).alias("_o")).groupBy("digest", "text").agg(
+    ours = normalised(pack, "prompt_id", F.col(order).alias("_o")).groupBy("text").agg(
         F.max_by("prompt_id", "_o").alias("prompt_id")
     )
-    theirs = normalised(prompts, "request_id")
-    return theirs.join(ours, ["digest", "text"]).select("request_id", "prompt_id")
+    return join_hot(normalised(prompts, "request_id"), ours, ["text"]).select("request_id", "prompt_id")
 
 
 def restamp(rows: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import METRIC_LAYERS, METRIC_PASSES
 from ..functions.signals import layer_of, pass_number
-from .readers import Window, read_prompts, read_signals, write_csv
+from .readers import Window, read_prompts, read_signals, read_table, write_csv
 
 
 def census(
@@ -65,7 +65,10 @@ def freeze(
     scalars = read_signals(signals, payloads, window, model_id=model_id)
     write_csv(prompts, f"{folder}/prompts.csv")
     write_csv(scalars, f"{folder}/scalars.csv")
-    return census(prompts, scalars, **scope)
+    # counted on what landed, not by reading the window again
+    spark = signals.sparkSession
+    frozen = spark.read.csv(f"{folder}/prompts.csv", header=True, multiLine=True, quote='"', escape='"')
+    return census(frozen, read_table(spark, f"{folder}/scalars.csv"), **scope)
 
 
 def capture_description(rows: DataFrame, requests: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilewatch.operators import cells as C
-from profilewatch.operators import parity
+from profilewatch.operators import paired, parity, replay
 from profilewatch.operators import profile as P
 from profilewatch.sources import readers
 from tests.planted import EMBED, LAYER, SCOPE
@@ -82,26 +82,57 @@ def test_copies_of_a_hot_request_fold_before_the_shuffle(spark, stored):
     assert hot["count"] <= len(SCOPE["layers"]) * len(SCOPE["passes"]) + 1
 
 
-def test_a_hot_request_is_split_in_the_semi_join(spark, stored):
+SMALL_SHUFFLES = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.files.maxPartitionBytes": "64KB",
+    "spark.sql.files.openCostInBytes": "1KB",
+}
+
+
+@pytest.fixture
+def small_shuffles(spark):
+    """Thresholds scaled down, so that the planted hot keys count as skewed."""
+    old = set_conf(spark, SMALL_SHUFFLES)
+    yield
+    restore(spark, old)
+
+
+def test_a_hot_request_is_split_in_the_semi_join(spark, stored, small_shuffles):
     signals, payloads = stored
-    old = set_conf(spark, {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.files.maxPartitionBytes": "64KB",
-        "spark.sql.files.openCostInBytes": "1KB",
-    })
-    try:
-        rows = readers.signals_in_window(signals.repartition(16), payloads, WINDOW)
-        cells = C.typed_cells(rows, **SCOPE)
-        got = cells.collect()
-        assert "skew=true" in plan_of(cells)
-        plain = C.typed_cells(signals, **SCOPE).collect()
-        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain), key=repr)
-    finally:
-        restore(spark, old)
+    rows = readers.signals_in_window(signals.repartition(16), payloads, WINDOW)
+    cells = C.typed_cells(rows, **SCOPE)
+    got = cells.collect()
+    assert "skew=true" in plan_of(cells)
+    plain = C.typed_cells(signals, **SCOPE).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain), key=repr)
+
+
+def test_copies_of_one_prompt_are_split_in_the_text_join(spark, small_shuffles):
+    same = F.lit("the same question " * 20)
+    prompts = spark.range(0, 6000, 1, 16).select(
+        F.col("id").cast("string").alias("request_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("question "), F.col("id").cast("string"))).otherwise(same).alias("prompt"),
+    )
+    pack = prompts.select(F.col("request_id").alias("prompt_id"), "prompt", F.col("request_id").cast("int").alias("position"))
+    found = replay.request_by_text(prompts, pack)
+    rows = found.collect()
+    assert "skew=true" in plan_of(found)
+    assert len(rows) == 6000 and sum(r["prompt_id"] == "5999" for r in rows) == 4000
+
+
+def test_candidates_of_one_control_are_split(spark, small_shuffles):
+    candidates = spark.range(0, 60_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(1)).cast("string").alias("control_id"),
+        F.col("id").cast("double").alias("z_cv"),
+        F.concat(F.lit("p"), F.sha2(F.col("id").cast("string"), 256)).alias("prompt_id"),
+    )
+    controls = candidates.groupBy("control_id").agg(F.min("z_cv").alias("z_cv"))
+    pairs = paired.match_controls(candidates, controls, ["z_cv"])
+    assert len(pairs.collect()) == 60_000 and "skew=true" in plan_of(pairs)
 
 
 def test_two_captures_meet_in_one_exchange(stored):
@@ -118,3 +149,17 @@ def test_fingerprint_branch_reads_only_embedding_rows(stored):
     signals = stored[0]
     plan = plan_of(parity.diff_rows(signals, signals))
     assert f"EqualTo(signal_type,{EMBED})" in plan
+
+
+def test_rows_of_a_hot_request_are_split_in_the_flag_join(spark, small_shuffles):
+    rows = spark.range(0, 40_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise(F.lit("hot")).alias("request_id"),
+        F.when(F.col("id") % 100 < 3, F.lit(EMBED)).otherwise(F.concat(F.lit(LAYER), F.col("id").cast("string")))
+        .alias("signal_type"),
+        (F.col("id") % 6 + 1).cast("string").alias("forward_pass_index"),
+        F.col("id").cast("double").alias("std"),
+        "id",
+    )
+    diff = parity.diff_rows(rows, rows)
+    assert len(diff.collect()) == rows.select("request_id", "signal_type", "forward_pass_index").distinct().count()
+    assert "skew=true" in plan_of(diff)
