@@ -15,6 +15,9 @@ STATISTICS = [
 ]
 
 
+_BAND_SCALARS = ["cv_mean", "cv_sd", "slope_mean", "slope_sd"]
+
+
 def _on(axis: str, value: Column) -> Column:
     return F.when(F.col("axis") == axis, value)
 
@@ -83,6 +86,7 @@ def request_statistics(
     """
     means = axis_means(cells)
     if band is not None:
+        # the band is read here once; its scalars ride along to the request row
         ref = band.row()
         at = F.array_position(F.col("_band.layers"), F.col("at").cast("int")).cast("int")
         healthy = F.when((F.col("axis") == "layer") & (at > 0), at)
@@ -90,6 +94,7 @@ def request_statistics(
             *means.columns,
             F.get(F.col("_band.profile_mean"), healthy - 1).alias("band_mean"),
             F.get(F.col("_band.profile_sd"), healthy - 1).alias("band_sd"),
+            *[F.col(f"_band.{c}").alias(f"_{c}") for c in _BAND_SCALARS],
         )
 
     has_value = F.col("n_values") > 0
@@ -115,6 +120,7 @@ def request_statistics(
         measures += [
             correlation(v, _on("layer", F.col("band_mean"))).alias("corr"),
             F.coalesce(F.max(F.abs(finite(z))), F.lit(0.0)).alias("max_abs_z_layer"),
+            *[F.max(f"_{c}").alias(f"_{c}") for c in _BAND_SCALARS],
         ]
     if arrays:
         def laid_out(axis, wanted, value):
@@ -129,14 +135,12 @@ def request_statistics(
 
     stats = means.groupBy("request_id").agg(*measures)
     if band is not None:
-        stats = stats.withColumn("_band", ref).withColumns(
+        stats = stats.withColumns(
             {
-                "z_cv": guarded_z(F.col("cv"), F.col("_band.cv_mean"), F.col("_band.cv_sd")),
-                "z_slope": guarded_z(
-                    F.col("slope"), F.col("_band.slope_mean"), F.col("_band.slope_sd")
-                ),
+                "z_cv": guarded_z(F.col("cv"), F.col("_cv_mean"), F.col("_cv_sd")),
+                "z_slope": guarded_z(F.col("slope"), F.col("_slope_mean"), F.col("_slope_sd")),
             }
-        ).drop("_band")
+        ).drop(*[f"_{c}" for c in _BAND_SCALARS])
     enough = F.col("n_passes_used") >= min_passes
     kept = ["request_id", "n_passes_used", "n_cells"]
     return stats.select(
