@@ -232,8 +232,8 @@ def remove_repeats(
     Texts below ``width`` words keep everything. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ranges = max(LEAST_RANGES, 2 * shuffle_width(spark))
-    groups = max(8, 4 * shuffle_width(spark))
+    ranges = max(LEAST_RANGES, shuffle_width(spark))
+    groups = max(8, 2 * shuffle_width(spark))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scattered = docs.mapInArrow(_scatter(width, ranges, groups), PACKED)
     found = scattered.groupBy("kind", "part").applyInArrow(_repeats(ranges, groups), PACKED)
