@@ -3,18 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring
+from . import exact, mixing, substring, token_ids, url_filter
 from .tables import table
 
+#: File of the public vocabulary that op2 encodes with.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return substring.remove_repeats(docs, width=13, with_text=False).select(*substring.DIGEST)
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_ids.token_files(docs, vocabulary_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_ids": op2_token_ids,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_url_filter": op7_url_filter,
 }
 
 ORACLE: dict[str, str] = {}
