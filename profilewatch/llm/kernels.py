@@ -123,12 +123,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(lo, hi - lo)
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the first word of every row (one more than rows)."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    space = SPACE[buf]
+    space = breaks[buf]
     edge = np.empty(len(buf) + 1, dtype=bool)
     edge[0] = edge[-1] = True
     edge[1:-1] = space[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, substring, token_ids, url_filter
+from . import decontam, exact, langid, mixing, substring, token_ids, url_filter
 from .tables import table
 
 #: File of the public vocabulary that op2 encodes with.
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
@@ -42,12 +46,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_ids": op2_token_ids,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
