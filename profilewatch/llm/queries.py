@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html_text, langid, mixing, substring, token_ids, url_filter
+from . import decontam, exact, html_text, langid, mixing, substring, suffix, token_ids, url_filter
 from .tables import table
 
 #: File of the public vocabulary that op2 encodes with.
@@ -28,6 +28,11 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_files(docs, vocabulary_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix.remove_repeats(docs, length=200, with_text=False).select(*suffix.DIGEST)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_ids": op2_token_ids,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
