@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html_text, langid, mixing, substring, suffix, token_ids, url_filter
+from . import decontam, exact, html_text, langid, minhash, mixing, substring, suffix, token_ids, url_filter
 from .tables import table
 
 #: File of the public vocabulary that op2 encodes with.
@@ -51,6 +51,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
 }
