@@ -73,8 +73,11 @@ def fit_band(
     Fitted on ``requests`` if given, else on the complete ones. Fewer than two
     requests, or a chosen request with too few passes, fail the job.
     """
+    absent = None
     if requests is not None:
-        cells = cells.join(requests.select("request_id").distinct(), "request_id", "left_semi")
+        named = requests.select("request_id").distinct()
+        absent = named.join(cells, "request_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+        cells = cells.join(named, "request_id", "left_semi")
     members = request_statistics(
         cells, layers=layers, passes=passes, min_passes=min_passes, arrays=True
     )
@@ -106,15 +109,16 @@ def fit_band(
     def scalar(name, value):
         return F.max(F.when(F.col("name") == name, F.col(value)))
 
-    n = F.coalesce(scalar("cv", "n"), F.lit(0))
-    checked = (
+    n = F.coalesce(scalar("cv", "n"), F.lit(0)).cast("long")
+    # the guard is a filter: it runs whatever columns a reader picks
+    sound = (
         F.when(
-            F.max("n_short") > 0, F.raise_error(F.lit(f"need at least {min_passes} passes with data"))
+            F.col("n_short") > 0, F.raise_error(F.lit(f"need at least {min_passes} passes with data"))
         )
-        .when(n < 2, F.raise_error(F.lit("need at least 2 requests to fit a band")))
-        .otherwise(n)
-        .cast("long")
+        .when(F.col("n_requests") < 2, F.raise_error(F.lit("need at least 2 requests to fit a band")))
     )
+    if absent is not None:
+        sound = sound.when(absent.scalar() > 0, F.raise_error(F.lit("a named request has no rows")))
     # one entry per metric layer
     by_layer = F.array_sort(
         F.collect_list(F.when(F.col("name") == "layer", F.struct("at", "mean", "sd")))
@@ -125,9 +129,12 @@ def fit_band(
             scalar("cv", "sd").alias("cv_sd"),
             scalar("slope", "mean").alias("slope_mean"),
             scalar("slope", "sd").alias("slope_sd"),
-            checked.alias("n_requests"),
+            n.alias("n_requests"),
+            F.coalesce(F.max("n_short"), F.lit(0)).alias("n_short"),
             by_layer.alias("by_layer"),
-        ).select(
+        )
+        .filter(sound.otherwise(F.lit(True)).cast("boolean"))
+        .select(
             "cv_mean",
             "cv_sd",
             "slope_mean",

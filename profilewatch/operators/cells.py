@@ -6,15 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import MAX_PASSES, METRIC_LAYERS, METRIC_PASSES
 from ..functions.numeric import nan_to_null
 from ..functions.signals import layer_of, pass_number
 
 
-def order_key(tie_break: str | Column) -> Column:
-    """A row without an order value loses to every row that has one."""
+def order_key(rows: DataFrame, tie_break: str | Column) -> Column:
+    """A row without an order value loses to every row that has one.
+
+    Whole numbers and timestamps become one long, which a hash aggregation holds in
+    place; any other type is compared as it is.
+    """
     key = F.col(tie_break) if isinstance(tie_break, str) else tie_break
+    kind = rows.select(key.alias("k")).schema["k"].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        key = F.unix_micros(key.cast("timestamp"))
+    elif not isinstance(kind, T.IntegralType):
+        return F.struct(key.isNull().alias("absent"), key.alias("key"))
     return F.coalesce(key.cast("long"), F.lit((1 << 63) - 1))
 
 
@@ -27,7 +37,7 @@ def first_per_key(
     hash aggregation, copies collapse before the shuffle, and a key that holds a
     third of the table arrives as one row per task.
     """
-    rank = order_key(tie_break)
+    rank = order_key(rows, tie_break)
     return rows.groupBy(*keys).agg(*[F.min_by(F.col(v), rank).alias(v) for v in values])
 
 
@@ -35,9 +45,9 @@ def latest_per_request(
     rows: DataFrame, values: Sequence[str], pass_column: str = "pass", tie_break: str = "id"
 ) -> DataFrame:
     """Per request the values at its highest pass, lowest id among equals."""
-    rank = F.struct(F.col(pass_column), -order_key(tie_break))
+    rank = F.struct((-F.col(pass_column)).alias("late"), order_key(rows, tie_break).alias("order"))
     return rows.groupBy("request_id").agg(
-        F.max_by(F.struct(*values), rank).alias("picked")
+        F.min_by(F.struct(*values), rank).alias("picked")
     ).select("request_id", "picked.*")
 
 
@@ -61,7 +71,7 @@ def typed_cells(
         layer_of(F.col("signal_type")).alias("layer"),
         pass_number(F.col("forward_pass_index")).alias("pass"),
         nan_to_null(F.col(value)).alias("value"),
-        order_key(tie_break).alias("_order"),
+        order_key(rows, tie_break).alias("_order"),
     )
     inside = F.col("layer").isin(list(layers)) & F.col("pass").isin(list(passes))
     scoped = parsed.select(

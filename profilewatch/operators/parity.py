@@ -28,10 +28,13 @@ _SIDES = ("local", "platform")
 def comparable_columns(rows: DataFrame, request_id: str | None = None, tie_break: str = "id") -> DataFrame:
     """Keys as text, scalars as doubles, missing scalars NULL, anything else dropped.
 
-    ``request_id`` relabels the whole frame. Copies of a key are resolved later,
-    by the lowest ``tie_break``, where the frame has one.
+    ``request_id`` relabels the whole frame. Copies of a key are resolved later, by the
+    lowest ``tie_break``: the stored id, or the row's position in its file
+    (``readers.read_capture``). A frame without one has no first copy and is refused.
     """
     have = set(rows.columns)
+    if tie_break not in have:
+        raise ValueError(f"a capture needs a column {tie_break!r} that orders the copies of a key")
     return rows.select(
         (F.lit(request_id) if request_id is not None else F.col("request_id").cast("string")).alias(
             "request_id"
@@ -42,7 +45,7 @@ def comparable_columns(rows: DataFrame, request_id: str | None = None, tie_break
             (nan_to_null(F.col(c).try_cast("double")) if c in have else F.lit(None).cast("double")).alias(c)
             for c in SCALARS
         ],
-        (order_key(tie_break) if tie_break in have else F.lit(0).cast("long")).alias("_order"),
+        order_key(rows, tie_break).alias("_order"),
     )
 
 

@@ -28,13 +28,16 @@ def request_by_text(
     ours = normalised(pack, "prompt_id", F.col(order).alias("_o")).groupBy("text").agg(
         F.max_by("prompt_id", "_o").alias("prompt_id")
     )
-    return join_hot(normalised(prompts, "request_id"), ours, ["text"]).select("request_id", "prompt_id")
+    found = join_hot(normalised(prompts, "request_id"), ours, ["text"])
+    # one row per request, whatever the number of its payload rows
+    return found.groupBy("request_id").agg(F.max("prompt_id").alias("prompt_id"))
 
 
 def restamp(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Relabel rows with our ids; rows of requests outside the mapping are dropped."""
     kept = [c for c in rows.columns if c != "request_id"]
-    return rows.join(mapping, "request_id").select(F.col("prompt_id").alias("request_id"), *kept)
+    mapping = mapping.groupBy("request_id").agg(F.max("prompt_id").alias("prompt_id"))
+    return join_hot(rows, mapping, ["request_id"]).select(F.col("prompt_id").alias("request_id"), *kept)
 
 
 def padded_window(
@@ -68,10 +71,14 @@ def outcome_class(n_sent: Column, n_ok: Column, dry_run: bool = False) -> Column
 
 
 def prompts_of(requests: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Requests with their prompt; those without a text prompt are left out."""
-    return requests.select("request_id").join(prompts, "request_id").filter(
-        F.col("prompt").isNotNull()
-    )
+    """Requests with their prompt, the last one read; those without a text prompt are left out."""
+    asked = prompts.filter(F.col("prompt").isNotNull())
+    if "timestamp" in prompts.columns:
+        last = F.max_by(F.struct("prompt", *[c for c in prompts.columns if c not in ("request_id", "prompt")]), "timestamp")
+    else:
+        last = F.max(F.struct("prompt", *[c for c in prompts.columns if c not in ("request_id", "prompt")]))
+    one = asked.groupBy("request_id").agg(last.alias("_p")).select("request_id", "_p.*")
+    return requests.select("request_id").join(one, "request_id")
 
 
 def first_requests(requests: DataFrame, n: int) -> DataFrame:

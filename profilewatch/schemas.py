@@ -84,11 +84,14 @@ SCORES = T.StructType(
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project onto a contract: its columns, order and types; absent ones are NULL."""
+    """Project onto a contract: its columns, order and types; absent ones are NULL.
+
+    A value that does not fit its type fails the job; it is not turned into NULL.
+    """
     have = set(df.columns)
     return df.select(
         *[
-            (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
+            (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
             .alias(f.name)
             for f in schema.fields
         ]

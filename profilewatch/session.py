@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     folder = shared_folder(spark)
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return os.path.join(folder, f"{name}-{next(tempfile._get_candidate_names())}")
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import escape_line, unescape_line
+from ..functions.text import escape_line, strip, unescape_line
+from ..session import settle
 
 def with_position(scan: DataFrame, columns: list, name: str = "position") -> DataFrame:
     """``columns`` of a file scan plus the 0-based row position in file order.
@@ -58,7 +59,7 @@ def read_pack(spark: SparkSession, folder: str) -> DataFrame:
     else:
         if not _exists(spark, txt_path):
             raise FileNotFoundError(f"no pack.csv or pack.txt in {folder}")
-        lines = spark.read.text(txt_path).filter(F.btrim("value") != "")
+        lines = spark.read.text(txt_path).filter(strip(F.col("value")) != "")
         listed = with_position(lines, [unescape_line(F.col("value")).alias("prompt")])
         if table is None:
             number = F.lpad(F.col("position").cast("string"), 2, "0")
@@ -71,7 +72,11 @@ def read_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_pack(prompts: DataFrame, folder: str, with_csv: bool = True, prompt_column: bool = True) -> None:
-    """The two views of a pack: verbatim CSV and escaped lines, in the same order."""
+    """The two views of a pack: verbatim CSV and escaped lines, in the same order.
+
+    Both are written from one settled frame, so a recomputed shuffle cannot order them differently.
+    """
+    prompts = settle(prompts.select(*[c for c in ("prompt_id", "prompt") if c in prompts.columns]))
     if with_csv:
         columns = ["prompt_id", "prompt"] if prompt_column else ["prompt_id"]
         prompts.select(*columns).write.mode("overwrite").option("escape", '"').csv(

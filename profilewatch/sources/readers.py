@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import CELL_KEYS, KEEP_DIMS, REFERENCE_SIGNAL, SCALARS
 from ..functions.signals import is_pass_text, layer_signal_names, pass_number
@@ -13,6 +14,7 @@ from ..functions.text import prompt_text
 from ..functions.vectors import leading_dims
 from ..operators.cells import first_per_key, latest_per_request
 from ..schemas import CAPTURED_ROWS, SIGNALS, conform
+from .packs import with_position
 
 Window = tuple[str, str]
 
@@ -20,18 +22,47 @@ Window = tuple[str, str]
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
     """A stored table; the format follows the extension unless given.
 
-    CSV is read with the scalar-row contract, so the pass stays text. ``jdbc``
+    CSV columns are found by their header names in any order and cast strictly to the
+    scalar-row contract: the pass stays text, a number that is none fails the
+    read. ``id`` and ``deleted_at`` are kept where the file has them; others are left out. ``jdbc``
     takes Spark's own options (``url``, ``partitionColumn`` on the id,
     ``numPartitions``); filters below push down to the database.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if fmt == "csv":
-        return spark.read.schema(SIGNALS).csv(path, header=True, **options)
+        return _signals_by_name(spark.read.csv(path, header=True, **options))
     if fmt == "jdbc":
         return spark.read.format("jdbc").options(dbtable=path, **options).load()
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def _signals_by_name(text: DataFrame) -> DataFrame:
+    have = set(text.columns)
+    fields = [*SIGNALS.fields, T.StructField("id", T.LongType()), T.StructField("deleted_at", T.TimestampType())]
+    optional = {"id", "deleted_at"}
+    return text.select(
+        *[
+            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in fields
+            if f.name in have or f.name not in optional
+        ]
+    )
+
+
+def read_capture(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """A stored capture with ``id``: its own, or the position of the row in the file.
+
+    Of the copies of a key a comparison keeps the first one in this order.
+    """
+    rows = read_table(spark, path, fmt)
+    if "id" in rows.columns:
+        return rows
+    fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    scan = spark.read.csv(path, header=True) if fmt == "csv" else rows
+    placed = with_position(scan, [F.col(c) for c in scan.columns], "id")
+    return _signals_by_name(placed) if fmt == "csv" else placed
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Score, diff and snapshot tables leave as CSV; quotes are doubled inside text."""
     df.write.mode("overwrite").option("escape", '"').csv(path, header=True)

@@ -18,6 +18,9 @@ PASSES = (2, 3, 4, 5, 6, 7)
 DENSE_LAYERS = (0, 1, 2, 3, 4, 5, 6)
 STREAM_EVERY = "1 day"
 STREAM_DELAY = "1 hour"
+#: Leaves out a layer and the prefill pass of the stream.
+STREAM_LAYERS = (0, 1, 2, 3)
+STREAM_PASSES = (2, 3, 4, 5, 6, 7, 8)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +76,7 @@ def chat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.to_json(F.struct(F.struct("text", F.array(system).alias("messages")).alias("raw")))
     return turn.select(
         turn_id().alias("request_id"),
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn")).alias("timestamp"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") % 100 * 60 + F.col("turn")).alias("timestamp"),
         F.col("role").alias("model_id"),
         F.lit(None).cast("timestamp").alias("deleted_at"),
         F.when(F.col("role") == "user", chat)
@@ -100,18 +103,21 @@ def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One payload per vector request, timed by its id."""
+    """One payload per vector request, in one of fifty minutes by its id."""
     number = F.floor(F.col("vec_id") / 8)
     return table(spark, sf_dir, "embeddings").select(
         number.cast("string").alias("request_id"),
-        F.timestamp_seconds(F.lit(1_700_000_000) + number * 60).alias("timestamp"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + number % 50 * 60).alias("timestamp"),
         F.lit("model").alias("model_id"),
         F.lit(None).cast("timestamp").alias("deleted_at"),
         F.lit("{}").alias("payload"),
     )
 
 
-VECTOR_WINDOW = ("2023-11-14 00:00:00+00", "2033-01-01 00:00:00+00")
+#: Leaves out the first two and the last eight of the fifty minutes, at any size.
+VECTOR_WINDOW = ("2023-11-14 22:15:20+00", "2023-11-14 22:55:20+00")
+#: Leaves out the first five and the last ten of the hundred minutes of conversations.
+CHAT_WINDOW = ("2023-11-14 22:18:20+00", "2023-11-14 23:43:20+00")
 
 
 def half_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +217,10 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("request_id"),
         layer.alias("layer"),
         (F.floor(F.hour("ts") / 3) + 1).cast("int").alias("pass"),
-        F.col("value"),
+        # some cells are missing, some are no number
+        F.when(F.col("event_id") % 17 == 0, F.lit(None))
+        .when(F.col("event_id") % 13 == 0, F.lit(float("nan")))
+        .otherwise(F.col("value"))
+        .alias("value"),
         F.col("event_id").alias("id"),
     )

@@ -7,40 +7,44 @@ from pyspark.sql import functions as F
 from profilewatch.sources import manifest as M
 from profilewatch.sources import packs
 
-LINES = "Sort these:\npears\nplums\n\nOne line only."
+#: Two prompts: one of several lines with a blank one, one with quotes, a comma and a carriage return.
+POEM = "Roses, red;\n\nviolets\n"
+QUOTE = 'they wrote "no, thanks"\rand left'
+WANT = {"k1": POEM.strip("\n"), "k2": QUOTE}
 
 
-def write_pack(folder, *, with_csv=True, with_txt=True, prompt_column=True):
+def pack_of(folder, header, lines=()):
+    """A pack folder: the columns of its table, and the lines of its text twin."""
     folder.mkdir()
-    if with_csv:
-        with open(folder / "pack.csv", "w", newline="") as fh:
-            out = csv.writer(fh)
-            out.writerow(["prompt_id", "prompt"] if prompt_column else ["prompt_id"])
-            for pid, text in (("a-00", LINES), ("b-01", 'says "hi", twice')):
-                out.writerow([pid, text] if prompt_column else [pid])
-    if with_txt:
-        (folder / "pack.txt").write_text(LINES.replace("\n", "\\n") + '\n\n   \nsays "hi", twice\n')
+    if header:
+        texts = {"k1": '"' + WANT["k1"] + '"', "k2": '"' + QUOTE.replace('"', '""') + '"'}
+        body = [",".join({"prompt_id": k, "prompt": v}[c] for c in header) for k, v in texts.items()]
+        (folder / "pack.csv").write_bytes("\n".join([",".join(header), *body, ""]).encode())
+    if lines:
+        (folder / "pack.txt").write_bytes("\n".join(lines).encode())
     return str(folder)
 
 
-def loaded(spark, folder):
-    return {r["prompt_id"]: r["prompt"] for r in packs.read_pack(spark, folder).collect()}
+#: Lines of blanks of any kind are no prompts and take no number.
+LINES = ["Roses, red;\\n\\nviolets", "", " \t ", "\u00a0", "one more"]
 
 
-WANT = {"a-00": LINES, "b-01": 'says "hi", twice'}
+def loaded(spark, folder):
+    return {r["prompt_id"]: r["prompt"] for r in packs.read_pack(spark, folder).collect()}
 
 
 def test_csv_text_is_the_authority(spark, tmp_path):
-    assert loaded(spark, write_pack(tmp_path / "p")) == WANT
+    assert loaded(spark, pack_of(tmp_path / "p", ["prompt_id", "prompt"], ["other text"])) == WANT
 
 
 def test_lines_with_numbered_ids(spark, tmp_path):
-    got = loaded(spark, write_pack(tmp_path / "p", with_csv=False))
-    assert got == {"pack-00": LINES, "pack-01": WANT["b-01"]}
+    got = loaded(spark, pack_of(tmp_path / "p", [], LINES))
+    assert got == {"pack-00": WANT["k1"], "pack-01": "one more"}
 
 
 def test_ids_from_the_csv_text_from_the_lines(spark, tmp_path):
-    assert loaded(spark, write_pack(tmp_path / "p", prompt_column=False)) == WANT
+    got = loaded(spark, pack_of(tmp_path / "p", ["prompt_id"], LINES))
+    assert got == {"k1": WANT["k1"], "k2": "one more"}
 
 
 def test_a_repeated_id_keeps_its_last_text(spark, tmp_path):
