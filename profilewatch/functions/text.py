@@ -125,8 +125,15 @@ def _nested_answers():
             if isinstance(message, dict) and isinstance(message.get("content"), str):
                 yield message["content"]
 
+    def read(text):
+        try:
+            document = json.loads(text)
+        except ValueError:  # no JSON: the body is the answer
+            return text
+        return next(answers(document), "")
+
     def batch(body: pd.Series) -> pd.Series:
-        return body.map(lambda text: next(answers(json.loads(text)), ""), na_action="ignore")
+        return body.map(read, na_action="ignore")
 
     return F.pandas_udf(batch, T.StringType())
 
@@ -135,8 +142,10 @@ def response_text(body: Column) -> Column:
     """Answer text of a response body whose shape is not known in advance.
 
     A body that is no JSON is the answer itself. A known key holding text at the
-    top level is read in the JVM; only bodies not decided there (nested answers,
-    lists, ``choices``) travel to the Arrow helper, the rest pass it as NULL.
+    top level is read in the JVM; only bodies not decided there travel to the Arrow
+    helper, the rest pass it as NULL: nested answers, lists, ``choices``, and what the
+    variant parser refuses, be it for a repeated key (the last one counts), a NaN, its
+    size, or because it is no JSON.
     """
     document = F.try_parse_json(body)
     top = F.lit(None).cast("string")
@@ -149,5 +158,4 @@ def response_text(body: Column) -> Column:
             .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(None).cast("string"))
             .otherwise(top)
         )
-    plain = F.when(document.isNull(), body).otherwise(top)
-    return F.when(body.isNotNull(), F.coalesce(plain, _nested_answers()(F.when(plain.isNull(), body))))
+    return F.when(body.isNotNull(), F.coalesce(top, _nested_answers()(F.when(top.isNull(), body))))

@@ -261,13 +261,16 @@ probed AS (
 
 _EVENT_LAYER = """CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2
   WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 END"""
-EVENTS = f"""cells AS (
-  SELECT date_trunc('day', ts) AS day, CAST(user_id AS VARCHAR) AS request_id, {_EVENT_LAYER} AS layer,
-    hour(ts) // 3 + 1 AS pass, arg_min(value, event_id) AS value FROM events GROUP BY ALL),
+EVENTS = f"""events_in AS (
+  SELECT date_trunc('day', ts) AS day, CAST(user_id AS VARCHAR) AS request_id, {_EVENT_LAYER} AS l, hour(ts) // 3 + 1 AS p,
+    CASE WHEN event_id % 17 = 0 OR event_id % 13 = 0 THEN NULL ELSE value END AS x, event_id FROM events),
+cells AS (
+  SELECT day, request_id, CASE WHEN l <= 3 AND p >= 2 THEN l END AS layer, CASE WHEN l <= 3 AND p >= 2 THEN p END AS pass,
+    arg_min_null(CASE WHEN l <= 3 AND p >= 2 THEN x END, event_id) AS value FROM events_in GROUP BY ALL),
 closed AS (
   SELECT * FROM cells WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
 prof AS (SELECT day, request_id, layer, avg(value) AS v FROM closed GROUP BY ALL),
-used AS (SELECT day, request_id, count(DISTINCT pass) AS n_passes_used FROM closed GROUP BY ALL),
+used AS (SELECT day, request_id, count(DISTINCT pass) FILTER (value IS NOT NULL) AS n_passes_used FROM closed GROUP BY ALL),
 stats AS (
   SELECT day, request_id, {cv('v')} AS cv FROM prof GROUP BY ALL),
 scored AS (
@@ -311,9 +314,10 @@ QUALIFY row_number() OVER (PARTITION BY request_id, signal_type, forward_pass_in
   SELECT * FROM sparse WHERE NOT deleted AND request_id IN (SELECT request_id FROM live WHERE model_id = 'O')
   QUALIFY row_number() OVER (PARTITION BY request_id, signal_type, forward_pass_index ORDER BY id) = 1)
 SELECT signal_type, forward_pass_index, count(*) AS n_rows, {r6('avg(std)')} AS mean_std FROM firsts GROUP BY ALL""",
-    "prompt_reader": f"""SELECT {_TURN} AS request_id, 1700000000 + conv_id * 60 + turn AS at,
+    "prompt_reader": f"""SELECT {_TURN} AS request_id, 1700000000 + conv_id % 100 * 60 + turn AS at,
   CASE WHEN role IN ('user', 'assistant') THEN text END AS prompt,
-  CASE WHEN role IN ('user', 'assistant') THEN length(text) END AS n_chars FROM conversations""",
+  CASE WHEN role IN ('user', 'assistant') THEN length(text) END AS n_chars FROM conversations
+WHERE conv_id % 100 * 60 + turn >= 300 AND conv_id % 100 * 60 + turn < 5400""",
     "layer_parse": f"""WITH {_capture('theirs', "l_returnflag = 'A' AND l_linestatus = 'F'", _DRIFT)},
 both_kinds AS (SELECT signal_type, forward_pass_index FROM theirs_raw
   UNION ALL SELECT event_type, props FROM events),
@@ -410,7 +414,7 @@ SELECT vec_id, {_vector_stats('v')} FROM v""",
 SELECT request_id, signal_type, forward_pass_index, n_positions, dim, {r6('x')} AS x FROM reduced""",
     "last_pass_vector": f"""WITH picked AS (
   SELECT vec_id // 8 AS r, vec_id % 8 + 1 AS p, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE vec_id % 8 + 1 >= 2
+  WHERE vec_id % 8 + 1 >= 2 AND vec_id // 8 % 50 >= 2 AND vec_id // 8 % 50 < 42
   QUALIFY row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id % 8 DESC, vec_id) = 1),
 long AS (SELECT r, p, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM picked)
 SELECT CAST(r AS VARCHAR) AS request_id, CAST(p AS VARCHAR) AS forward_pass_index, dim, {r6('x')} AS x FROM long""",
@@ -520,7 +524,7 @@ LEFT JOIN ood ON ood.request_id = CAST(doc AS VARCHAR)""",
     "first_complete_prompts": f"""WITH {dense(7)}, {cells('dense_cells', 'dense')}, {statistics('fit', 'dense_cells')},
 first_ids AS (SELECT request_id FROM fit_u WHERE n_cells = 42 ORDER BY request_id LIMIT 25)
 SELECT request_id, o_orderpriority AS prompt FROM first_ids JOIN orders ON request_id = CAST(o_orderkey AS VARCHAR)
-WHERE o_orderpriority <> '5-LOW'""",
+WHERE o_orderpriority <> '5-LOW' AND {_WINDOW}""",
     "paired_effect": f"""WITH {PAIRED}, {t_test('pairs', 'dz_cv', 'family')}
 SELECT family, n, {r6('mean')} AS mean, {r6('t')} AS t, {r6('greatest(p, 0)')} AS p FROM probed""",
     "dose_response": f"""WITH {PAIRED}, differences AS (
@@ -551,7 +555,8 @@ SELECT window_start, {r6('coalesce(avg(CASE WHEN z_cv <= -2 THEN 1.0 WHEN z_cv >
 SELECT window_start, request_id, n_passes_used, {r6('cv')} AS cv, {r6('z_cv')} AS z_cv, z_cv <= -2 AS is_flattened
 FROM scored""",
     "stream_dedup": f"""SELECT CAST(event_id AS VARCHAR) AS request_id, '{_LAYER}' || {_EVENT_LAYER} AS signal_type,
-  CAST(hour(ts) // 3 + 1 AS VARCHAR) AS forward_pass_index, {r6('value')} AS value FROM events""",
+  CAST(hour(ts) // 3 + 1 AS VARCHAR) AS forward_pass_index,
+  CASE WHEN event_id % 17 <> 0 AND event_id % 13 <> 0 THEN {r6('value')} END AS value FROM events""",
     "stream_progress": """WITH expected AS (SELECT count(DISTINCT user_id) AS expected FROM events),
 days AS (
   SELECT date_trunc('day', ts) AS day, count(DISTINCT user_id) AS seen, count(*) AS n_rows FROM events GROUP BY ALL)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CELL_KEYS, SCALARS
+from ..functions.numeric import nan_to_null
 from ..functions import signals as S
 from ..functions import text as X
 from ..functions.distributions import chi_square_cdf
@@ -112,7 +113,7 @@ def signal_reader_one_model(spark, sf_dir):
 @query
 def prompt_reader(spark, sf_dir):
     found = readers.read_prompts(
-        tables.chat_payloads(spark, sf_dir), ("2023-11-14 00:00:00+00", "2033-01-01 00:00:00+00")
+        tables.chat_payloads(spark, sf_dir), tables.CHAT_WINDOW
     )
     return found.select(
         "request_id", F.unix_timestamp("timestamp").alias("at"), "prompt",
@@ -591,7 +592,7 @@ def score_batch(spark, sf_dir):
 def first_complete_prompts(spark, sf_dir):
     """The first complete requests in id order with their prompts (a report limit)."""
     first = replay.first_requests(B.complete_requests(_dense_cells(spark, sf_dir), **DENSE), 25)
-    prompts = readers.read_prompts(tables.payloads(spark, sf_dir), ("1990-01-01", "2030-01-01"), ordered=False)
+    prompts = readers.read_prompts(tables.payloads(spark, sf_dir), WINDOW, ordered=False)
     return replay.prompts_of(first, prompts).select("request_id", "prompt")
 
 
@@ -718,7 +719,10 @@ def manifest_refresh(spark, sf_dir):
 @query
 def stream_panel(spark, sf_dir):
     events = tables.stream_events(spark, sf_dir)
-    scores = stream.streaming_scores(events, STREAM_EVERY, STREAM_DELAY, cv_mean=0.5, cv_sd=0.1)
+    scores = stream.streaming_scores(
+        events, STREAM_EVERY, STREAM_DELAY, cv_mean=0.5, cv_sd=0.1,
+        layers=tables.STREAM_LAYERS, passes=tables.STREAM_PASSES,
+    )
     done = stream.run_available(spark, stream.streaming_summary(scores, STREAM_EVERY), "panel")
     return rounded(done, "flattened_rate", "mean_cv", "mean_z_cv").withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd")
@@ -728,7 +732,10 @@ def stream_panel(spark, sf_dir):
 @query
 def stream_scores(spark, sf_dir):
     events = tables.stream_events(spark, sf_dir)
-    scores = stream.streaming_scores(events, STREAM_EVERY, STREAM_DELAY, cv_mean=0.5, cv_sd=0.1)
+    scores = stream.streaming_scores(
+        events, STREAM_EVERY, STREAM_DELAY, cv_mean=0.5, cv_sd=0.1,
+        layers=tables.STREAM_LAYERS, passes=tables.STREAM_PASSES,
+    )
     done = stream.run_available(spark, scores.drop("time"), "scores")
     return rounded(done, "cv", "z_cv").withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd")
@@ -743,7 +750,7 @@ def stream_dedup(spark, sf_dir):
         return e.select(
             "time", F.col("id").cast("string").alias("request_id"),
             S.layer_signal(F.col("layer")).alias("signal_type"),
-            F.col("pass").cast("string").alias("forward_pass_index"), "value",
+            F.col("pass").cast("string").alias("forward_pass_index"), nan_to_null(F.col("value")).alias("value"),
         )
 
     done = stream.drop_double_writes(rows().unionByName(rows()), STREAM_DELAY)

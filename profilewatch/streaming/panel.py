@@ -7,24 +7,43 @@ buffer per group; no step collects the rows of a request.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..constants import CELL_KEYS, MIN_PASSES
-from ..functions.numeric import guarded_z, variation
+from ..constants import CELL_KEYS, METRIC_LAYERS, METRIC_PASSES, MIN_PASSES
+from ..functions.numeric import guarded_z, nan_to_null, variation
+from ..operators.band import Band
 from ..operators.profile import is_flattened
 from ..session import scratch_path
 
 
-def streaming_cells(stream: DataFrame, every: str, delay: str, tie_break: str = "id") -> DataFrame:
+def streaming_cells(
+    stream: DataFrame,
+    every: str,
+    delay: str,
+    *,
+    layers: Sequence[int] = METRIC_LAYERS,
+    passes: Sequence[int] = METRIC_PASSES,
+    tie_break: str = "id",
+) -> DataFrame:
     """``request_id, layer, pass, value`` per window; the lowest id wins a double write.
 
-    ``stream``: ``time, request_id, layer, pass, value`` and the tie-break.
+    ``stream``: ``time, request_id, layer, pass, value`` and the tie-break. As in the batch
+    path, NaN is missing, and a request whose rows all lie outside the scope keeps one
+    cell without layer and pass, so that it counts as incomplete.
     """
+    inside = F.col("layer").isin(list(layers)) & F.col("pass").isin(list(passes))
+    scoped = stream.withWatermark("time", delay).select(
+        "time", "request_id", tie_break,
+        F.when(inside, F.col("layer")).alias("layer"),
+        F.when(inside, F.col("pass")).alias("pass"),
+        F.when(inside, nan_to_null(F.col("value"))).alias("value"),
+    )
     return (
-        stream.withWatermark("time", delay)
-        .groupBy(F.window("time", every).alias("w"), "request_id", "layer", "pass")
+        scoped.groupBy(F.window("time", every).alias("w"), "request_id", "layer", "pass")
         .agg(F.min_by("value", tie_break).alias("value"))
         .select(F.window_time("w").alias("time"), "request_id", "layer", "pass", "value")
     )
@@ -35,27 +54,34 @@ def streaming_scores(
     every: str,
     delay: str,
     *,
-    cv_mean: float,
-    cv_sd: float,
+    band: Band | None = None,
+    cv_mean: float | None = None,
+    cv_sd: float | None = None,
+    layers: Sequence[int] = METRIC_LAYERS,
+    passes: Sequence[int] = METRIC_PASSES,
     min_passes: int = MIN_PASSES,
     **flag,
 ) -> DataFrame:
     """Variation and verdict of every (window, request).
 
-    Passes are small positive numbers, so the distinct count is a bit mask:
-    exact, mergeable and 8 bytes of state.
+    The healthy mean and deviation come from a ``band`` (its one row is read when the
+    stream is built) or as numbers. A pass counts when it has a value in some layer of the
+    scope. The scope names its passes, so the state is one flag for each of them.
     """
-    cells = streaming_cells(stream, every, delay)
-    layers = (
+    if band is not None:
+        healthy = band.frame.select("cv_mean", "cv_sd").first()
+        cv_mean, cv_sd = healthy["cv_mean"], healthy["cv_sd"]
+    scope = sorted(set(passes))
+    cells = streaming_cells(stream, every, delay, layers=layers, passes=passes)
+    seen = [F.max((F.col("pass") == p) & F.col("value").isNotNull()).alias(f"p{p}") for p in scope]
+    by_layer = (
         cells.groupBy(F.window("time", every).alias("w"), "request_id", "layer")
-        .agg(
-            F.avg("value").alias("v"),
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pass"))).alias("passes"),
-        )
-        .select(F.window_time("w").alias("time"), "request_id", "v", "passes")
+        .agg(F.avg("value").alias("v"), *seen)
+        .select(F.window_time("w").alias("time"), "request_id", "v", *[f"p{p}" for p in scope])
     )
-    requests = layers.groupBy(F.window("time", every).alias("w"), "request_id").agg(
-        variation(F.col("v")).alias("cv"), F.bit_count(F.bit_or("passes")).alias("n_passes_used")
+    counted = sum((F.coalesce(F.max(f"p{p}"), F.lit(False)).cast("long") for p in scope), F.lit(0).cast("long"))
+    requests = by_layer.groupBy(F.window("time", every).alias("w"), "request_id").agg(
+        variation(F.col("v")).alias("cv"), counted.alias("n_passes_used")
     )
     enough = F.col("n_passes_used") >= min_passes
     z = guarded_z(F.col("cv"), F.lit(cv_mean), F.lit(cv_sd))

@@ -34,7 +34,7 @@ LAST = [(at(4, 1), "end", 0, 1, 1.0, 10)]
 
 def test_panel_equals_the_batch_numbers_per_finished_day(spark, tmp_path):
     stream = stream_of(spark, tmp_path / "in", FIRST, SECOND, LAST)
-    scores = S.streaming_scores(stream, "1 day", "1 hour", cv_mean=0.5, cv_sd=0.1)
+    scores = S.streaming_scores(stream, "1 day", "1 hour", cv_mean=0.5, cv_sd=0.1, layers=(0, 1), passes=(1, 2))
     done = S.run_available(spark, S.streaming_summary(scores, "1 day"), "t-panel").orderBy("window_start").collect()
     assert [r["window_start"].day for r in done] == [1, 2]                   # day 4 is still open
     first, second = done
@@ -44,6 +44,20 @@ def test_panel_equals_the_batch_numbers_per_finished_day(spark, tmp_path):
     assert (second["sample_count"], second["mean_cv"]) == (1, 0.0)
 
 
+def test_missing_values_scope_and_late_passes_count_as_in_the_batch(spark):
+    nan = float("nan")
+    rows = [
+        (at(1, 1), "hole", 0, 2, 1.0, 1), (at(1, 2), "hole", 1, 3, nan, 2),          # pass 3 has no value
+        (at(1, 1), "void", 0, 2, 1.0, 3), (at(1, 2), "void", 0, 3, None, 4),
+        (at(1, 1), "late", 0, 1, 2.0, 5), (at(1, 1), "late", 1, 65, 2.0, 6),         # 65 is not 1
+        (at(1, 1), "out", 23, 2, 1.0, 7), (at(1, 1), "out", 23, 3, 1.0, 8),          # a layer outside
+    ]
+    stream = spark.createDataFrame(rows, SCHEMA)
+    done = S.streaming_scores(stream, "1 day", "1 hour", cv_mean=0.5, cv_sd=0.1, layers=(0, 1), passes=range(1, 70))
+    got = {r["request_id"]: (r["n_passes_used"], r["cv"]) for r in done.collect()}
+    assert got == {"hole": (1, None), "void": (1, None), "late": (2, 0.0), "out": (0, None)}
+
+
 def test_late_rows_do_not_reopen_a_day(spark, tmp_path):
     # a day leaves the state one batch after the watermark has passed it
     more, late = [(at(4, 2), "end", 0, 2, 1.0, 12)], [(at(1, 8), "late", 0, 1, 1.0, 11)]
