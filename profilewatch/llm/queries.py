@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, exact, html_text, langid, minhash, mixing, substring, suffix, token_ids, url_filter
+from .oracle import ORACLE
 from .tables import table
 
+__all__ = ["ORACLE", "QUERIES", "vocabulary_path"]
+
 #: File of the public vocabulary that op2 encodes with.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -75,5 +78,3 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLE: dict[str, str] = {}
