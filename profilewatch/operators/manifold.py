@@ -46,7 +46,9 @@ class Manifold:
     mean: list[float]
     weights: list[float]
     basis: PCAModel | None
-    stats: dict[str, float] = field(default_factory=dict)
+    n_train: int = 0
+    #: Distances of the training vectors by quantile.
+    spread: dict[float, float] = field(default_factory=dict)
 
     def distances(self, df: DataFrame, vector: str = "vector", out: str = "dist") -> DataFrame:
         """Mahalanobis distance of every row; NULL for a missing vector."""
@@ -86,7 +88,7 @@ class Manifold:
         row = [
             (
                 self.mode, self.dim, self.k, self.shrinkage, self.quantile, self.threshold,
-                self.mean, self.weights, self.stats,
+                self.mean, self.weights, self.n_train, self.spread,
             )
         ]
         spark.createDataFrame(row, _SAVED).coalesce(1).write.mode("overwrite").parquet(
@@ -98,7 +100,7 @@ class Manifold:
 
 _SAVED = (
     "mode string, dim int, k int, shrinkage double, quantile double, threshold double, "
-    "mean array<double>, weights array<double>, stats map<string,double>"
+    "mean array<double>, weights array<double>, n_train long, spread map<double,double>"
 )
 
 
@@ -143,9 +145,9 @@ def fit_manifold(
     counts, one mean vector, the eigenbasis and four quantiles.
     """
     if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
+        raise ValueError(f"unknown mode {mode!r}, choose from {MODES}")
     if not 0.0 < quantile < 1.0:
-        raise ValueError("quantile must be in (0, 1)")
+        raise ValueError(f"the threshold quantile {quantile} is not between 0 and 1")
     train = settle(
         vectors.filter(F.size(vector) > 0).select(
             F.col(vector).cast("array<double>").alias("vector")
@@ -157,7 +159,7 @@ def fit_manifold(
     ).first()
     n = head["n"]
     if n < 2:
-        raise ValueError(f"need at least 2 generated-token vectors, got {n}")
+        raise ValueError(f"{n} training vectors; at least 2 are needed for a covariance")
     mean, variance = head["s"]["mean"].toArray(), head["s"]["variance"].toArray()
     dim = len(mean)
 
@@ -165,13 +167,16 @@ def fit_manifold(
     if mode == "pca":
         k = safe_k(n, dim, pca_k)
         if n < k + 2:
-            raise ValueError(f"need at least {k + 2} samples to fit a {k}-dim manifold, got {n}")
+            raise ValueError(f"{n} training vectors are too few samples for {k} dimensions")
         shrinkage = safe_shrinkage(n, k, shrinkage)
     basis = PCA(k=k, inputCol="_x", outputCol="_z").fit(train)
 
     # explained variance is a share; the trace turns it back into eigenvalues
     eigen = np.asarray(basis.explainedVariance) * float(variance.sum())
-    precision = 1.0 / ((1.0 - shrinkage) * eigen + shrinkage * eigen.mean())
+    shrunk = (1.0 - shrinkage) * eigen + shrinkage * eigen.mean()
+    if not (shrunk > 0.0).all():
+        raise ValueError("the training vectors do not vary, so no distance can be scaled by their spread")
+    precision = 1.0 / shrunk
     weights = precision
     if mode == "diagonal":
         weights = (np.asarray(basis.pc.toArray()) ** 2) @ precision
@@ -183,18 +188,7 @@ def fit_manifold(
     )
     dist = model.distances(train.drop("_x")).select("dist")
     threshold, p50, p95, p99 = exact_quantiles(dist, "dist", [quantile, 0.50, 0.95, 0.99])
-    model.threshold = threshold
-    model.stats = {
-        "n_train": float(n),
-        "orig_dim": float(dim),
-        "fit_dim": float(k),
-        "use_pca": float(mode == "pca"),
-        "pca_k": float(k) if mode == "pca" else float("nan"),
-        "shrinkage": float(shrinkage),
-        "threshold_quantile": float(quantile),
-        "threshold": float(threshold),
-        "train_dist_p50": float(p50),
-        "train_dist_p95": float(p95),
-        "train_dist_p99": float(p99),
-    }
+    model.threshold = float(threshold)
+    model.n_train = n
+    model.spread = {0.5: float(p50), 0.95: float(p95), 0.99: float(p99)}
     return model

@@ -146,6 +146,32 @@ ood AS (
     d > threshold OR 1 - exp(-d * d / 2) > 0.99 AS is_ood, threshold FROM dist CROSS JOIN limit_at)"""
 
 
+#: One axis of the 2 x 2 covariance in closed form; probability by the series of the error function.
+REDUCED = f"""{HALVES},
+axis AS (SELECT *, (va + vb + sqrt((va - vb) * (va - vb) + 4 * cab * cab)) / 2 AS l FROM moments),
+dist AS (
+  SELECT vec_id, abs((a - ma) * cab + (b - mb) * (l - va)) / sqrt(cab * cab + (l - va) * (l - va)) / sqrt(l) AS d
+  FROM halves CROSS JOIN axis),
+limit_at AS (SELECT quantile_cont(d, 0.99) AS threshold FROM dist),
+probable AS (
+  SELECT vec_id, d, threshold, CASE WHEN d * d / 2 > 40 THEN 1.0 ELSE 2 / sqrt(pi()) * d / sqrt(2) * exp(-d * d / 2)
+    * list_sum(list_transform(range(0, 221), lambda n: exp(n * ln(greatest(d * d, 1e-300))
+      - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)))) END AS p
+  FROM dist CROSS JOIN limit_at)"""
+
+#: Four training vectors: 0.3 of the mean eigenvalue instead of 0.1.
+SMALL = f"""{HALVES},
+few AS (
+  SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS cab
+  FROM halves WHERE vec_id < 4),
+mixed AS (
+  SELECT ma, mb, 0.7 * va + 0.15 * (va + vb) AS p, 0.7 * vb + 0.15 * (va + vb) AS q, 0.7 * cab AS r FROM few),
+dist AS (
+  SELECT vec_id, sqrt(((a - ma) * (a - ma) * q + (b - mb) * (b - mb) * p - 2 * (a - ma) * (b - mb) * r)
+    / (p * q - r * r)) AS d FROM halves CROSS JOIN mixed),
+limit_at AS (SELECT quantile_cont(d, 0.99) AS threshold FROM dist WHERE vec_id < 4)"""
+
+
 def text_measures(source: str, key: str) -> str:
     """Whole texts, character by character and word by word."""
     return f"""stripped AS (SELECT {key} AS k, trim(text, {_BLANKS}) AS t FROM {source}),
@@ -428,6 +454,12 @@ SELECT request_id, {r6('ood_dist')} AS ood_dist, {r6('ood_prob')} AS ood_prob, i
     "manifold_diagonal": f"""WITH {manifold('0')}
 SELECT request_id, {r6('ood_dist')} AS ood_dist, {r6('ood_prob')} AS ood_prob, is_ood,
   {r6('threshold')} AS threshold FROM ood""",
+    "ood_reduced": f"""WITH {REDUCED}
+SELECT CAST(vec_id AS VARCHAR) AS request_id, {r6('d')} AS ood_dist, {r6('p')} AS ood_prob,
+  d > threshold OR p > 0.99 AS is_ood, {r6('threshold')} AS threshold FROM probable""",
+    "ood_small_sample": f"""WITH {SMALL}
+SELECT CAST(vec_id AS VARCHAR) AS request_id, {r6('d')} AS ood_dist, {r6('1 - exp(-d * d / 2)')} AS ood_prob,
+  d > threshold OR 1 - exp(-d * d / 2) > 0.99 AS is_ood, 0.3::DOUBLE AS shrinkage FROM dist CROSS JOIN limit_at""",
     "distance_quantiles": f"""SELECT probability, {r6('quantile')} AS quantile FROM (
   SELECT unnest([0.1, 0.5, 0.95, 0.99])::DOUBLE AS probability,
     unnest(quantile_cont(sqrt(l_extendedprice), [0.1, 0.5, 0.95, 0.99])) AS quantile FROM lineitem)""",

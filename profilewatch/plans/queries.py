@@ -361,15 +361,37 @@ def manifold_diagonal(spark, sf_dir):
     return _manifold_scores(spark, sf_dir, "diagonal")
 
 
+def _stored_manifold(spark, train, **fit):
+    path = scratch_path(spark, "manifold")
+    M.fit_manifold(train, **fit).save(path)
+    return M.load_manifold(spark, path)
+
+
+@query
+def ood_reduced(spark, sf_dir):
+    """One principal axis of two, fitted, saved, loaded; an odd number of degrees of freedom."""
+    vectors = tables.half_means(spark, sf_dir)
+    model = _stored_manifold(spark, vectors, pca_k=1)
+    found = model.score(vectors).withColumn("threshold", F.lit(model.threshold))
+    return rounded(found.drop("vector"), "ood_dist", "ood_prob", "threshold")
+
+
+@query
+def ood_small_sample(spark, sf_dir):
+    """Four training vectors for two dimensions: the stronger shrinkage. All vectors are scored."""
+    vectors = tables.half_means(spark, sf_dir)
+    model = _stored_manifold(spark, vectors.filter(F.col("request_id").cast("long") < 4), pca_k=2)
+    found = model.score(vectors).withColumn("shrinkage", F.lit(model.shrinkage))
+    return rounded(found.drop("vector"), "ood_dist", "ood_prob")
+
+
 @query
 def ood_scores(spark, sf_dir):
     """Reduced space: fitted on last generated tokens, saved, loaded, all vectors scored."""
     train = readers.read_last_vectors(
         tables.vector_signals(spark, sf_dir), tables.vector_payloads(spark, sf_dir), VECTOR_WINDOW
     )
-    path = scratch_path(spark, "manifold")
-    M.fit_manifold(train, "embedding_vector", pca_k=16).save(path)
-    model = M.load_manifold(spark, path)
+    model = _stored_manifold(spark, train, vector="embedding_vector", pca_k=16)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return rounded(model.score(rows).drop("vector"), "ood_dist", "ood_prob")
 

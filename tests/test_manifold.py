@@ -47,8 +47,8 @@ def test_distances_equal_numpy(spark, cloud, tmp_path, mode, k):
     got = [r["ood_dist"] for r in again.score(frame(spark, live)).orderBy("i").collect()]
     np.testing.assert_allclose(got, want, rtol=1e-9)
     assert model.threshold == pytest.approx(np.quantile(want_train, 0.99), rel=1e-9)
-    assert again.stats["train_dist_p95"] == pytest.approx(np.quantile(want_train, 0.95), rel=1e-9)
-    assert again.stats["n_train"] == 300 and again.k == (k or 12)
+    assert again.spread[0.95] == pytest.approx(np.quantile(want_train, 0.95), rel=1e-9)
+    assert again.n_train == 300 and again.k == (k or 12)
 
 
 def test_centre_in_far_point_out_and_stricter_gate(spark):
@@ -81,13 +81,21 @@ def test_small_samples_are_guarded(spark):
         M.fit_manifold(frame(spark, np.eye(3)))
 
 
+def test_training_vectors_that_do_not_vary_are_refused(spark):
+    for mode in M.MODES:
+        with pytest.raises(ValueError, match="do not vary"):
+            M.fit_manifold(frame(spark, [[1.0, 2.0, 3.0]] * 9), mode=mode, pca_k=2)
+
+
 def test_five_scalars_by_hand(spark):
-    df = spark.createDataFrame([([0.0, 0.5, 1.0, -2.0, 9.9],)], "v array<float>")
+    # of the kept 0.25, -1, 0, 3: mean 9/16, squares 10.0625
+    df = spark.createDataFrame([([0.25, -1.0, 0.0, 3.0, 7.5],)], "v array<float>")
     from profilewatch.functions.vectors import leading_dims
 
     row = df.select(*V.scalar_columns(leading_dims(F.col("v"), 4))).first()
-    assert row["mean"] == -0.125 and row["sparsity"] == 0.25 and row["saturation"] == 0.5
-    assert row["norm"] == pytest.approx(math.sqrt(5.25)) and row["std"] == pytest.approx(math.sqrt(1.296875))
+    assert row["mean"] == 0.5625 and row["sparsity"] == 0.25 and row["saturation"] == 0.5
+    assert row["norm"] == pytest.approx(math.sqrt(10.0625))
+    assert row["std"] == pytest.approx(math.sqrt(10.0625 / 4 - 0.5625**2))
     edge = spark.createDataFrame([([0.95, 0.951, 1e-12, 0.0],)], "v array<double>")
     row = edge.select(*V.scalar_columns(F.col("v"))).first()
     assert row["saturation"] == 0.25 and row["sparsity"] == 0.25
