@@ -172,6 +172,14 @@ dist AS (
 limit_at AS (SELECT quantile_cont(d, 0.99) AS threshold FROM dist WHERE vec_id < 4)"""
 
 
+def _files(text: str = "text") -> str:
+    """One file per language: a line per document, in id order."""
+    return f"""contents AS (
+  SELECT lang, string_agg(doc_id || ' ' || md5(coalesce({text}, '')), chr(10) ORDER BY doc_id) || chr(10) AS body
+  FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+files AS (SELECT lang, sha256(body) AS sha256, strlen(body)::BIGINT AS bytes FROM contents)"""
+
+
 def text_measures(source: str, key: str) -> str:
     """Whole texts, character by character and word by word."""
     return f"""stripped AS (SELECT {key} AS k, trim(text, {_BLANKS}) AS t FROM {source}),
@@ -579,6 +587,14 @@ SELECT *, CASE WHEN n_ok = 0 THEN 'none_answered' WHEN n_ok < n_sent THEN 'partl
   ELSE 'answered_not_recorded' END AS outcome FROM sent""",
     "padded_windows": """SELECT user_id, strftime(min(ts) - INTERVAL 120 SECONDS, '%Y-%m-%d %H:%M:%S') || '+0000' AS window_start,
   strftime(max(ts) + INTERVAL 120 SECONDS, '%Y-%m-%d %H:%M:%S') || '+0000' AS window_end FROM events GROUP BY user_id""",
+    "manifest_files": f"""WITH {_files()}
+SELECT 'docs-' || lang AS key, lang AS file, sha256, bytes, lang <> 'en' AS tracked FROM files""",
+    "manifest_verify": f"""WITH {_files()}
+SELECT 'docs-' || lang AS key, lang AS file,
+  CASE lang WHEN 'fr' THEN 'changed' WHEN 'es' THEN 'missing' ELSE 'ok' END AS status FROM files""",
+    "manifest_refresh": f"""WITH {_files("CASE WHEN lang = 'fr' THEN 'edited' ELSE text END")}
+SELECT 'docs-' || lang AS key, sha256, bytes, lang <> 'en' AS tracked, 'O' AS model_id, 3 AS n_requests,
+  'first' AS note, '2' AS runs FROM files""",
     "stream_panel": f"""WITH {EVENTS}
 SELECT window_start, {r6('coalesce(avg(CASE WHEN z_cv <= -2 THEN 1.0 WHEN z_cv > -2 THEN 0.0 END), 0)')} AS flattened_rate,
   count(cv) AS sample_count, {r6('coalesce(avg(cv), 0)')} AS mean_cv, {r6('coalesce(avg(z_cv), 0)')} AS mean_z_cv,

@@ -700,39 +700,61 @@ def padded_windows(spark, sf_dir):
 # ---------------------------------------------------------------------- manifest
 
 
-def _record(spark, sf_dir):
-    digests = manifest.file_digests(spark, sf_dir, "*.parquet")
-    # the listing of the folder itself, one row per file
-    roles = digests.select(
-        F.regexp_replace("file", r"\.parquet\z", "").alias("key"), "file"
-    ).withColumn("tracked", F.col("key") != "documents")
-    files = manifest.manifest_files(digests, roles)
-    return digests, manifest.manifest_record(
-        files, version="v1", summary={"window": list(WINDOW), "model_id": "O", "n_requests": 3}
-    )
+def _listing(spark, sf_dir, changed=None, absent=None):
+    """A folder with one text file per language: ids and digests of its documents in id order."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
+    if absent is not None:
+        docs = docs.filter(F.col("lang") != absent)
+    edited = F.when(F.col("lang") == changed, F.lit("edited")).otherwise(F.col("text")) if changed else F.col("text")
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5(F.coalesce(edited, F.lit(""))))
+    path = scratch_path(spark, "listing")
+    lines = docs.select("lang", "doc_id", line.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
+    lines.drop("doc_id").write.partitionBy("lang").text(path)
+    return path
 
 
-@query
-def manifest_verify(spark, sf_dir):
-    digests, record = _record(spark, sf_dir)
+def _language_digests(spark, folder):
+    found = manifest.file_digests(spark, folder, "*.txt")
+    return found.select(F.regexp_extract("file", r"lang=([^/]*)/", 1).alias("file"), "sha256", "bytes")
+
+
+def _record(spark, folder, summary, **header):
+    digests = _language_digests(spark, folder)
+    roles = digests.select(F.concat(F.lit("docs-"), "file").alias("key"), "file", (F.col("file") != "en").alias("tracked"))
+    return manifest.manifest_record(manifest.manifest_files(digests, roles), version="v1", summary=summary, **header)
+
+
+def _stored_record(spark, sf_dir):
     path = scratch_path(spark, "manifest")
+    summary = {"window": list(WINDOW), "model_id": "O", "n_requests": 3}
+    record = _record(spark, _listing(spark, sf_dir), summary, extra={"note": "first", "runs": 2})
     manifest.write_manifest(record, path)
-    return manifest.verify_manifest(manifest.read_manifest(spark, path), digests)
+    return manifest.read_manifest(spark, path)
+
+
+@query
+def manifest_files(spark, sf_dir):
+    return _stored_record(spark, sf_dir).files
+
+
+@query
+def manifest_verify(spark, sf_dir):
+    """One file is edited and one is gone since the record was made."""
+    later = _language_digests(spark, _listing(spark, sf_dir, changed="fr", absent="es"))
+    return manifest.verify_manifest(_stored_record(spark, sf_dir), later)
 
 
 @query
 def manifest_refresh(spark, sf_dir):
-    digests, record = _record(spark, sf_dir)
-    path = scratch_path(spark, "manifest")
-    manifest.write_manifest(record, path)
-    again = manifest.manifest_record(
-        manifest.recorded_files(record), version="v1", summary={}, extra={"source_created_utc": "2024-01-01"}
-    )
-    refreshed = manifest.refresh_manifest(manifest.read_manifest(spark, path), again)
-    return refreshed.select(
-        F.explode("files").alias("key", "e"), "model_id", "source_created_utc",
-        F.col("counts")["n_requests"].alias("n_requests"),
-    ).select("key", "e.file", "e.bytes", "model_id", "source_created_utc", "n_requests")
+    again = _record(spark, _listing(spark, sf_dir, changed="fr"), {}, extra={})
+    refreshed = manifest.refresh_manifest(_stored_record(spark, sf_dir), again)
+    header = refreshed.header.select(
+        F.struct(
+            "model_id", F.col("counts")["n_requests"].alias("n_requests"),
+            F.col("extra")["note"].alias("note"), F.col("extra")["runs"].alias("runs"),
+        ).alias("h")
+    ).scalar()
+    return refreshed.files.withColumn("h", header).select("key", "sha256", "bytes", "tracked", "h.*")
 
 
 # --------------------------------------------------------------------- streaming

@@ -1,39 +1,75 @@
-"""Hashed manifest of the files of a reference folder."""
+"""Hashed manifest of the files of a reference folder: a header row and a table of files."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fields of a manifest that a refresh keeps unless new values are given.
-CARRIED = ["window", "model_id", "complete_request_ids", "counts", "source_created_utc"]
+#: Header fields that a refresh keeps where the new header leaves them empty.
+CARRIED = ("window", "model_id", "counts", "extra")
+#: Bytes a digest reads at once.
+CHUNK = 8 << 20
 
-_FILES = "map<string,struct<file:string,sha256:string,bytes:bigint,tracked:boolean>>"
-_RECORD = (
-    "version string, created_utc string, source_created_utc string, source string, "
-    "window array<string>, model_id string, reference_signal string, metric_layers array<int>, "
-    "metric_passes array<int>, counts map<string,bigint>, complete_request_ids array<string>, "
-    f"files {_FILES}"
+_HEADER = (
+    "version string, created_utc string, source string, window array<string>, model_id string, "
+    "reference_signal string, metric_layers array<int>, metric_passes array<int>, "
+    "counts map<string,bigint>, extra map<string,string>"
 )
+_FILES = "key string, file string, sha256 string, bytes bigint, tracked boolean"
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """``header`` is one row; ``files`` (``key, file, sha256, bytes, tracked``) and ``complete``
+    (``request_id``) are tables of any size."""
+
+    header: DataFrame
+    files: DataFrame
+    complete: DataFrame
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of files, a chunk at a time, through the file system of their URI."""
+    from pyarrow import fs
+
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "://" not in path else path
+            system, inside = fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with system.open_input_stream(inside) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests)], names=["path", "bytes", "sha256"])
 
 
 def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``file, sha256, bytes`` of every file below a folder, hashed where it is read.
+    """``file, sha256, bytes`` of every file below a folder.
 
-    Each file is one task's row (a digest is sequential by nature); Spark refuses
-    files of 2 GiB and more, which part files of a dataset stay under. ``file`` is
-    relative to the folder, so parts of different tables do not collide.
+    Spark lists the files (no content leaves the scan), deals them out by path, and the
+    task that has a path reads it in chunks, so neither its size nor the number of
+    files is bounded by memory. ``file`` is relative to the folder, so parts of different
+    tables do not collide.
     """
     found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(folder)
+        .select("path", F.col("length").alias("bytes"))
     )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = found.repartition(parts, "path").mapInArrow(_hashed, "path string, bytes bigint, sha256 string")
     tail = F.substring_index("path", "/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return found.select(
-        tail.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")
-    )
+    return hashed.select(tail.alias("file"), "sha256", "bytes")
 
 
 def manifest_files(digests: DataFrame, roles: DataFrame) -> DataFrame:
@@ -51,55 +87,38 @@ def manifest_record(
     metric_layers: list[int] | None = None,
     metric_passes: list[int] | None = None,
     extra: dict | None = None,
-) -> DataFrame:
-    """The whole manifest as one typed row; counts are the summary's ``n_*`` entries."""
-    extra = extra or {}
+    complete: DataFrame | None = None,
+) -> Manifest:
+    """Header and files; counts are the summary's ``n_*`` entries, every key of ``extra`` is kept."""
+    spark = files.sparkSession
     counts = {k: int(v) for k, v in summary.items() if k.startswith("n_")}
-
-    def optional(value, kind):
-        return F.lit(value).cast(kind)
-
-    def array(values, kind):
-        return F.array(*[F.lit(v) for v in (values or [])]).cast(f"array<{kind}>")
-
-    # one entry per file of the reference
-    listing = F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct("key", F.struct("file", "sha256", "bytes", "tracked"))))
-    ).cast(_FILES)
-    count_map = (
-        F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
-        if counts
-        else F.from_json(F.lit("{}"), "map<string,bigint>")
+    kept = {k: v if isinstance(v, str) else json.dumps(v) for k, v in (extra or {}).items()}
+    row = (
+        version, None, source, list(summary.get("window") or []), summary.get("model_id"), reference_signal,
+        list(metric_layers or []), list(metric_passes or []), counts, kept,
     )
-    return files.agg(listing.alias("files")).select(
-        F.lit(version).alias("version"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_utc"),
-        optional(extra.get("source_created_utc"), "string").alias("source_created_utc"),
-        optional(source, "string").alias("source"),
-        array(summary.get("window"), "string").alias("window"),
-        optional(summary.get("model_id"), "string").alias("model_id"),
-        optional(reference_signal, "string").alias("reference_signal"),
-        array(metric_layers, "int").alias("metric_layers"),
-        array(metric_passes, "int").alias("metric_passes"),
-        count_map.cast("map<string,bigint>").alias("counts"),
-        array(summary.get("complete_request_ids"), "string").alias("complete_request_ids"),
-        "files",
+    header = spark.createDataFrame([row], _HEADER).withColumn(
+        "created_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     )
+    ids = spark.createDataFrame([], "request_id string") if complete is None else complete
+    return Manifest(header, files, ids.select("request_id"))
 
 
-def write_manifest(record: DataFrame, path: str) -> None:
-    record.coalesce(1).write.mode("overwrite").json(path)
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_RECORD).json(path)
+def write_manifest(manifest: Manifest, path: str) -> None:
+    manifest.header.coalesce(1).write.mode("overwrite").json(f"{path}/header")
+    manifest.files.write.mode("overwrite").parquet(f"{path}/files")
+    manifest.complete.write.mode("overwrite").parquet(f"{path}/complete")
 
 
-def recorded_files(record: DataFrame) -> DataFrame:
-    return record.select(F.explode("files").alias("key", "e")).select("key", "e.*")
+def read_manifest(spark: SparkSession, path: str) -> Manifest:
+    return Manifest(
+        spark.read.schema(_HEADER).json(f"{path}/header"),
+        spark.read.schema(_FILES).parquet(f"{path}/files"),
+        spark.read.schema("request_id string").parquet(f"{path}/complete"),
+    )
 
 
-def verify_manifest(record: DataFrame, digests: DataFrame) -> DataFrame:
+def verify_manifest(manifest: Manifest, digests: DataFrame) -> DataFrame:
     """Status of every recorded file: ok, changed or missing. All are reported."""
     now = digests.select("file", F.col("sha256").alias("_now"))
     status = (
@@ -107,24 +126,21 @@ def verify_manifest(record: DataFrame, digests: DataFrame) -> DataFrame:
         .when(F.col("_now") == F.col("sha256"), F.lit("ok"))
         .otherwise(F.lit("changed"))
     )
-    return recorded_files(record).join(now, "file", "left").select("key", "file", status.alias("status"))
+    return manifest.files.join(now, "file", "left").select("key", "file", status.alias("status"))
 
 
-def refresh_manifest(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """``current`` re-hashed record with what the previous one knew carried forward.
+def refresh_manifest(previous: Manifest, current: Manifest) -> Manifest:
+    """``current`` with what the previous header knew carried forward; its files are the new ones.
 
-    No previous record gives no record: there is nothing to refresh.
+    No previous header gives none: there is nothing to refresh.
     """
-    # a manifest is one row, so its carried fields come in as one struct
-    carried = previous.select(F.struct(*CARRIED).alias("old")).scalar()
-    joined = current.withColumn("_old", carried).filter(F.col("_old").isNotNull())
-
-    def empty(c):
-        return F.col(c).isNull() if c in ("model_id", "source_created_utc") else F.size(c) == 0
-
-    return joined.select(
-        *[
-            F.when(empty(c), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) if c in CARRIED else F.col(c)
-            for c in current.columns
-        ]
-    )
+    old = previous.header.select(F.struct(*CARRIED).alias("old")).scalar()
+    joined = current.header.withColumn("_old", old).filter(F.col("_old").isNotNull())
+
+    def carried(c: str):
+        empty = F.col(c).isNull() if c == "model_id" else F.size(c) == 0
+        return F.when(empty, F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c)
+
+    header = joined.select(*[carried(c) if c in CARRIED else F.col(c) for c in current.header.columns])
+    complete = current.complete if not current.complete.isEmpty() else previous.complete
+    return Manifest(header, current.files, complete)

@@ -94,7 +94,7 @@ def folder(tmp_path):
 ROLES = [("prompts", "prompts_v1.csv", False), ("scalars", "scalars_v1.csv", True), ("band", "band_v1.bin", True),
          ("manifold", "manifold_v1.bin", True)]
 SUMMARY = {"window": ["2024-01-01", "2024-01-02"], "model_id": "m", "n_requests": 100, "n_complete": 44, "rate": 0.5,
-           "complete_request_ids": ["a", "b"]}
+           }
 
 
 def record_of(spark, folder, **kw):
@@ -105,14 +105,18 @@ def record_of(spark, folder, **kw):
 
 def test_record_has_digests_counts_and_roles(spark, folder, tmp_path):
     path = str(tmp_path / "manifest")
-    M.write_manifest(record_of(spark, folder, metric_layers=[0, 1]), path)
-    row = M.read_manifest(spark, path).first()
-    assert set(row["files"]) == {"prompts", "scalars", "band"}          # a file not produced is left out
-    entry = row["files"]["scalars"]
+    ids = spark.createDataFrame([("a",), ("b",)], "request_id string")
+    extra = {"created_by": "me", "runs": [1, 2]}
+    M.write_manifest(record_of(spark, folder, metric_layers=[0, 1], complete=ids, extra=extra), path)
+    found = M.read_manifest(spark, path)
+    row, files = found.header.first(), {r["key"]: r for r in found.files.collect()}
+    assert set(files) == {"prompts", "scalars", "band"}          # a file not produced is left out
+    entry = files["scalars"]
     assert entry["sha256"] == hashlib.sha256(b"s\n" * 5).hexdigest() and entry["bytes"] == 10 and entry["tracked"]
-    assert not row["files"]["prompts"]["tracked"]
+    assert not files["prompts"]["tracked"]
     assert row["counts"] == {"n_requests": 100, "n_complete": 44} and row["window"] == SUMMARY["window"]
-    assert row["complete_request_ids"] == ["a", "b"] and row["metric_layers"] == [0, 1]
+    assert row["metric_layers"] == [0, 1] and row["extra"] == {"created_by": "me", "runs": "[1, 2]"}
+    assert sorted(r["request_id"] for r in found.complete.collect()) == ["a", "b"]
 
 
 def statuses(spark, record, folder):
@@ -138,9 +142,17 @@ def test_refresh_rehashes_and_carries_the_rest(spark, folder, tmp_path):
     (folder / "manifold_v1.bin").write_bytes(b"new")
     (folder / "scalars_v1.csv").write_bytes(b"newer")
     again = M.refresh_manifest(M.read_manifest(spark, path), record_of(spark, folder, summary={}))
-    row = again.first()
-    assert set(row["files"]) == {"prompts", "scalars", "band", "manifold"}
-    assert row["files"]["scalars"]["sha256"] == hashlib.sha256(b"newer").hexdigest()
-    assert row["model_id"] == "m" and row["counts"]["n_complete"] == 44 and row["source_created_utc"] == "then"
-    nothing = M.refresh_manifest(M.read_manifest(spark, path).filter("false"), record_of(spark, folder))
-    assert nothing.count() == 0
+    row, files = again.header.first(), {r["key"]: r for r in again.files.collect()}
+    assert set(files) == {"prompts", "scalars", "band", "manifold"}
+    assert files["scalars"]["sha256"] == hashlib.sha256(b"newer").hexdigest()
+    assert row["model_id"] == "m" and row["counts"]["n_complete"] == 44 and row["extra"] == {"source_created_utc": "then"}
+    stored = M.read_manifest(spark, path)
+    none = M.Manifest(stored.header.filter("false"), stored.files, stored.complete)
+    assert M.refresh_manifest(none, record_of(spark, folder)).header.count() == 0
+
+
+def test_digests_are_read_in_chunks(spark, folder, monkeypatch):
+    body = bytes(range(256)) * 40_000                                   # more than one chunk
+    (folder / "large.bin").write_bytes(body)
+    found = {r["file"]: r for r in M.file_digests(spark, str(folder), "*.bin").collect()}
+    assert found["large.bin"]["sha256"] == hashlib.sha256(body).hexdigest() and found["large.bin"]["bytes"] == len(body)
