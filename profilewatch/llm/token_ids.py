@@ -14,6 +14,9 @@ position of every document in the whole.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +33,9 @@ from . import kernels as K
 END_ID = 1
 #: Ids of a block at most, but for a longer document.
 BLOCK_IDS = 1 << 20
-#: Words a task remembers between blocks; beyond it starts anew.
+#: Words given to the tokenizer in one call; its result takes some hundred bytes a word.
+AT_ONCE = 4096
+#: Words a worker remembers; beyond it starts anew.
 REMEMBER = 1_000_000
 
 ENCODED = "doc_id long, ids binary"
@@ -42,9 +47,14 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
 class WordEncoder:
-    """Ids of words by hash; texts become ids by lookup."""
+    """Ids of words by hash; texts become ids by lookup.
+
+    Every word is given to the tokenizer once, as long as it is remembered. A worker
+    keeps its encoder between tasks; what it remembers has no effect on the ids.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,24 +63,28 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.at = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Add words that are not known; keys are sorted and distinct."""
-        if len(self.keys) + len(keys) > REMEMBER:
-            self.forget()
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        ids = np.fromiter((i for c in coded for i in c), np.uint32, int(sizes.sum()))
+        sizes = np.zeros(len(words), np.int64)
+        first = self.used
+        for lo in range(0, len(words), AT_ONCE):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + AT_ONCE], add_special_tokens=False)]
+            sizes[lo : lo + len(coded)] = [len(c) for c in coded]
+            ids = np.array(list(itertools.chain.from_iterable(coded)), np.uint32)
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
         all_keys = np.concatenate((self.keys, keys))
-        all_sizes = np.concatenate((np.diff(self.at), sizes))
-        all_at = np.concatenate((self.at[:-1], self.at[-1] + np.concatenate(([0], np.cumsum(sizes)))))[:-1]
-        order = np.argsort(all_keys, kind="stable")
-        pool = np.concatenate((self.ids, ids))
+        order = np.argsort(all_keys, kind="stable")  # two sorted runs: a merge
         self.keys = all_keys[order]
-        self.ids = pool[spread(all_at[order], all_sizes[order])]
-        self.at = np.concatenate(([0], np.cumsum(all_sizes[order])))
+        self.at = np.concatenate((self.at, first + np.cumsum(sizes) - sizes))[order]
+        self.sizes = np.concatenate((self.sizes, sizes))[order]
 
     def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
         """Ids of all words in turn, and how many each word has."""
@@ -86,8 +100,13 @@ class WordEncoder:
             self.learn(keys[new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)])
             spot = np.searchsorted(self.keys, keys)
         word = spot[back]
-        sizes = np.diff(self.at)[word]
-        return self.ids[spread(self.at[word], sizes)], sizes
+        sizes = self.sizes[word]
+        return self.pool[spread(self.at[word], sizes)], sizes
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def spread(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -99,7 +118,7 @@ def spread(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         width = np.dtype("<u2") if encoder.size <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
