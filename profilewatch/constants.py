@@ -61,9 +61,13 @@ WHITESPACE = (
 WORD_PATTERN = "[A-Za-z0-9']+"
 
 # Fixed values -- ordered columns of a score row.
-SCORE_COLUMNS = [
-    "prompt_id", "n_chars", "n_prompt_tokens", "n_generated_tokens",
-    "cv", "slope", "corr", "z_cv", "z_slope", "max_abs_z_layer",
-    "cv_pass_slope", "n_passes_used", "ood_dist", "ood_prob", "is_ood",
-    "text_ok", "text_reasons", "flag", "error", "prompt", "generated_text",
-]
+
+#: The wording of failed text checks, as reports and score tables carry it.
+TEXT_REASONS = {
+    "too_short": "too short: %d < {limit} chars",
+    "too_long": "too long: %d > {limit} chars",
+    "char_repeat": "character repeated %d times in a row",
+    "few_words": "only %s distinct-word ratio",
+    "top_word": "top word is %s of all words",
+    "no_words": "no words found",
+}

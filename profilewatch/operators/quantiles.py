@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 _ACCURACY = 20_000
+#: Rows of a bracket that one task ranks; a larger bracket is narrowed by a sketch of its own.
+_RANKED = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
@@ -32,7 +34,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         n, brackets = _brackets(values, missing, margin)
         if n == 0:
             return [None for _ in probabilities]
-        found.update(_inside(values, n, brackets))
+        found.update(_inside(values, n, _narrowed(values, n, brackets, margin)))
         margin *= 8.0
     return [found[p] for p in probabilities]
 
@@ -51,6 +53,38 @@ def _brackets(values: DataFrame, ps: list[float], margin: float):
     return row["n"], {p: (a, b) for p, a, b in zip(ps, row["sketch"], row["sketch"][len(ps) :])}
 
 
+def _narrowed(values: DataFrame, n: int, brackets: dict[float, tuple[float, float]], margin: float):
+    """The brackets, sketched again inside themselves until few rows are left in each.
+
+    The margin grows with the caller's, so a bracket that missed its rank is cut less the next time.
+    """
+    x = F.col("x")
+    while margin < 1.0:
+        spans = list(brackets.items())
+        counted = [
+            c
+            for i, (_, (lo, hi)) in enumerate(spans)
+            for c in (F.count_if(x < lo).alias(f"below{i}"), F.count_if((x >= lo) & (x <= hi)).alias(f"in{i}"))
+        ]
+        row = values.agg(*counted).first()
+        wide = [i for i, (_, (lo, hi)) in enumerate(spans) if row[f"in{i}"] > _RANKED and lo < hi]
+        if not wide:
+            return brackets
+        sketches = []
+        for i in wide:
+            p, (lo, hi) = spans[i]
+            inside = max(1, row[f"in{i}"] - 1)
+            place, reach = (p * (n - 1) - row[f"below{i}"]) / inside, max(margin, 2.0 / inside)
+            ends = [min(1.0, max(0.0, place - reach)), min(1.0, max(0.0, place + reach))]
+            sketches.append(F.percentile_approx(F.when(x.between(lo, hi), x), ends, _ACCURACY).alias(f"s{i}"))
+        found = values.agg(*sketches).first()
+        narrower = {spans[i][0]: tuple(found[f"s{i}"]) for i in wide}
+        if all(brackets[p] == b for p, b in narrower.items()):  # equal values, which fold to one row
+            return brackets
+        brackets = brackets | narrower
+    return brackets
+
+
 def _inside(values: DataFrame, n: int, brackets: dict[float, tuple[float, float]]) -> dict[float, float]:
     """Quantiles whose two ranks lie inside their bracket, in one pass.
 

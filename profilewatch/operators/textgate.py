@@ -11,6 +11,7 @@ from ..constants import (
     TEXT_MAX_TOP_WORD_SHARE,
     TEXT_MIN_CHARS,
     TEXT_MIN_DISTINCT_WORD_RATIO,
+    TEXT_REASONS,
 )
 from ..functions.text import longest_char_run, strip, with_word_counts
 
@@ -58,12 +59,12 @@ def text_checks(
         (F.col("n_words") == 0) & (n > 0),
     ]
     wording = [
-        F.format_string(f"too short: %d < {min_chars} chars", n),
-        F.format_string(f"too long: %d > {max_chars} chars", n),
-        F.format_string("character repeated %d times in a row", run),
-        F.concat(F.lit("only "), two_decimals(F.col("distinct_ratio")), F.lit(" distinct-word ratio")),
-        F.concat(F.lit("top word is "), two_decimals(F.col("top_share")), F.lit(" of all words")),
-        F.lit("no words found"),
+        F.format_string(TEXT_REASONS["too_short"].format(limit=min_chars), n),
+        F.format_string(TEXT_REASONS["too_long"].format(limit=max_chars), n),
+        F.format_string(TEXT_REASONS["char_repeat"], run),
+        F.format_string(TEXT_REASONS["few_words"], two_decimals(F.col("distinct_ratio"))),
+        F.format_string(TEXT_REASONS["top_word"], two_decimals(F.col("top_share"))),
+        F.lit(TEXT_REASONS["no_words"]),
     ]
 
     def listed(values: list[Column]) -> Column:

@@ -5,7 +5,7 @@ from profilewatch.constants import WHITESPACE
 from profilewatch.functions import signals as S
 from profilewatch.functions import text as X
 from profilewatch.operators import cells as C
-from profilewatch.schemas import SCORES, SIGNALS, conform, empty
+from profilewatch.schemas import SCORES, conform
 from profilewatch.sources import readers
 from tests.planted import EMBED, LAYER, SCOPE, SIGNAL_SCHEMA, signal
 
@@ -112,12 +112,41 @@ def test_last_vectors_skip_prefill_junk_and_empty(spark):
 
 
 def test_contracts_hold_for_empty_and_foreign_frames(spark):
-    assert empty(spark, SIGNALS).columns == SIGNALS.names
     odd = spark.createDataFrame([("p", "7", 1)], "prompt_id string, cv string, extra int")
     row = conform(odd, SCORES)
     assert row.columns == SCORES.names and row.first()["cv"] == 7.0 and row.first()["flag"] is None
 
 
+def test_a_value_that_does_not_fit_fails(spark):
+    odd = spark.createDataFrame([("p", "12x")], "prompt_id string, cv string")
+    with pytest.raises(Exception, match="12x"):
+        conform(odd, SCORES).collect()
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "signals.csv"
+    path.write_text("id,std,extra,request_id,forward_pass_index,signal_type\n7,2.5,x,r9,08,sig\n")
+    row = readers.read_table(spark, str(path)).first()
+    assert (row["request_id"], row["std"], row["forward_pass_index"], row["id"], row["mean"]) == ("r9", 2.5, "08", 7, None)
+    path.write_text("request_id,std\nr9,many\n")
+    with pytest.raises(Exception, match="many"):
+        readers.read_table(spark, str(path)).collect()
+
+
+def test_a_stored_capture_gets_its_file_order(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text("request_id,signal_type,forward_pass_index,std\n" + "".join(f"r,s,1,{i}\n" for i in range(50)))
+    rows = readers.read_capture(spark, str(path))
+    assert [r["std"] for r in rows.orderBy("id").collect()] == [float(i) for i in range(50)]
+
+
+@pytest.mark.parametrize("kind, low", [("string", "'a'"), ("timestamp", "timestamp'2024-01-01 00:00:00.1'"), ("double", "0.25D"), ("long", "3L")])
+def test_copies_are_ordered_by_ids_of_any_type(spark, kind, low):
+    high = {"string": "'b'", "timestamp": "timestamp'2024-01-01 00:00:00.2'", "double": "0.5D", "long": "4L"}[kind]
+    rows = spark.sql(f"select 'k' k, 2.0D v, {high} id union all select 'k', 1.0D, {low} union all select 'k', 9.0D, null")
+    assert C.first_per_key(rows, ["k"], ["v"]).first()["v"] == 1.0
+
+
 def test_csv_keeps_the_pass_as_text(spark, tmp_path):
     df = spark.createDataFrame([signal("r", LAYER + "0", "08", 1.5)], SIGNAL_SCHEMA).drop("id", "deleted_at")
     path = str(tmp_path / "rows.csv")

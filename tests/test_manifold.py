@@ -146,9 +146,11 @@ def test_reference_vector_takes_the_numerically_highest_pass(spark):
     [float(i) for i in range(7)],
     [3.5],
 ])
-def test_quantiles_equal_numpy(spark, values):
+@pytest.mark.parametrize("ranked", [1_000_000, 3])              # few rows in one task: brackets are sketched again
+def test_quantiles_equal_numpy(spark, monkeypatch, values, ranked):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     ps = [0.0, 0.01, 0.5, 0.95, 0.99, 1.0]
+    monkeypatch.setattr("profilewatch.operators.quantiles._RANKED", ranked)
     np.testing.assert_allclose(exact_quantiles(df, "x", ps), np.quantile(values, ps), rtol=1e-12)
 
 
@@ -193,6 +195,14 @@ def test_student_t_against_integration(spark, df):
 
 
 def test_published_t_value(spark):
+    # any number of pairs, and small tails with all their digits: t = 2, df large is the normal 0.0455;
+    # df 2 has the closed form 1 - t / sqrt(2 + t^2)
+    big = spark.range(1).select(D.t_two_sided(F.lit(2.0), F.lit(3_000_000_000))).first()[0]
+    assert big == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-8)
+    two = spark.range(1).select(D.t_two_sided(F.lit(1e4), F.lit(2))).first()[0]
+    assert two == pytest.approx(2 / (2 + 1e8) / (1 + 1e4 / math.sqrt(2 + 1e8)), rel=1e-9)
+    tail = spark.range(1).select(D.t_two_sided(F.lit(12.0), F.lit(401))).first()[0]
+    assert 1e-29 < tail < 1e-27
     p = spark.range(1).select(D.t_two_sided(F.lit(-3.29), F.lit(44))).first()[0]
     assert round(p, 4) == 0.0020
     assert spark.range(1).select(D.t_two_sided(F.lit(1.0), F.lit(0))).first()[0] is None

@@ -47,12 +47,18 @@ def test_band_needs_two_complete_requests(spark):
     one = {"a": TRAINING["a"], "partial": {2: RAMP, 3: [1.0, 2.0]}}
     with pytest.raises(Exception, match="at least 2 requests"):
         B.fit_band(cells_of(spark, one), **SCOPE).frame.collect()
+    for part in (lambda b: b.layer(), lambda b: b.range(), lambda b: b.frame.select("version"), lambda b: spark.range(1).select(b.row())):
+        with pytest.raises(Exception, match="at least 2 requests"):
+            part(B.fit_band(cells_of(spark, one), **SCOPE)).collect()
 
 
 def test_a_named_request_with_too_few_passes_fails_the_fit(spark):
     named = spark.createDataFrame([("ramp",), ("flat",), ("short",)], "request_id string")
     with pytest.raises(Exception, match="at least 2 passes"):
         B.fit_band(cells_of(spark, LIVE), named, **SCOPE).frame.collect()
+    gone = spark.createDataFrame([("ramp",), ("flat",), ("nobody",)], "request_id string")
+    with pytest.raises(Exception, match="has no rows"):
+        B.fit_band(cells_of(spark, LIVE), gone, **SCOPE).layer().collect()
 
 
 def test_flat_ramp_and_short(spark, band):

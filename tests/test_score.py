@@ -2,7 +2,6 @@ import math
 
 import pytest
 
-from profilewatch.constants import SCORE_COLUMNS
 from profilewatch.operators import band as B
 from profilewatch.operators import cells as C
 from profilewatch.operators import manifold as M
@@ -29,7 +28,7 @@ def by_id(df):
 
 def test_scores_without_a_manifold(inputs):
     found = score_batch(*inputs, **SCOPE)
-    assert found.columns == SCORE_COLUMNS == SCORES.names
+    assert found.columns == SCORES.names
     got = by_id(found)
     flat, ramp = got["flat"], got["ramp"]
     assert flat["z_cv"] == pytest.approx(-3 * math.sqrt(0.5)) and flat["flag"] and flat["error"] == ""
