@@ -10,11 +10,15 @@ have a Jaccard similarity of ``percent`` or more. Links are exact; components fo
   each member with one pivot, then only members that are in different components yet
   with another pivot, and so on. A group of thousands of near copies takes some rows per
   member and never all pairs.
-* For a candidate pair the sketch of the union (the smallest hashes of both sets) estimates
+* Candidates are thinned out before any set moves: each set has a parity sketch, its values
+  folded to ``PARITY_BITS`` bits by exclusive or. Two of these differ in at most as many bits as the
+  sets differ in values, so a pair that differs in more than similar sets may is dismissed
+  for certain.
+* For what is left the sketch of the union (the smallest hashes of both sets) estimates
   the similarity; pairs far below the threshold are dismissed, the others are
   verified on the full sets.
 
-How it runs. Document frequencies are counted exactly, apart from 39 or more bits of a hash
+How it runs. Document frequencies are counted exactly, apart from 35 or more bits of a hash
 standing for a value: packed entries go to ranges of the hash space and classes come back to
 groups of documents (``_scatter``, ``_classes``, ``_retain``). A value with one document cannot
 link; a set with more of those than its sketch has room for is done. Values that stand out in
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_hot
@@ -50,11 +54,17 @@ COMMON_SHARE = 0.002
 #: at a similarity of 0.8 fewer than 0.55 of 256 agree with a probability below 1e-18.
 UNION_K = 256
 UNION_LEAST = 0.55
-#: Rounds of pivots before the members that are still apart are compared with each other.
-MAX_ROUNDS = 6
+#: Bits of the parity sketch.
+PARITY_BITS = 1024
+#: Rounds of pivots at most, and new links of a round from which on no other follows: the
+#: members that are still apart are then compared with each other.
+MAX_ROUNDS = 12
+FEW = 20
+#: Ids that are sent to every task at once, 8 bytes each.
+SENT_IDS = 500_000
 
 VALUES, SETS, CLASSES, COPIES = 0, 1, 2, 3
-RETAINED = "key long, doc_id long, n long, copy_of long, kept array<long>, members binary"
+RETAINED = "key long, doc_id long, n long, copy_of long, kept array<long>, members array<long>, parity array<long>"
 
 
 def shingle_sets(column: pa.Array, lo: int, hi: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +89,12 @@ def _whole(words: np.ndarray) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little"))
 
 
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """The values folded to bits by exclusive or, as 64-bit words."""
+    odd = np.bincount((h >> np.uint64(7)) & np.uint64(PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch_size(n: np.ndarray | int, percent: int):
     """k of a set of n values: one more than may be missing from a linked set."""
     return n - (n * percent + 99) // 100 + 1
@@ -267,7 +283,7 @@ def _retain(shingle: int, percent: int, common, ranges: int):
         take = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
         rank, owner = rank[take] if len(take) else rank[:0].astype(np.uint8), np.repeat(at_row, size)
         edge_of = np.searchsorted(owner, np.arange(n_docs + 1))
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         _, offs = K.text_bytes(text)
         for lo, hi in K.steps(offs):
             h, edge = shingle_sets(text, lo, hi, shingle)
@@ -277,7 +293,7 @@ def _retain(shingle: int, percent: int, common, ranges: int):
                 n = len(own)
                 key, rep = int(keys[i]), copy_of.get(int(keys[i]))
                 first = by_key[key]
-                kept, members = None, None
+                kept, members, parity = None, None, None
                 if n and rep is None and first == i:
                     seen = np.full(n, 255, np.uint8)
                     seen[~usual[edge[i - lo] : edge[i - lo + 1]]] = rank[edge_of[i] : edge_of[i + 1]]
@@ -285,7 +301,7 @@ def _retain(shingle: int, percent: int, common, ranges: int):
                     alone = int((seen == 0).sum())
                     if alone < k:
                         best = np.lexsort((own, seen))[alone:k]
-                        kept, members = own[best].view(np.int64), own.tobytes()
+                        kept, members, parity = own[best].view(np.int64), np.sort(own.view(np.int64)), parity_sketch(own)
                 elif n and rep is None:
                     rep = int(ids[i])
                 out[0].append(key)
@@ -294,44 +310,61 @@ def _retain(shingle: int, percent: int, common, ranges: int):
                 out[3].append(rep)
                 out[4].append(kept)
                 out[5].append(members)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        names = ["key", "doc_id", "n", "copy_of", "kept", "members"]
+                out[6].append(parity)
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
+        names = ["key", "doc_id", "n", "copy_of", "kept", "members", "parity"]
         return pa.table([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-def _similar(percent: int):
-    """Pairs of sets: the union sketch dismisses, the full sets decide."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(left.as_buffer(), "<u8"), np.frombuffer(right.as_buffer(), "<u8")
-                keep.append(_linked(a, b, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _linked(percent: int) -> Column:
+    """Whether the sets ``left`` and ``right`` are similar enough: the union sketch dismisses, the full sets decide."""
+    n_left, n_right = F.size("left"), F.size("right")
+    a, b = F.slice("left", 1, UNION_K), F.slice("right", 1, UNION_K)
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, UNION_K)
+    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
+    least = (UNION_LEAST + percent / 100 - 0.8) * UNION_K
+    far = (F.least(n_left, n_right) > 4 * UNION_K) & (shared < least)
+    inter = F.size(F.array_intersect("left", "right"))
+    return F.when(far, F.lit(False)).otherwise(100 * inter >= percent * (n_left + n_right - inter))
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
-        return False
-    if min(len(a), len(b)) > 4 * UNION_K:
-        union = np.union1d(a[:UNION_K], b[:UNION_K])[:UNION_K]
-        shared = np.intersect1d(np.intersect1d(union, a[:UNION_K], True), b[:UNION_K], True)
-        if len(shared) < (UNION_LEAST + percent / 100 - 0.8) * UNION_K:
-            return False
-    inter = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * inter >= percent * (len(a) + len(b) - inter)
+def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the documents that pairs name; only these move. The names are sent to the scan while they are few."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if ids.limit(SENT_IDS + 1).count() <= SENT_IDS:
+        return sets.join(F.broadcast(ids), "doc_id", "left_semi")
+    return join_hot(sets, ids, ["doc_id"], "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
+    sets = _of_pairs(pairs, sets)
     left = join_hot(pairs, sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), ["a"])
     both = join_hot(left, sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right")), ["b"])
-    return both.select("a", "b", "left", "right").mapInArrow(_similar(percent), "a long, b long")
+    return both.filter(_linked(percent)).select("a", "b")
+
+
+def _differ(one: str, other: str) -> Column:
+    """Bits in which two parity sketches differ."""
+    words = PARITY_BITS // 64
+    return sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i])) for i in range(1, words)), F.bit_count(F.col(one)[0].bitwiseXOR(F.col(other)[0])))
+
+
+def _near(percent: int, n_one: str, n_other: str, one: str, other: str) -> Column:
+    """What similar sets fulfil: |A xor B| <= (|A| + |B|) (1 - J) / (1 + J)."""
+    return _differ(one, other) * (100 + percent) <= (F.col(n_one) + F.col(n_other)) * (100 - percent)
+
+
+def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parity sketches do not dismiss."""
+    def side(c: str):
+        return sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+
+    sets = _of_pairs(pairs, sets.select("doc_id", "n", "parity"))
+    both = join_hot(join_hot(pairs, side("a"), ["a"]), side("b"), ["b"])
+    return both.filter(_near(percent, "n_a", "n_b", "p_a", "p_b")).select("a", "b")
 
 
 def _fits(percent: int):
@@ -358,7 +391,7 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    ranges, groups = max(128, width), max(8, 2 * width)
+    ranges, groups = max(8, width // 2), max(8, 2 * width)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(K.NO_ID))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
@@ -375,7 +408,7 @@ def near_duplicates(
     kept = settle(dealt.cogroup(replies).applyInArrow(_retain(shingle, percent, common, ranges), RETAINED))
 
     copies = kept.filter("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
-    sets = kept.filter("kept IS NOT NULL").select("doc_id", "n", "members")
+    sets = kept.filter("kept IS NOT NULL").select("doc_id", "n", "members", "parity")
     posting = kept.filter("kept IS NOT NULL").select("doc_id", "n", F.explode("kept").alias("value"))
     lists = _distinct_lists(posting)
     links = settle(copies.unionByName(_all_links(lists, sets, percent, max_rounds)))
@@ -405,44 +438,39 @@ def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int)
     members = lists.withColumn("component", F.col("doc_id"))
     found = None
     for turn in range(max_rounds):
+        first = F.struct(F.when(F.lit(turn) > 0, F.xxhash64("doc_id", F.lit(turn))), F.col("doc_id"))
+        pivot = F.struct(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
         pivots = members.groupBy("value").agg(
-            F.min_by(F.struct(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")),
-                     F.struct(F.when(F.lit(turn) > 0, F.xxhash64("doc_id", F.lit(turn))), F.col("doc_id"))).alias("p"),
-            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min_by(pivot, first).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")
         ).filter("low != high").select("value", "p.*")
         stars = join_hot(members, pivots, ["value"]).filter("component != pivot_component").filter(_fits(percent))
         pairs = stars.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+        pairs = settle(_candidates(settle(pairs), sets, percent))
         links = settle(_verified(pairs, sets, percent))
         found = links if found is None else found.unionByName(links)
         components = settle(smallest_reachable(found))
         members = join_hot(lists, components.withColumnRenamed("id", "doc_id"), ["doc_id"], "left")
-        members = settle(members.withColumn("component", F.coalesce("component", "doc_id")))
-        left = _apart(members)
-        if left is None:
+        members = settle(_apart(members.withColumn("component", F.coalesce("component", "doc_id"))))
+        if members.isEmpty():
             return found
-        members = left
-        n, pairs_left = left.agg(F.count("*"), F.sum("others")).first()
-        if (pairs_left or 0) <= 4 * (n or 0) + 10_000:
+        if turn > 0 and links.limit(FEW + 1).count() <= FEW:
             break
     # what is still apart, each member with those of other components of about its size
     level = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
-    left = members.select("value", "doc_id", "n", "component").withColumn("level", level)
+    left = join_hot(members, sets.select("doc_id", "parity"), ["doc_id"]).withColumn("level", level)
     near = left.select(
-        F.col("value"), F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"),
-        F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"),
+        F.col("value"), F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"), F.col("doc_id").alias("pivot"),
+        F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), F.col("parity").alias("pivot_parity"),
     )
-    rest = join_hot(left, near, ["value", "level"]).filter("doc_id > pivot AND component != pivot_component").filter(_fits(percent))
+    same = [left["value"] == near["value"], left["level"] == near["level"]]
+    open_ = [F.col("doc_id") > F.col("pivot"), F.col("component") != F.col("pivot_component"), _fits(percent),
+             _near(percent, "n", "pivot_n", "parity", "pivot_parity")]
+    rest = left.join(near, [*same, *open_])
     pairs = rest.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    return found.unionByName(settle(_verified(pairs, sets, percent)))
-
-
-def _apart(members: DataFrame) -> DataFrame | None:
-    """Members of lists that still span components, with how many others each may have to meet."""
-    spans = members.groupBy("value").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")
-    ).filter("low != high")
-    inside = members.groupBy("value", "component").agg(F.count("*").alias("same"))
-    left = join_hot(members, spans.select("value", "many"), ["value"])
-    left = join_hot(left, inside, ["value", "component"])
-    left = settle(left.select("value", "doc_id", "n", "component", (F.col("many") - F.col("same")).alias("others")))
-    return None if left.isEmpty() else left
+    return found.unionByName(settle(_verified(settle(pairs), sets, percent)))
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """Members of lists that still span components."""
+    spans = members.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return join_hot(members, spans.filter("low != high").select("value"), ["value"])
