@@ -6,7 +6,10 @@ replaced, and several masks together tolerate replacements anywhere. Every windo
 every document is hashed under every mask and looked up among the hashes of the test
 items. A hit fixes an item and an offset; the overlap around it is then compared word by
 word on the whole length of the item, and counts when a stretch of it has enough equal
-words at a high enough share.
+words at a high enough share. The masks leave none out: every stretch of ``MIN_EQUAL`` equal
+words at ``MIN_SHARE`` holds all counting positions of one of them. For a stretch of 26 words or
+more has a half that qualifies by itself, so only the patterns of at most 25 words that hold no
+shorter one need a mask; ``tests/llm/test_decontam.py`` goes through all of them.
 
 Words are runs of letters and digits with A-Z in lower case, so punctuation, line
 breaks and case do not hide a passage.
@@ -28,8 +31,21 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Positions that count. Weight 6 of spans 6 to 11: contiguous, and spread with gaps that do not line up.
-MASKS = ("111111", "11011011", "1101001011", "10110100101")
+#: Positions that count. Weight 6 of spans 7 to 14: a cover of all stretches that MIN_EQUAL and MIN_SHARE allow.
+MASKS = (
+    "1110111",
+    "100101111",
+    "111010011",
+    "1010001111",
+    "11010000010011",
+    "11110100001",
+    "11000100111",
+    "111100101",
+    "110110101",
+    "11100100000011",
+    "1101010000011",
+    "11001010011",
+)
 #: Equal words, and their share of the stretch, that make an overlap.
 MIN_EQUAL = 10
 MIN_SHARE = 0.7
@@ -178,6 +194,7 @@ def overlaps(
     One row per (document row, item) that overlap in a stretch of at least ``min_equal``
     equal words making up ``min_share`` of it: ``doc_id, item_id, n_equal, n_span,
     doc_start, item_start`` (the longest such stretch; positions are word numbers).
+    Every such pair is found with the given masks; another ``min_equal`` or ``min_share`` needs its own.
     Null and empty texts overlap with nothing, nor do items below ``min_equal`` words or
     with a null id. Equal items are all reported. Empty tables give an empty result.
     """

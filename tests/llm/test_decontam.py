@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,42 @@ def test_nulls_and_empty_tables(spark):
     d, i = frames(spark, docs, [(7, item), (8, None), (None, item), (9, "short one")])
     assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontam.overlaps(d, i).collect()) == [(0, 7), (3, 7), (3, 7)]
     assert decontam.overlaps(d.limit(0), i).collect() == [] and decontam.overlaps(d, i.limit(0)).collect() == []
+
+
+def allowed(equal):
+    return sum(equal) >= decontam.MIN_EQUAL and sum(equal) >= decontam.MIN_SHARE * len(equal) - 1e-9
+
+
+def minimal_stretches(n):
+    """Patterns of n words with equal ends that are an overlap and hold no shorter one."""
+    for k in range(n - decontam.MIN_EQUAL + 1):
+        for other in itertools.combinations(range(1, n - 1), k):
+            equal = [i not in other for i in range(n)]
+            if not allowed(equal):
+                break
+            inner = ((i, j) for i in range(n) for j in range(i + decontam.MIN_EQUAL, n + 1) if j - i < n)
+            if not any(allowed(equal[i:j]) for i, j in inner):
+                yield equal
+
+
+def test_every_minimal_stretch_holds_a_seed():
+    # of 26 words or more, one of two halves is an overlap by itself
+    counts = {}
+    for n in range(decontam.MIN_EQUAL, 26):
+        patterns = np.array(list(minimal_stretches(n)), bool).reshape(-1, n)
+        counts[n] = len(patterns)
+        item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        words = np.where(patterns, item, np.uint64(5)).ravel()
+        held = decontam.TestItems(np.array([1]), [item], decontam.MASKS)
+        hits = held.candidates(words, np.arange(len(patterns) + 1) * n)
+        assert {r for r, _, offset in hits.tolist() if offset == r * n} == set(range(len(patterns))), n
+    assert counts[14] == 495 and counts[24] == 720 and counts[25] == 0
+
+
+@pytest.mark.parametrize("n, period", [(15, 4), (23, 4), (59, 4), (59, 5)])
+def test_periodic_replacements_are_found(spark, n, period):
+    item = [f"w{i}" for i in range(n)]
+    copies = [["other" if i % period == shift else w for i, w in enumerate(item)] for shift in range(period)]
+    docs = [(shift, " ".join(["x", *copy, "y"])) for shift, copy in enumerate(copies)]
+    got = decontam.overlaps(*frames(spark, docs, [(7, " ".join(item))])).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_equal"]) for r in got} == {(k, 7, n - c.count("other")) for k, c in enumerate(copies)}
