@@ -137,6 +137,9 @@ def _scatter(shingle: int, common, ranges: int, groups: int):
             keys, ids, text = (block.column(i) for i in range(3))
             keys, ids = K.id_values(keys), K.id_values(ids)
             _, offs = K.text_bytes(text)
+            # rows alike in id and text have one key: only the first sends values, so an entry is one set
+            fresh = np.zeros(len(keys), dtype=bool)
+            fresh[np.unique(keys, return_index=True)[1]] = True
             parts, low, owner, prints = [], [], [], []
             for lo, hi in K.steps(offs):
                 h, edge = shingle_sets(text, lo, hi, shingle)
@@ -146,7 +149,7 @@ def _scatter(shingle: int, common, ranges: int, groups: int):
                         digest = hashlib.blake2b(body[8 * edge[i] : 8 * edge[i + 1]], digest_size=16).digest()
                         prints.append((digest, int(ids[lo + i]), int(keys[lo + i])))
                 row = np.repeat(np.arange(hi - lo), np.diff(edge))
-                use = ~_is_common(h, common.value)
+                use = fresh[lo:hi][row] & ~_is_common(h, common.value)
                 h, row = h[use], row[use]
                 parts.append(K.bucket_of(h, ranges).astype(np.int64))
                 low.append(_low(h, ranges))

@@ -72,6 +72,16 @@ def test_common_values_come_last_and_lose_nothing(spark, monkeypatch):
     assert tuples(got, *COLUMNS) == brute([r[:2] for r in rows], 2)
 
 
+def test_repeated_rows_side_by_side_in_one_partition(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:30], "other", *base[31:]]
+    docs = [(4, " ".join(base))] * 3 + [(2, " ".join(near))] * 2 + [(9, "p q r s")] * 2 + [(1, "t u v")] + [(None, "a b c")] * 2 + [(9, "p q r s")]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), shingle=2)
+    size = {4: 59, 2: 59, 9: 3, 1: 2, None: 2}
+    want = [(d, size[d], 2 if d == 4 else d, d != 4) for d, _ in docs]
+    assert tuples(got, *COLUMNS) == sorted(want, key=repr)
+
+
 def test_odd_inputs(spark):
     df = spark.createDataFrame(
         [(5, None), (6, ""), (7, "a"), (3, "A"), (None, "a"), (8, " \n"), (9, "q r s"), (9, "t u v")], "doc_id long, text string"
