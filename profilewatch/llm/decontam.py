@@ -12,7 +12,10 @@ more has a half that qualifies by itself, so only the patterns of at most 25 wor
 shorter one need a mask; ``tests/llm/test_decontam.py`` goes through all of them.
 
 Words are runs of letters and digits with A-Z in lower case, so punctuation, line
-breaks and case do not hide a passage.
+breaks and case do not hide a passage. In scripts that put no spaces between words (Chinese,
+Japanese, Thai, Lao, Burmese, Khmer) every character is a word.
+
+An item of fewer than ``MIN_EQUAL`` words has no such stretch: it is looked up as a whole.
 
 The test side is hashed first. While it has at most ``MAX_SENT`` hashes it is sent to
 every task as sorted arrays, and the documents are read once without a shuffle.
@@ -58,10 +61,37 @@ RESULT = "doc_id long, item_id long, n_equal long, n_span long, doc_start long,
 _BREAK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
+def _characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text with a space on both sides of every character of a script without spaces; its punctuation is space."""
+    lead = np.flatnonzero(buf >= 0xE0)
+    lead = lead[lead + 2 < len(buf)]
+    if not len(lead):
+        return buf, offs
+    x, y, z = buf[lead], buf[lead + 1], buf[lead + 2]
+    mark = (x == 0xE3) & (y == 0x80) & (z < 0xA0) & ~((z >= 0x85) & (z <= 0x87))
+    mark |= (x == 0xEF) & (y == 0xBC) & ((z <= 0x8F) | (z >= 0x9A) & (z <= 0xA0))
+    mark |= (x == 0xEF) & ((y == 0xBC) & (z >= 0xBB) | (y == 0xBD) & ((z == 0x80) | (z >= 0x9B) & (z <= 0xA5)))
+    if mark.any():
+        buf = buf.copy()
+        for i in range(3):
+            buf[lead[mark] + i] = 0x20
+    own = (x == 0xE0) & (y >= 0xB8) & (y <= 0xBB)  # Thai, Lao
+    own |= (x == 0xE1) & ((y >= 0x80) & (y <= 0x82) | (y == 0x9E) | (y == 0x9F))  # Burmese, Khmer
+    own |= (x == 0xE2) & (y >= 0xBA) | (x >= 0xE3) & (x <= 0xE9)  # kana, ideographs
+    own |= (x == 0xEF) & ((y >= 0xA4) & (y <= 0xAB) | (y == 0xBD) & (z >= 0xA6) | (y == 0xBE))
+    own |= (x == 0xF0) & (y >= 0xA0)
+    own &= ~mark
+    begin = lead[own]
+    if not len(begin):
+        return buf, offs
+    at = np.unique(np.concatenate((begin, begin + np.where(x[own] == 0xF0, 4, 3))))
+    return np.insert(buf, at, 0x20), offs + np.searchsorted(at, offs)
+
+
 def _tokens(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of rows lo..hi, and the first word of every row."""
     buf, offs = K.text_bytes(column.slice(lo, hi - lo))
-    buf = K.LOWER[buf]
+    buf, offs = _characters(K.LOWER[buf], offs)
     starts, ends, first = K.word_spans(buf, offs, _BREAK)
     return K.span_hashes(buf, starts, ends), first
 
@@ -125,6 +155,32 @@ class TestItems:
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[self.h & np.uint64((1 << 20) - 1)] = True
 
+        #: By number of words the hashes of whole items, sorted, and their items.
+        self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def look_up_whole(self, shorter_than: int) -> None:
+        """Prepares the items of fewer words to be found as a whole."""
+        size = np.array([len(w) for w in self.words], np.int64)
+        for n in np.unique(size[(size > 0) & (size < shorter_than)]).tolist():
+            own = np.flatnonzero(size == n)
+            h, _ = seed_hashes(np.concatenate([self.words[i] for i in own]), np.arange(len(own) + 1) * n, "1" * n)
+            order = np.argsort(h, kind="stable")
+            self.whole[n] = h[order], own[order]
+
+    def whole_items(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item, number of words and first place of every short item that a row holds."""
+        for n, (hashes, own) in self.whole.items():
+            h, at = seed_hashes(words, first, "1" * n)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            some = np.flatnonzero(hi > lo)
+            row = np.searchsorted(first, at[some], side="right") - 1
+            _, once = np.unique(np.stack((row, lo[some])), axis=1, return_index=True)
+            for k in once.tolist():
+                spot = int(at[some[k]])
+                for item in own[lo[some[k]] : hi[some[k]]].tolist():
+                    if np.array_equal(words[spot : spot + n], self.words[item]):
+                        yield int(row[k]), item, n, spot
+
     def candidates(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (row, item, offset of the item's first word) of all hits."""
         found = []
@@ -158,6 +214,8 @@ def _search(sent, min_equal: int, min_share: float):
                     n, i, j = best_stretch(equal, min_share)
                     if n >= min_equal and n > best.get((row, item), (0,))[0]:
                         best[row, item] = (n, j - i, a + i - int(first[row]), a + i - offset)
+                for row, item, n, spot in items.whole_items(words, first):
+                    best[row, item] = (n, n, spot - int(first[row]), 0)
                 if best:
                     rows = [r for r, _ in best]
                     columns = list(zip(*best.values(), strict=True))
@@ -195,15 +253,15 @@ def overlaps(
     equal words making up ``min_share`` of it: ``doc_id, item_id, n_equal, n_span,
     doc_start, item_start`` (the longest such stretch; positions are word numbers).
     Every such pair is found with the given masks; another ``min_equal`` or ``min_share`` needs its own.
-    Null and empty texts overlap with nothing, nor do items below ``min_equal`` words or
-    with a null id. Equal items are all reported. Empty tables give an empty result.
+    An item below ``min_equal`` words overlaps where all its words stand in a row. Null texts and
+    texts without words overlap with nothing, nor do items with a null id. Equal items are all reported. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.filter("text IS NOT NULL")
     tests = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     words = tests.filter("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_item_words, "item_id long, words binary")
-    words = words.filter(F.length("words") >= 8 * min_equal)
+    words = words.filter(F.length("words") > 0)
     total = words.agg(F.sum(F.length("words") / 8 * len(masks))).first()[0] or 0
     slices = max(1, -(-int(total) // max_sent))
     found = None
@@ -214,6 +272,7 @@ def overlaps(
         held = TestItems(
             np.array([r["item_id"] for r in rows], np.int64), [np.frombuffer(r["words"], "<u8") for r in rows], masks
         )
+        held.look_up_whole(min_equal)
         hits = texts.mapInArrow(_search(spark.sparkContext.broadcast(held), min_equal, min_share), RESULT)
         found = hits if found is None else found.unionByName(hits)
     return found

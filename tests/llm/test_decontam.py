@@ -117,3 +117,18 @@ def test_periodic_replacements_are_found(spark, n, period):
     docs = [(shift, " ".join(["x", *copy, "y"])) for shift, copy in enumerate(copies)]
     got = decontam.overlaps(*frames(spark, docs, [(7, " ".join(item))])).collect()
     assert {(r["doc_id"], r["item_id"], r["n_equal"]) for r in got} == {(k, 7, n - c.count("other")) for k, c in enumerate(copies)}
+
+
+def test_short_items_and_text_without_spaces(spark):
+    long, thai = "今天天气很好我们一起去公园散步然后回家吃饭", "สวัสดีครับยินดีต้อนรับ"
+    items = [(1, "Red, green!"), (2, "blue"), (3, long), (4, "东京塔"), (5, "..."), (6, thai), (7, "red green")]
+    docs = [
+        (10, "a red. Green b red green"), (11, "red and green"), (12, "bluer"), (13, "so blue"), (14, f"他说，{long.replace('公园', '海边')}。完"),
+        (15, "我在东京塔下面"), (16, "东京的塔"), (17, f"x{thai}y"), (18, "red"), (19, "green"), (20, "京"), (21, "𠀀东京塔"),
+    ]
+    got = decontam.overlaps(*frames(spark, docs, items)).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found == {(10, 1), (10, 7), (13, 2), (14, 3), (15, 4), (17, 6), (21, 4)} and len(got) == len(found)
+    assert {(r["n_equal"], r["n_span"], r["doc_start"], r["item_start"]) for r in got if r["doc_id"] == 10} == {(2, 2, 1, 0)}
+    sliced = decontam.overlaps(*frames(spark, docs, items), max_sent=50).collect()
+    assert sorted(map(tuple, sliced)) == sorted(map(tuple, got))
