@@ -83,9 +83,39 @@ reach(id, other) AS (
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
 FROM sets JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = doc_id"""
 
+_COLLOCATIONS = f"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, ws[i:i + k - 1] AS p
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k))),
+f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+cand AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
+inner_of AS (
+  SELECT lang, p[i:i + k - 1] AS p, max(a) AS longer
+  FROM (SELECT lang, p, a, k, unnest(range(1, len(p) - k + 2)) AS i FROM cand, (VALUES (2), (3)) AS sizes(k) WHERE k < len(p))
+  GROUP BY ALL),
+kept AS (
+  SELECT cand.* FROM cand LEFT JOIN inner_of USING (lang, p)
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM kept),
+scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, (2000000 * a::HUGEINT) // (x.f + y.f) AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.p = cuts.p[1:k]
+  JOIN f AS y ON y.lang = cuts.lang AND y.p = cuts.p[k + 1:]),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+    array_to_string(p, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRING,
     "op4_exact_dedup": _EXACT,
     "op6_mixing": _MIXING,
     "op8_minhash_dedup": _MINHASH,
+    "op11_collocations": _COLLOCATIONS,
 }

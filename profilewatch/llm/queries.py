@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html_text, langid, minhash, mixing, substring, suffix, token_ids, url_filter
+from . import collocations, decontam, exact, html_text, langid, minhash, mixing, substring, suffix, token_ids, url_filter
 from .oracle import ORACLE
 from .tables import table
 
@@ -66,6 +66,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_ids": op2_token_ids,
@@ -77,4 +81,5 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
 }
