@@ -112,10 +112,54 @@ ranked AS (
     array_to_string(p, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM worst)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, bit: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT)"""
+
+_PAIRS = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+
+_MERKLE = f"""WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS l, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS slot FROM documents),
+tree(l, level, nodes) AS (
+  SELECT l, 0, list(leaf ORDER BY slot) FROM leaves GROUP BY l
+  UNION ALL SELECT l, level + 1, {_PAIRS} FROM tree WHERE len(nodes) > 1),
+subroots AS (
+  SELECT l, level, nodes[1] AS subroot, row_number() OVER (ORDER BY l) - 1 AS place FROM tree WHERE len(nodes) = 1),
+crown(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL SELECT level + 1, {_PAIRS} FROM crown WHERE len(nodes) > 1),
+steps AS (
+  SELECT doc_id, tree.level, (slot >> tree.level) & 1 AS own, nodes[xor(slot >> tree.level, 1) + 1] AS sibling
+  FROM leaves JOIN tree USING (l) WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, subroots.level + crown.level, (place >> crown.level) & 1, nodes[xor(place >> crown.level, 1) + 1]
+  FROM leaves JOIN subroots USING (l) CROSS JOIN crown WHERE len(nodes) > 1),
+folded(doc_id, level, node) AS (
+  SELECT doc_id, 0, coalesce(changed, leaf) FROM leaves
+  UNION ALL
+  SELECT doc_id, level + 1, sha256(CASE WHEN own = 1 THEN coalesce(sibling, '') || node ELSE node || coalesce(sibling, '') END)
+  FROM folded JOIN steps USING (doc_id, level)),
+ends AS (SELECT doc_id, arg_max(node, level) AS folded_root FROM folded GROUP BY doc_id),
+proofs AS (SELECT doc_id, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = nodes[1] AS verified
+FROM leaves JOIN subroots USING (l) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
+CROSS JOIN (SELECT nodes FROM crown WHERE len(nodes) = 1)"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRING,
     "op4_exact_dedup": _EXACT,
     "op6_mixing": _MIXING,
     "op8_minhash_dedup": _MINHASH,
     "op11_collocations": _COLLOCATIONS,
+    "op13_merkle_manifest": _MERKLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontam, exact, html_text, langid, minhash, mixing, substring, suffix, token_ids, url_filter
+from . import collocations, decontam, exact, fingerprints, html_text, langid, merkle, minhash, mixing, substring, suffix, token_ids, url_filter
 from .oracle import ORACLE
 from .tables import table
 
@@ -70,6 +70,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), altered=altered, with_proof=False)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_ids": op2_token_ids,
@@ -82,4 +92,6 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
     "op11_collocations": op11_collocations,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
