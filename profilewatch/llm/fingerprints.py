@@ -120,12 +120,18 @@ def _in_order(docs: DataFrame) -> DataFrame:
     ranged = _with_ranges(docs)
     heads = ranged.groupBy("part").agg(F.max(F.struct("place", F.bitwise_not("tie").alias("tie"))).alias("head"))
     found = sorted((r["part"], r["head"]["place"], ~r["head"]["tie"]) for r in heads.collect())  # a row per range
-    before = [(p, place, tie, found[i - 1][0]) for i, (p, place, tie) in enumerate(found)]
-    first = docs.sparkSession.createDataFrame(before, "part int, head_place long, head_tie long, before int")
-    known = join_hot(ranged, first, ["part"])
+    if not found:
+        return ranged.withColumn("guest", F.lit(False)).select("guest", "doc_id", "text")
+    # by number of the range: its first row, and the range before, to whose end that row goes too
+    table = [(None, None, None)] * (found[-1][0] + 1)
+    for i, (part, place, tie) in enumerate(found):
+        table[part] = (place, tie, found[i - 1][0])
+    kinds = ("long", "long", "int")
+    rows = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, ("place", "tie", "before"), strict=True))) for row in table))
+    known = ranged.withColumn("head", F.element_at(rows, F.col("part") + 1))
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("before").alias("part"), F.lit(True).alias("guest"))
-    is_head = (F.col("place") == F.col("head_place")) & (F.col("tie") == F.col("head_tie"))
+    guest = F.struct(F.col("head.before").alias("part"), F.lit(True).alias("guest"))
+    is_head = (F.col("place") == F.col("head.place")) & (F.col("tie") == F.col("head.tie"))
     sent = known.select("doc_id", "text", "place", "tie", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("to"))
     sent = sent.select("to.part", "to.guest", "place", "tie", "doc_id", "text")
     return sent.repartition("part").sortWithinPartitions("part", "guest", *_order_key()).select("guest", "doc_id", "text")

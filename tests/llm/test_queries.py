@@ -8,7 +8,7 @@ from tests.compare import connect, differences
 
 
 def test_one_query_for_every_operator_and_the_pipeline():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= entry_module.queries().keys()
     assert ORACLE.items() <= entry_module.oracle_sql().items()
 
