@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from itertools import islice
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import ANSWER_KEYS, WHITESPACE, WORD_PATTERN
 from ..schemas import PROMPT_DOCUMENT
 
 
-
 def _char_class(chars: str) -> str:
     """Regex class of some characters, neighbours as ranges (few nodes match fast)."""
     points, ranges = sorted(map(ord, chars)), []
@@ -102,52 +96,79 @@ def prompt_text(payload: Column) -> Column:
     return F.coalesce(raw["text"], F.try_element_at(raw["messages"], F.lit(-1))["content"])
 
 
-def _nested_answers():
-    """Arrow helper for answers below the top level.
+#: Strings whole, JSON's missing numbers, and everything else, as tokens.
+_JSON_TOKENS = r'''"(?:[^"\\]|\\.)*"|NaN|-?Infinity|[^"NI-]+|.'''
+
 
-    Built in one closure so that it ships to the executors by value.
+def _strict(body: Column) -> Column:
+    """One JSON value and nothing behind it.
+
+    The parser stops at the end of the first value. What follows it cannot end both a list and
+    an object, so a body that parses inside either of them is a single value.
     """
-    keys = list(ANSWER_KEYS)
-
-    def answers(node):
-        """Texts of a document in the order they count; the first one wins."""
-        if isinstance(node, str):
-            yield node
-        elif isinstance(node, list):
-            yield from answers(node[0]) if node else ()
-        elif isinstance(node, dict):
-            for child in map(node.get, keys):
-                # text counts even when empty, a nested document only when it holds some
-                yield from [child] if isinstance(child, str) else filter(None, islice(answers(child), 1))
-            choices, message = node.get("choices"), node.get("message")
-            if isinstance(choices, list) and choices:
-                yield next(answers(choices), "")
-            if isinstance(message, dict) and isinstance(message.get("content"), str):
-                yield message["content"]
-
-    def read(text):
-        try:
-            document = json.loads(text)
-        except ValueError:  # no JSON: the body is the answer
-            return text
-        return next(answers(document), "")
-
-    def batch(body: pd.Series) -> pd.Series:
-        return body.map(read, na_action="ignore")
-
-    return F.pandas_udf(batch, T.StringType())
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
+    return F.when(listed.isNotNull(), F.try_variant_get(named, "$.v", "variant"))
+
+
+def _document(body: Column) -> Column:
+    """The body as a variant, NULL where it is no JSON. NaN and infinities outside of strings count as null."""
+    tokens = F.regexp_extract_all(body, F.lit(_JSON_TOKENS), F.lit(0))
+    plain = F.transform(tokens, lambda t: F.when(t.isin("NaN", "Infinity", "-Infinity"), F.lit("null")).otherwise(t))
+    strict = _strict(body)
+    return F.when(strict.isNotNull(), strict).when(body.rlike("NaN|Infinity"), _strict(F.array_join(plain, "")))
+
+
+def _item(value: Column, depth: Column) -> Column:
+    return F.struct(value.alias("v"), depth.alias("d"))
+
+
+def _opened(node: Column, depth: Column) -> Column:
+    """What a container offers, in the order it counts: entries of the list of open values."""
+    def at(path):
+        return F.try_variant_get(node, path, "variant")
+
+    offered = [at(f"$.{key}") for key in ANSWER_KEYS]
+    first_choice, content = at("$.choices[0]"), at("$.message.content")
+    # once there are choices the container ends behind them: an empty text closes it
+    offered += [first_choice, F.when(first_choice.isNotNull(), F.parse_json(F.lit('""')))]
+    offered += [F.when(F.schema_of_variant(content) == "STRING", content), at("$[0]")]
+    return F.filter(F.array(*[_item(v, depth) for v in offered]), lambda e: e["v"].isNotNull())
+
+
+def _searched(document: Column, steps: Column) -> Column:
+    """The answer inside a document: values are opened one by one, each in front of what is still open.
+
+    A text that is not empty ends the search. An empty one closes its container: what the
+    container still had open is dropped, and its neighbours are looked at next.
+    """
+    def step(state, _):
+        head, rest = F.get(state["open"], F.lit(0)), F.slice(state["open"], 2, F.greatest(F.size(state["open"]), F.lit(1)))
+        kind = F.schema_of_variant(head["v"])
+        text = F.when(kind == "STRING", F.try_variant_get(head["v"], "$", "string"))
+        container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        left = (
+            F.when(text == "", F.filter(rest, lambda e: e["d"] < head["d"]))
+            .when(container, F.concat(_opened(head["v"], head["d"] + 1), rest))
+            .otherwise(rest)
+        )
+        going = state["found"].isNull() & (F.size(state["open"]) > 0)
+        return F.when(going, F.struct(left.alias("open"), F.nullif(text, F.lit("")).alias("found"))).otherwise(state)
+
+    start = F.struct(F.array(_item(document, F.lit(0))).alias("open"), F.lit(None).cast("string").alias("found"))
+    return F.reduce(F.sequence(F.lit(1), steps), start, step, lambda state: F.coalesce(state["found"], F.lit("")))
 
 
 def response_text(body: Column) -> Column:
-    """Answer text of a response body whose shape is not known in advance.
+    """Answer text of a response body whose shape is not known in advance, all in the JVM.
 
-    A body that is no JSON is the answer itself. A known key holding text at the
-    top level is read in the JVM; only bodies not decided there travel to the Arrow
-    helper, the rest pass it as NULL: nested answers, lists, ``choices``, and what the
-    variant parser refuses, be it for a repeated key (the last one counts), a NaN, its
-    size, or because it is no JSON.
+    A body that is no JSON is the answer itself. A known key holding text at the top level is
+    read directly; nested answers, lists, ``choices`` and messages are searched in variant
+    paths, in as many steps as the body can have values. A repeated key counts with its last value
+    when ``spark.sql.variant.allowDuplicateKeys`` is on (``session.configure`` sets it). Bodies
+    beyond the variant's size limit count as no JSON.
     """
-    document = F.try_parse_json(body)
+    document = _document(body)
     top = F.lit(None).cast("string")
     for key in reversed(ANSWER_KEYS):
         field = F.try_variant_get(document, f"$.{key}", "variant")
@@ -158,4 +179,7 @@ def response_text(body: Column) -> Column:
             .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(None).cast("string"))
             .otherwise(top)
         )
-    return F.when(body.isNotNull(), F.coalesce(top, _nested_answers()(F.when(top.isNull(), body))))
+    opening = F.length(body) - F.length(F.translate(body, "{[", ""))
+    values = opening + F.length(body) - F.length(F.translate(body, ",", "")) + 1
+    # a value is opened at most once, and a list of choices closes its container once
+    return F.when(document.isNull(), body).when(top.isNotNull(), top).otherwise(_searched(document, values + opening))

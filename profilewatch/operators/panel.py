@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import FLAT_Z_CV_MAX, METRIC_LAYERS, METRIC_PASSES, MIN_PASSES, SCORE_BANDS
 from ..functions.numeric import equal_width_edges
 from .band import Band
+from .joins import join_hot
 from .profile import is_flattened, request_statistics
 
 
@@ -99,3 +100,29 @@ def score_distribution(
         F.coalesce("count", F.lit(0)).alias("count"),
         (F.coalesce("count", F.lit(0)) / F.col("n")).alias("fraction"),
     )
+
+
+def distribution_by(
+    scores: DataFrame, by: str, column: str = "z_cv", n_bands: int = SCORE_BANDS
+) -> DataFrame:
+    """A histogram per value of ``by``, with the edges and rules of :func:`score_distribution`.
+
+    Missing scores do not count. Ranges are one row per value and ride to the scores in a
+    join that Spark may split, so one value may hold most of the rows.
+    """
+    values = scores.filter(F.col(column).isNotNull()).select(by, F.col(column).alias("x"))
+    ranges = values.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
+    single = F.col("lo") == F.col("hi")
+    edges = F.when(single, F.array("lo", "hi")).otherwise(equal_width_edges(F.col("lo"), F.col("hi"), n_bands))
+    ranges = ranges.select(by, "n", edges.alias("edges"))
+    at = F.least(F.size(F.filter("edges", lambda e: e <= F.col("x"))), F.size("edges") - 1)
+    counts = join_hot(values, ranges, [by]).groupBy(by, at.alias("band")).agg(F.count(F.lit(1)).alias("count"))
+    bands = ranges.select(by, "n", "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("band"))
+    return bands.join(counts, [by, "band"], "left").select(
+        by,
+        F.col("band").cast("long").alias("band"),
+        F.element_at("edges", F.col("band")).alias("lower"),
+        F.element_at("edges", F.col("band") + 1).alias("upper"),
+        F.coalesce("count", F.lit(0)).alias("count"),
+        (F.coalesce("count", F.lit(0)) / F.col("n")).alias("fraction"),
+    )

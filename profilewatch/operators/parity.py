@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -19,6 +19,7 @@ from ..constants import (
 )
 from ..functions.numeric import nan_to_null
 from ..functions.signals import pass_number
+from ..session import settle
 from .cells import order_key
 from .joins import join_hot
 
@@ -88,39 +89,69 @@ def _token_flags(pairs: DataFrame, token_match_tol: float) -> DataFrame:
     The embedding is a table lookup, so an equal token agrees to noise; a missing
     side or value counts as different. One row per request, one entry per pass.
     """
-    prints = pairs.filter(F.col("signal_type") == EMBED_SIGNAL)
-    number = pass_number(F.col("forward_pass_index"))
-    delta = F.abs(F.col("std_local") - F.col("std_platform"))
-    differs = ~F.coalesce(delta < token_match_tol, F.lit(False))
-    return prints.groupBy("request_id").agg(
-        F.collect_set(F.when(differs, number)).alias("_differs"),
-        F.min(F.when(differs, number)).alias("_first_differs"),
+    differing = F.when(_differs(token_match_tol), F.col("pass"))
+    return pairs.filter(F.col("signal_type") == EMBED_SIGNAL).groupBy("request_id").agg(
+        F.collect_set(differing).alias("_differs"),
+        F.min(differing).alias("_first_differs"),
         F.lit(True).alias("_printed"),
     )
 
 
-def comparability(pairs: DataFrame, token_match_tol: float = TOKEN_MATCH_TOL) -> DataFrame:
-    """``request_id, pass, token_match, comparable, has_fingerprint``.
+def _differs(token_match_tol: float) -> Column:
+    delta = F.abs(F.col("std_local") - F.col("std_platform"))
+    return ~F.coalesce(delta < token_match_tol, F.lit(False))
+
+
+def _flags() -> dict[str, Column]:
+    """Comparability is cumulative: a pass after a differing token never counts again,
+    so it is "before the first difference", a minimum over the request."""
+    readable = F.col("pass").isNotNull()
+
+    def flag(value, otherwise):
+        return F.coalesce(F.when(readable, value), F.lit(otherwise))
+
+    return {
+        "token_match": flag(~F.array_contains("_differs", F.col("pass")), True),
+        "comparable": flag(F.col("pass") < F.col("_first_differs"), True),
+        "has_fingerprint": flag(F.col("_printed"), False),
+    }
+
+
+_HELPERS = ("_differs", "_first_differs", "_printed")
+
 
-    Comparability is cumulative: a pass after a differing token never counts
-    again, so it is "before the first difference", a minimum and not a window.
+def _numbered(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("pass", pass_number(F.col("forward_pass_index")))
+
+
+def _flags_joined(pairs: DataFrame, token_match_tol: float) -> DataFrame:
+    """The pairs with their flags, for captures that lie anywhere.
+
+    The pairs are settled, so each capture is scanned once; the flags, one row per request,
+    come back in a join that may split a request with very many rows.
     """
-    seen = pairs.select("request_id", pass_number(F.col("forward_pass_index")).alias("pass")).filter(
-        F.col("pass").isNotNull()
-    ).distinct()
-    flagged = join_hot(seen, _token_flags(pairs, token_match_tol), ["request_id"], "left")
-    return flagged.select("request_id", "pass", *_flag_columns())
+    numbered = settle(_numbered(pairs))
+    flags = _token_flags(numbered, token_match_tol)
+    return join_hot(numbered, flags, ["request_id"], "left").withColumns(_flags()).drop(*_HELPERS)
 
 
-def _flag_columns() -> list[Column]:
-    readable = F.col("pass").isNotNull()
-    match = ~F.array_contains(F.col("_differs"), F.col("pass"))
-    before = F.col("pass") < F.col("_first_differs")
-    return [
-        F.coalesce(F.when(readable, match), F.lit(True)).alias("token_match"),
-        F.coalesce(F.when(readable, before), F.lit(True)).alias("comparable"),
-        F.coalesce(F.when(readable, F.col("_printed")), F.lit(False)).alias("has_fingerprint"),
-    ]
+def _flags_in_place(pairs: DataFrame, token_match_tol: float) -> DataFrame:
+    """The pairs with their flags, for pairs whose requests already lie together: no exchange."""
+    request = Window.partitionBy("request_id")
+    is_print = F.col("signal_type") == EMBED_SIGNAL
+    differing = F.when(is_print & _differs(token_match_tol), F.col("pass"))
+    seen = {
+        "_differs": F.collect_set(differing).over(request),  # an entry per pass
+        "_first_differs": F.min(differing).over(request),
+        "_printed": F.max(F.when(is_print, F.lit(True))).over(request),
+    }
+    return _numbered(pairs).withColumns(seen).withColumns(_flags()).drop(*_HELPERS)
+
+
+def comparability(pairs: DataFrame, token_match_tol: float = TOKEN_MATCH_TOL) -> DataFrame:
+    """``request_id, pass, token_match, comparable, has_fingerprint`` of every readable pass."""
+    flagged = _flags_joined(pairs, token_match_tol).filter(F.col("pass").isNotNull())
+    return flagged.select("request_id", "pass", "token_match", "comparable", "has_fingerprint").distinct()
 
 
 def diff_rows(
@@ -132,30 +163,82 @@ def diff_rows(
     token_match_tol: float = TOKEN_MATCH_TOL,
 ) -> DataFrame:
     """Outer comparison with deltas, origin and comparability of every row."""
-    pairs = paired_rows(local, platform, passes)
-    flags = _token_flags(pairs, token_match_tol)
-    numbered = pairs.withColumn("pass", pass_number(F.col("forward_pass_index")))
-    joined = join_hot(numbered, flags, ["request_id"], "left")
+    return _compared(_flags_joined(paired_rows(local, platform, passes), token_match_tol), columns)
+
+
+def _compared(flagged: DataFrame, columns: Sequence[str]) -> DataFrame:
     captured = F.col("_local") & F.col("_platform")
     side = (
         F.when(captured, F.lit("both"))
         .when(F.col("_local"), F.lit("local_only"))
         .otherwise(F.lit("platform_only"))
     )
-    token_match, comparable, printed = _flag_columns()
-    return joined.select(
+    return flagged.select(
         *CELL_KEYS,
         *[f"{c}_{name}" for name in _SIDES for c in SCALARS],
         *[(F.col(f"{c}_local") - F.col(f"{c}_platform")).alias(f"d_{c}") for c in columns],
         captured.alias("captured"),
         side.alias("side"),
         "pass",
-        token_match,
-        (comparable & captured).alias("comparable"),
-        printed,
+        "token_match",
+        (F.col("comparable") & captured).alias("comparable"),
+        "has_fingerprint",
     )
 
 
+def store_capture(rows: DataFrame, table: str, capture: str, path: str, buckets: int = 64) -> None:
+    """Add a capture to a table of captures: a partition of its own, bucketed by request.
+
+    Stored is one row per key, the first copy. ``path`` is the table's folder, shared by all
+    executors; ``buckets`` is fixed by the first capture, some hundred MB each at full size.
+    A name that is in the table is refused, because appending would double its rows.
+    """
+    spark = rows.sparkSession
+    if spark.catalog.tableExists(table) and not spark.table(table).filter(F.col("capture") == capture).isEmpty():
+        raise ValueError(f"{table} already holds a capture {capture!r}")
+    (
+        normalised(rows)
+        .withColumn("capture", F.lit(capture))
+        .repartition(buckets, "request_id")
+        .write.partitionBy("capture")
+        .bucketBy(buckets, "request_id")
+        .sortBy(*CELL_KEYS)
+        .mode("append")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
+def diff_stored(
+    spark: SparkSession,
+    table: str,
+    local: str,
+    platform: str,
+    *,
+    passes: Sequence[int] | None = COMPARE_PASSES,
+    columns: Sequence[str] = SCALARS,
+    token_match_tol: float = TOKEN_MATCH_TOL,
+) -> DataFrame:
+    """``diff_rows`` of two captures of a stored table.
+
+    Both are read in one bucketed scan, in which a request lies in one bucket: pairing, flags
+    and whatever is grouped by request afterwards need no exchange.
+    """
+    rows = spark.table(table).filter(F.col("capture").isin([local, platform]))
+    if passes is not None:
+        rows = rows.filter(F.col("forward_pass_index").isin([str(p) for p in passes]))
+    names = dict(zip(_SIDES, (local, platform), strict=True))
+    pairs = rows.groupBy(*CELL_KEYS).agg(
+        *[
+            F.max(F.when(F.col("capture") == name, F.col(c))).alias(f"{c}_{side}")  # one row per key and capture
+            for side, name in names.items()
+            for c in SCALARS
+        ],
+        *[F.max(F.col("capture") == name).alias(f"_{side}") for side, name in names.items()],
+    )
+    return _compared(_flags_in_place(pairs, token_match_tol), columns)
+
+
 def sorted_diff(diff: DataFrame) -> DataFrame:
     """Report order: by key text, so pass '10' sorts before '2'."""
     return diff.orderBy(*CELL_KEYS)
@@ -231,23 +314,18 @@ def _levels(folded: DataFrame) -> DataFrame:
 def divergence_by_pass(
     diff: DataFrame, *, column: str = "std", atol: float = COMPARE_ATOL, rtol: float = COMPARE_RTOL
 ) -> DataFrame:
-    """Per pass: the largest delta, requests diverged there, requests diverging there first."""
-    folded = _by_request_pass(diff, column, atol, rtol)
-    first = folded.groupBy("request_id").agg(
-        F.min(F.when(F.col("n_diverged") > 0, F.col("pass"))).alias("pass")
-    )
-    firsts = first.filter(F.col("pass").isNotNull()).groupBy("pass").agg(
-        F.count(F.lit(1)).alias("n_first_diverged")
-    )
-    return (
-        folded.groupBy("pass")
-        .agg(
-            F.max("max_abs").alias("max_abs_d"),
-            F.sum("n_comparable").alias("n_comparable"),
-            F.count_if(F.col("n_diverged") > 0).alias("n_requests_diverged"),
-        )
-        .join(firsts, "pass", "left")
-        .withColumn("n_first_diverged", F.coalesce("n_first_diverged", F.lit(0)))
+    """Per pass: the largest delta, requests diverged there, requests diverging there first.
+
+    Everything below the fold is grouped by request, so it runs in the partitions the flags made.
+    """
+    here = F.col("n_diverged") > 0
+    first = F.min(F.when(here, F.col("pass"))).over(Window.partitionBy("request_id"))
+    folded = _by_request_pass(diff, column, atol, rtol).withColumn("_first", first)
+    return folded.groupBy("pass").agg(
+        F.max("max_abs").alias("max_abs_d"),
+        F.sum("n_comparable").alias("n_comparable"),
+        F.count_if(here).alias("n_requests_diverged"),
+        F.count_if(F.col("pass") == F.col("_first")).alias("n_first_diverged"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FLAT_Z_CV_MAX, METRIC_LAYERS, METRIC_PASSES, MIN_PASSES
@@ -22,15 +22,10 @@ def _on(axis: str, value: Column) -> Column:
     return F.when(F.col("axis") == axis, value)
 
 
-def axis_means(cells: DataFrame) -> DataFrame:
-    """Both marginals of the (pass, layer) grid in one aggregation.
-
-    Each cell is emitted once for its layer and once for its pass, so mean over
-    passes per layer and spread over layers per pass come from a single grouping.
-    Cells are at most layers x passes per request, hence ``repartition`` by
-    request is even; both groupings below it then need no further exchange.
-    """
-    marginals = cells.repartition("request_id").select(
+def axis_entries(cells: DataFrame, *kept: str) -> DataFrame:
+    """Each cell once for its layer and once for its pass, so that one grouping gives both marginals."""
+    return cells.select(
+        *kept,
         "request_id",
         F.explode(
             F.array(
@@ -38,25 +33,76 @@ def axis_means(cells: DataFrame) -> DataFrame:
                 F.struct(F.lit("pass").alias("axis"), F.col("pass").alias("at"), F.col("value")),
             )
         ).alias("m"),
-    ).select("request_id", "m.*")
-    return marginals.groupBy("request_id", "axis", "at").agg(
+    ).select(*kept, "request_id", "m.*")
+
+
+def axis_aggregates() -> list[Column]:
+    """Mean over passes of a layer, spread over layers of a pass, and how many cells stand behind them."""
+    return [
         F.avg("value").alias("mean"),
         variation(F.col("value")).alias("cv"),
         F.count("value").alias("n_values"),
         F.count(F.lit(1)).alias("n_cells"),
+    ]
+
+
+def axis_means(cells: DataFrame) -> DataFrame:
+    """Both marginals of the (pass, layer) grid in one aggregation.
+
+    Cells are at most layers x passes per request, hence ``repartition`` by
+    request is even; both groupings below it then need no further exchange.
+    """
+    marginals = axis_entries(cells.repartition("request_id"))
+    return marginals.groupBy("request_id", "axis", "at").agg(*axis_aggregates())
+
+
+def request_measures(passes: Sequence[int], banded: bool) -> list[Column]:
+    """Aggregates over the marginals of one request: the statistics without their guards.
+
+    They are counts, means and co-moments, so a stream keeps them as state of fixed size.
+    With a band its ``band_mean, band_sd`` stand beside the rows of the layer axis.
+    """
+    has_value = F.col("n_values") > 0
+    v = _on("layer", F.when(has_value, F.col("mean")))
+    position = F.array_position(F.array(*[F.lit(p) for p in passes]), F.col("at")) - 1
+    pass_cv = _on("pass", F.when(has_value, F.col("cv")))
+    measures = [
+        F.count_if((F.col("axis") == "pass") & F.col("at").isNotNull() & has_value).alias(
+            "n_passes_used"
+        ),
+        F.coalesce(F.sum(_on("layer", F.when(F.col("at").isNotNull(), F.col("n_cells")))), F.lit(0))
+        .cast("long")
+        .alias("n_cells"),
+        variation(v).alias("cv"),
+        slope(v, F.col("at")).alias("slope"),
+        slope(pass_cv, position).alias("cv_pass_slope"),
+    ]
+    if banded:
+        measures += [
+            correlation(v, _on("layer", F.col("band_mean"))).alias("corr"),
+            F.coalesce(F.max(F.abs(finite(_layer_z(v)))), F.lit(0.0)).alias("max_abs_z_layer"),
+        ]
+    return measures
+
+
+def _layer_z(v: Column) -> Column:
+    wide = is_finite(F.col("band_sd")) & (F.col("band_sd") > 0)
+    return F.when(wide, F.try_divide(v - F.col("band_mean"), F.col("band_sd"))).otherwise(
+        _on("layer", F.lit(0.0))
     )
 
 
 def layer_profiles(cells: DataFrame, min_passes: int = MIN_PASSES) -> DataFrame:
-    """``request_id, layer, v``: mean over passes, for requests with enough passes."""
-    usable = F.count_distinct(F.when(F.col("value").isNotNull(), F.col("pass")))
-    enough = cells.groupBy("request_id").agg(usable.alias("n")).filter(F.col("n") >= min_passes)
-    return (
-        cells.filter(F.col("layer").isNotNull())
-        .groupBy("request_id", "layer")
-        .agg(F.avg("value").alias("v"))
-        .filter(F.col("v").isNotNull())
-        .join(enough.select("request_id"), "request_id", "left_semi")
+    """``request_id, layer, v``: mean over passes, for requests with enough passes.
+
+    The cells fold once to both marginals; the usable passes of a request, at most the
+    passes of the scope, are counted beside its layers in the same partition.
+    """
+    usable = (F.col("axis") == "pass") & F.col("at").isNotNull() & (F.col("n_values") > 0)
+    counted = axis_means(cells).withColumn("_n", F.count_if(usable).over(Window.partitionBy("request_id")))
+    wanted = (F.col("axis") == "layer") & F.col("at").isNotNull() & F.col("mean").isNotNull()
+    return counted.filter(wanted & (F.col("_n") >= min_passes)).select(
+        "request_id", F.col("at").alias("layer"), F.col("mean").alias("v")
     )
 
 
@@ -97,31 +143,10 @@ def request_statistics(
             *[F.col(f"_band.{c}").alias(f"_{c}") for c in _BAND_SCALARS],
         )
 
-    has_value = F.col("n_values") > 0
-    v = _on("layer", F.when(has_value, F.col("mean")))
-    position = F.array_position(F.array(*[F.lit(p) for p in passes]), F.col("at")) - 1
-    pass_cv = _on("pass", F.when(has_value, F.col("cv")))
-    measures = [
-        F.count_if((F.col("axis") == "pass") & F.col("at").isNotNull() & has_value).alias(
-            "n_passes_used"
-        ),
-        F.coalesce(F.sum(_on("layer", F.when(F.col("at").isNotNull(), F.col("n_cells")))), F.lit(0))
-        .cast("long")
-        .alias("n_cells"),
-        variation(v).alias("cv"),
-        slope(v, F.col("at")).alias("slope"),
-        slope(pass_cv, position).alias("cv_pass_slope"),
-    ]
+    measures = request_measures(passes, band is not None)
     if band is not None:
-        wide = is_finite(F.col("band_sd")) & (F.col("band_sd") > 0)
-        z = F.when(wide, F.try_divide(v - F.col("band_mean"), F.col("band_sd"))).otherwise(
-            _on("layer", F.lit(0.0))
-        )
-        measures += [
-            correlation(v, _on("layer", F.col("band_mean"))).alias("corr"),
-            F.coalesce(F.max(F.abs(finite(z))), F.lit(0.0)).alias("max_abs_z_layer"),
-            *[F.max(f"_{c}").alias(f"_{c}") for c in _BAND_SCALARS],
-        ]
+        measures += [F.max(f"_{c}").alias(f"_{c}") for c in _BAND_SCALARS]
+    has_value = F.col("n_values") > 0
     if arrays:
         def laid_out(axis, wanted, value):
             return F.array(
@@ -129,9 +154,9 @@ def request_statistics(
             )
 
         measures.append(laid_out("layer", layers, F.when(has_value, F.col("mean"))).alias("profile"))
-        measures.append(laid_out("pass", passes, pass_cv).alias("cv_by_pass"))
+        measures.append(laid_out("pass", passes, F.when(has_value, F.col("cv"))).alias("cv_by_pass"))
         if band is not None:
-            measures.append(laid_out("layer", layers, z).alias("z_by_layer"))
+            measures.append(laid_out("layer", layers, _layer_z(_on("layer", F.when(has_value, F.col("mean"))))).alias("z_by_layer"))
 
     stats = means.groupBy("request_id").agg(*measures)
     if band is not None:

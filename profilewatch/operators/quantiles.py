@@ -5,96 +5,78 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-_ACCURACY = 20_000
-#: Rows of a bracket that one task ranks; a larger bracket is narrowed by a sketch of its own.
+from ..session import settle
+
+#: Size of the mergeable sketch; its rank error at this size stays below ``_RANK_ERROR`` with 99 % certainty.
+_SKETCH_K = 4_096
+_RANK_ERROR = 1e-3
+#: Values that one task ranks, about.
 _RANKED = 1_000_000
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
+def exact_quantiles(
+    df: DataFrame, column: str, probabilities: Sequence[float], ranked: int | None = None
+) -> list[float | None]:
     """Quantiles as numpy's default method gives them.
 
-    ``percentile`` keeps every distinct value in one buffer. Here a sketch first
-    brackets each rank, then only the values inside the brackets (a few per
-    ``1/accuracy`` of the rows, equal values folded to one row) are ranked. A
-    bracket that misses its rank is widened, so the answer is always exact; what
-    reaches the driver is a handful of numbers.
+    ``percentile`` keeps every distinct value in one buffer. Here a KLL sketch, merged from one
+    per task, brackets each rank; a second scan keeps the values inside the brackets, equal
+    ones folded to one row, in ranges of about ``ranked`` rows (a million unless given). Sizes of the ranges added up in order
+    say in which range a rank lies, and only those ranges are sorted. A sketch outside its
+    error bound is noticed by the counts and that rank is bracketed anew, wider. What reaches the driver
+    is a row per range and two per quantile.
     """
     for p in probabilities:
         if not 0.0 <= p <= 1.0:
             raise ValueError("quantile must be in [0, 1]")
     values = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
     found: dict[float, float] = {}
-    margin = 4.0 / _ACCURACY
-    while len(found) < len(set(probabilities)):
-        missing = [p for p in dict.fromkeys(probabilities) if p not in found]
+    margin = 2 * _RANK_ERROR
+    while missing := [p for p in dict.fromkeys(probabilities) if p not in found]:
         n, brackets = _brackets(values, missing, margin)
         if n == 0:
             return [None for _ in probabilities]
-        found.update(_inside(values, n, _narrowed(values, n, brackets, margin)))
+        found |= _inside(values, n, brackets, margin, ranked or _RANKED)
         margin *= 8.0
     return [found[p] for p in probabilities]
 
 
-def _brackets(values: DataFrame, ps: list[float], margin: float):
-    """Row count and, per probability, two values that should enclose its ranks."""
-    low, high = [max(0.0, p - margin) for p in ps], [min(1.0, p + margin) for p in ps]
-    row = values.agg(
+def _brackets(values: DataFrame, ps: list[float], margin: float) -> tuple[int, dict[float, tuple[float, float]]]:
+    """Row count and, per probability, two values that should enclose its ranks.
+
+    The sketch leaves NaN out, which counts as the largest value; brackets are then widened.
+    """
+    ends = [max(0.0, p - margin) for p in ps] + [min(1.0, p + margin) for p in ps]
+    sketch = values.agg(
         F.count("x").alias("n"),
         F.min("x").alias("lo"),
         F.max("x").alias("hi"),
-        F.percentile_approx("x", low + high, _ACCURACY).alias("sketch"),
-    ).first()
-    if margin >= 1.0 or not row["n"]:
-        return row["n"], {p: (row["lo"], row["hi"]) for p in ps}
-    return row["n"], {p: (a, b) for p, a, b in zip(ps, row["sketch"], row["sketch"][len(ps) :])}
-
-
-def _narrowed(values: DataFrame, n: int, brackets: dict[float, tuple[float, float]], margin: float):
-    """The brackets, sketched again inside themselves until few rows are left in each.
-
-    The margin grows with the caller's, so a bracket that missed its rank is cut less the next time.
-    """
-    x = F.col("x")
-    while margin < 1.0:
-        spans = list(brackets.items())
-        counted = [
-            c
-            for i, (_, (lo, hi)) in enumerate(spans)
-            for c in (F.count_if(x < lo).alias(f"below{i}"), F.count_if((x >= lo) & (x <= hi)).alias(f"in{i}"))
-        ]
-        row = values.agg(*counted).first()
-        wide = [i for i, (_, (lo, hi)) in enumerate(spans) if row[f"in{i}"] > _RANKED and lo < hi]
-        if not wide:
-            return brackets
-        sketches = []
-        for i in wide:
-            p, (lo, hi) = spans[i]
-            inside = max(1, row[f"in{i}"] - 1)
-            place, reach = (p * (n - 1) - row[f"below{i}"]) / inside, max(margin, 2.0 / inside)
-            ends = [min(1.0, max(0.0, place - reach)), min(1.0, max(0.0, place + reach))]
-            sketches.append(F.percentile_approx(F.when(x.between(lo, hi), x), ends, _ACCURACY).alias(f"s{i}"))
-        found = values.agg(*sketches).first()
-        narrower = {spans[i][0]: tuple(found[f"s{i}"]) for i in wide}
-        if all(brackets[p] == b for p, b in narrower.items()):  # equal values, which fold to one row
-            return brackets
-        brackets = brackets | narrower
-    return brackets
+        F.kll_sketch_agg_double("x", F.lit(_SKETCH_K)).alias("sketch"),
+    )
+    read = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(e) for e in ends]))
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    row = sketch.select("n", "lo", "hi", F.when(some, read).alias("read")).first()
+    if not row["n"]:
+        return 0, {}
+    read = row["read"] or [None] * len(ends)
+    low = [row["lo"] if v is None or e == 0.0 else v for e, v in zip(ends, read)][: len(ps)]
+    high = [row["hi"] if v is None or e == 1.0 else v for e, v in zip(ends, read)][len(ps) :]
+    return row["n"], dict(zip(ps, zip(low, high)))
 
 
-def _inside(values: DataFrame, n: int, brackets: dict[float, tuple[float, float]]) -> dict[float, float]:
-    """Quantiles whose two ranks lie inside their bracket, in one pass.
+def _inside(
+    values: DataFrame, n: int, brackets: dict[float, tuple[float, float]], margin: float, ranked: int
+) -> dict[float, float]:
+    """Quantiles whose two ranks lie inside their bracket, in one scan.
 
-    Everything below a bracket folds to one row, so the running count is a rank.
+    Everything below a bracket folds to one row in front of it, so the running count is a rank.
     """
+    spans = list(brackets.values())
     table = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-            for i, (lo, hi) in enumerate(brackets.values())
-        ]
+        *[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(spans)]
     )
     x = F.col("x")
     hits = F.transform(
@@ -102,23 +84,31 @@ def _inside(values: DataFrame, n: int, brackets: dict[float, tuple[float, float]
         lambda b: F.struct(b["i"].alias("i"), F.when(x >= b["lo"], x).alias("x")),
     )
     folded = values.select(F.inline(hits)).groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("i").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = folded.select("i", "x", "n", F.sum("n").over(upto).alias("upto"))
-    wanted = {
-        i: (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for i, p in enumerate(brackets)
-    }
-    hit = F.lit(False)
-    for i, ranks in wanted.items():
-        for r in ranks:
-            hit = hit | ((F.col("i") == i) & (F.col("upto") - F.col("n") <= r) & (r < F.col("upto")))
-    # at most two rows per quantile
-    rows = ranked.filter(hit & x.isNotNull()).collect()
+    pieces = max(1, math.ceil(len(spans) * min(1.0, 2 * margin) * n / ranked))
+    order = F.asc_nulls_first("x")
+    placed = settle(folded.repartitionByRange(pieces, "i", order).withColumn("piece", F.spark_partition_id()))
+
+    sizes = placed.groupBy("i", "piece").agg(F.sum("n").alias("n")).collect()  # about a row per piece
+    wanted = {i: (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for i, p in enumerate(brackets)}
+    holds, upto = [], dict.fromkeys(wanted, 0)
+    for size in sorted(sizes, key=lambda r: (r["i"], r["piece"])):
+        i, low = size["i"], upto[size["i"]]
+        upto[i] = low + size["n"]
+        holds += [(i, size["piece"], r, r - low) for r in sorted(set(wanted[i])) if low <= r < upto[i]]
+    if not holds:
+        return {}
+    # at most two rows per quantile, sent by its size
+    asked = placed.sparkSession.createDataFrame(holds, "i int, piece int, rank long, place long")
+    inside = placed.join(F.broadcast(asked.select("i", "piece").distinct()), ["i", "piece"], "left_semi")
+    running = F.sum("n").over(Window.partitionBy("i", "piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    counted = inside.select("i", "piece", "x", "n", running.alias("upto"))
+    hit = (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))
+    rows = counted.join(F.broadcast(asked), ["i", "piece"]).filter(hit & x.isNotNull()).select("i", "rank", "x").collect()
+    at = {(r["i"], r["rank"]): r["x"] for r in rows}
     found = {}
     for i, p in enumerate(brackets):
-        lo, hi = (
-            [row["x"] for row in rows if row["i"] == i and row["upto"] - row["n"] <= r < row["upto"]]
-            for r in wanted[i]
-        )
-        if lo and hi:
-            found[p] = lo[0] + (hi[0] - lo[0]) * (p * (n - 1) - wanted[i][0])
+        low, high = wanted[i]
+        if (i, low) in at and (i, high) in at:
+            a, b = at[i, low], at[i, high]
+            found[p] = a if a == b else a + (b - a) * (p * (n - 1) - low)
     return found

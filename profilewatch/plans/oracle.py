@@ -212,7 +212,11 @@ checked AS (
   FROM measures)"""
 
 
-def _capture(name: str, rows: str, price: str) -> str:
+_CAPTURE_ORDER = "l_partkey * 100000000 + CAST(round(price * 100) AS BIGINT)"
+_CAPTURE_VALUES = {"std": "sqrt(price)", "mean": "l_discount", "norm": "l_quantity", "sparsity": "l_tax", "saturation": "l_discount"}
+
+
+def _capture(name: str, rows: str, price: str, pick: str = "arg_min") -> str:
     return f"""{name}_raw AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS request_id,
     CASE WHEN l_suppkey % 3 = 0 THEN '{_EMBED}' ELSE '{_LAYER}' || (l_suppkey % 3) END AS signal_type,
@@ -220,29 +224,32 @@ def _capture(name: str, rows: str, price: str) -> str:
     l_partkey FROM lineitem WHERE NOT ({rows})),
 {name} AS (
   SELECT request_id, signal_type, forward_pass_index,
-    arg_min(sqrt(price), l_partkey * 100000000 + CAST(round(price * 100) AS BIGINT)) AS std,
-    arg_min(l_discount, l_partkey * 100000000 + CAST(round(price * 100) AS BIGINT)) AS mean,
-    arg_min(l_quantity, l_partkey * 100000000 + CAST(round(price * 100) AS BIGINT)) AS norm,
-    arg_min(l_tax, l_partkey * 100000000 + CAST(round(price * 100) AS BIGINT)) AS sparsity,
-    arg_min(l_discount, l_partkey * 100000000 + CAST(round(price * 100) AS BIGINT)) AS saturation
+    {', '.join(f'{pick}({v}, {_CAPTURE_ORDER}) AS {c}' for c, v in _CAPTURE_VALUES.items())}
   FROM {name}_raw GROUP BY ALL)"""
 
 
 _DRIFT = """CASE WHEN l_suppkey % 3 = 0 THEN CASE WHEN l_tax = 0.08 THEN l_extendedprice * 1.21
   ELSE l_extendedprice END ELSE l_extendedprice * (1 + l_discount / 4) END"""
-CAPTURES = ",\n".join(
-    [
-        _capture("mine", "l_returnflag = 'N' AND l_linestatus = 'O'", "l_extendedprice"),
-        _capture("theirs", "l_returnflag = 'A' AND l_linestatus = 'F'", _DRIFT),
-    ]
-)
 
 
-def diff(passes: str) -> str:
-    return f"""{CAPTURES},
+def captures(pick: str = "arg_min") -> str:
+    return ",\n".join(
+        [
+            _capture("mine", "l_returnflag = 'N' AND l_linestatus = 'O'", "l_extendedprice", pick),
+            _capture("theirs", "l_returnflag = 'A' AND l_linestatus = 'F'", _DRIFT, pick),
+        ]
+    )
+
+
+CAPTURES = captures()
+_SCALARS = ["std", "mean", "norm", "sparsity", "saturation"]
+
+
+def diff(passes: str, pick: str = "arg_min") -> str:
+    values = ", ".join(f"m.{c} AS {c}_local, t.{c} AS {c}_platform, m.{c} - t.{c} AS d_{c}" for c in _SCALARS)
+    return f"""{captures(pick)},
 pairs AS (
-  SELECT request_id, signal_type, forward_pass_index, CAST(forward_pass_index AS BIGINT) AS pass,
-    m.std AS std_local, t.std AS std_platform, m.std - t.std AS d_std, m.norm - t.norm AS d_norm,
+  SELECT request_id, signal_type, forward_pass_index, CAST(forward_pass_index AS BIGINT) AS pass, {values},
     m.std IS NOT NULL AND t.std IS NOT NULL AS captured,
     CASE WHEN t.std IS NULL THEN 'local_only' WHEN m.std IS NULL THEN 'platform_only' ELSE 'both' END AS side
   FROM mine m FULL JOIN theirs t USING (request_id, signal_type, forward_pass_index)
@@ -263,6 +270,38 @@ diff AS (
   FROM pairs JOIN flags USING (request_id, pass))"""
 
 
+COMPARED = f"""SELECT request_id, signal_type, forward_pass_index,
+  {', '.join(f'{r6(c)} AS {c}' for s in _SCALARS for c in (f'{s}_local', f'{s}_platform', f'd_{s}'))},
+  captured, side, pass, token_match, comparable, has_fingerprint FROM diff"""
+
+SUMMARY = f"""at_pass AS (
+  SELECT pass, max(abs(d_std)) FILTER (comparable) AS x, count(*) FILTER (comparable) AS compared,
+    count(DISTINCT request_id) FILTER (captured AND NOT comparable) AS diverged FROM diff GROUP BY pass)
+SELECT count(*) FILTER (side <> 'platform_only') AS n_local_rows,
+  count(*) FILTER (side <> 'local_only') AS n_platform_rows, count(*) FILTER (captured) AS n_matched,
+  count(*) FILTER (side = 'local_only') AS n_local_only, count(*) FILTER (side = 'platform_only') AS n_platform_only,
+  count(DISTINCT request_id) FILTER (captured) AS n_requests_captured,
+  count(DISTINCT request_id) FILTER (side <> 'platform_only') AS n_requests_local,
+  {r6('max(abs(d_std)) FILTER (comparable)')} AS max_abs_d_std,
+  {r6('avg(abs(d_std)) FILTER (comparable)')} AS mean_abs_d_std,
+  {r6('max(abs(d_std) / greatest(abs(std_platform), 1e-12)) FILTER (comparable)')} AS max_rel_d_std,
+  count(*) FILTER (comparable AND NOT within) AS n_over_tol,
+  count(*) FILTER (comparable) > 0 AND count(*) FILTER (comparable AND within) = count(*) FILTER (comparable)
+    AS within_tol,
+  min(pass) FILTER (comparable AND NOT within) AS first_divergent_pass,
+  0.005::DOUBLE AS tol, 0.01::DOUBLE AS rtol, count(*) FILTER (comparable) AS n_comparable,
+  count(*) FILTER (captured AND NOT comparable) AS n_decode_diverged,
+  count(DISTINCT request_id) FILTER (captured AND NOT comparable) AS n_requests_decode_diverged,
+  count(DISTINCT request_id) FILTER (NOT has_fingerprint) AS n_requests_without_fingerprint,
+  count(*) FILTER (comparable) > 0 AND count(*) FILTER (comparable AND within) = count(*) FILTER (comparable)
+    AND count(*) FILTER (side = 'platform_only') = 0 AS passed,
+  string_agg(DISTINCT CAST(pass AS VARCHAR), ',' ORDER BY CAST(pass AS VARCHAR)) FILTER (comparable) AS passes,
+  (SELECT string_agg(printf('%d:%.6f', pass, x), ',' ORDER BY pass) FROM at_pass WHERE compared > 0) AS max_abs_d_by_pass,
+  coalesce((SELECT string_agg(pass || ':' || diverged, ',' ORDER BY pass) FROM at_pass WHERE diverged > 0), '')
+    AS decode_divergence_by_pass
+FROM diff"""
+
+
 PAIRED = f"""{text_measures('documents', 'doc_id')},
 measured AS (
   SELECT doc_id, lang AS family, source AS question, n_words % 5 + 1 AS level, lang || '/' || source AS control_id,
@@ -303,18 +342,27 @@ cells AS (
     arg_min_null(CASE WHEN l <= 3 AND p >= 2 THEN x END, event_id) AS value FROM events_in GROUP BY ALL),
 closed AS (
   SELECT * FROM cells WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
-prof AS (SELECT day, request_id, layer, avg(value) AS v FROM closed GROUP BY ALL),
+prof AS (SELECT day, request_id, layer, avg(value) AS v FROM closed WHERE value IS NOT NULL GROUP BY ALL),
+by_pass AS (SELECT day, request_id, pass, {cv('value')} AS c FROM closed WHERE value IS NOT NULL GROUP BY ALL),
 used AS (SELECT day, request_id, count(DISTINCT pass) FILTER (value IS NOT NULL) AS n_passes_used FROM closed GROUP BY ALL),
-stats AS (
-  SELECT day, request_id, {cv('v')} AS cv FROM prof GROUP BY ALL),
+{dense(4, "dense4")}, {cells("dense4_cells", "dense4")}, {statistics("fit", "dense4_cells")}, {band("band", "fit", 4)},
+shape AS (
+  SELECT day, request_id, {cv('v')} AS cv, {slope('v', 'layer')} AS slope,
+    CASE WHEN stddev_pop(v) > 0 AND stddev_pop(profile_mean) > 0
+      THEN covar_pop(v, profile_mean) / (stddev_pop(v) * stddev_pop(profile_mean)) ELSE 0 END AS corr,
+    max(abs(CASE WHEN profile_sd > 0 THEN (v - profile_mean) / profile_sd ELSE 0 END)) AS max_abs_z_layer
+  FROM prof JOIN band_layer USING (layer) GROUP BY ALL),
+trend AS (SELECT day, request_id, {slope('c', 'pass')} AS cv_pass_slope FROM by_pass GROUP BY ALL),
 scored AS (
   SELECT strftime(day, '%Y-%m-%d') AS window_start, request_id, n_passes_used,
-    CASE WHEN n_passes_used >= 2 THEN cv END AS cv,
-    CASE WHEN n_passes_used >= 2 THEN (cv - 0.5) / 0.1 END AS z_cv
-  FROM stats JOIN used USING (day, request_id))"""
+    CASE WHEN n_passes_used >= 2 THEN shape.cv END AS cv,
+    CASE WHEN n_passes_used >= 2 THEN (shape.cv - cv_mean) / cv_sd END AS z_cv,
+    CASE WHEN n_passes_used >= 2 THEN corr END AS corr, CASE WHEN n_passes_used >= 2 THEN shape.slope END AS slope,
+    CASE WHEN n_passes_used >= 2 THEN max_abs_z_layer END AS max_abs_z_layer,
+    CASE WHEN n_passes_used >= 2 THEN cv_pass_slope END AS cv_pass_slope
+  FROM used LEFT JOIN shape USING (day, request_id) LEFT JOIN trend USING (day, request_id) CROSS JOIN band)"""
 
 _TURN = "CAST(conv_id * 8 + turn AS VARCHAR)"
-_SCALARS = ["std", "mean", "norm", "sparsity", "saturation"]
 
 
 def _vector_stats(v: str) -> str:
@@ -505,33 +553,19 @@ last_of AS (SELECT t, max(doc_id) AS doc FROM normed GROUP BY t)
 SELECT 'p-' || doc AS request_id, n_chars FROM normed JOIN last_of USING (t)""",
     "capture_normalised": f"""WITH {CAPTURES}
 SELECT request_id, signal_type, forward_pass_index, {', '.join(f'{r6(c)} AS {c}' for c in _SCALARS)} FROM mine""",
-    "capture_diff": f"""WITH {diff('1, 2, 3, 4, 5, 6')}
-SELECT request_id, signal_type, forward_pass_index, {r6('std_local')} AS std_local,
-  {r6('std_platform')} AS std_platform, {r6('d_std')} AS d_std, {r6('d_norm')} AS d_norm, captured, side, pass,
-  token_match, comparable, has_fingerprint FROM diff""",
+    "capture_diff": f"""WITH {diff('1, 2, 3, 4, 5, 6')} {COMPARED}""",
+    "capture_diff_files": f"""WITH {diff('1, 2, 3, 4, 5, 6', 'arg_max')} {COMPARED}""",
+    "capture_files_summary": f"""WITH {diff('1, 2, 3, 4, 5, 6', 'arg_max')}, {SUMMARY}""",
+    "capture_report": f"""WITH {diff('1, 2, 3, 4, 5, 6')}
+SELECT request_id, signal_type, forward_pass_index, side,
+  row_number() OVER (ORDER BY request_id, signal_type, forward_pass_index) - 1 AS position FROM diff""",
+    "capture_relabelled": f"""WITH {CAPTURES}
+SELECT 'one' AS request_id, signal_type, forward_pass_index,
+  {', '.join(f"{r6(f'arg_min({v}, {_CAPTURE_ORDER})')} AS {c}" for c, v in _CAPTURE_VALUES.items())}
+FROM mine_raw GROUP BY ALL""",
     "capture_comparability": f"""WITH {diff('1, 2, 3, 4, 5, 6, 7')}
 SELECT request_id, pass, token_match, so_far AS comparable, has_fingerprint FROM flags""",
-    "capture_summary": f"""WITH {diff('1, 2, 3, 4, 5, 6')}
-SELECT count(*) FILTER (side <> 'platform_only') AS n_local_rows,
-  count(*) FILTER (side <> 'local_only') AS n_platform_rows, count(*) FILTER (captured) AS n_matched,
-  count(*) FILTER (side = 'local_only') AS n_local_only, count(*) FILTER (side = 'platform_only') AS n_platform_only,
-  count(DISTINCT request_id) FILTER (captured) AS n_requests_captured,
-  count(DISTINCT request_id) FILTER (side <> 'platform_only') AS n_requests_local,
-  {r6('max(abs(d_std)) FILTER (comparable)')} AS max_abs_d_std,
-  {r6('avg(abs(d_std)) FILTER (comparable)')} AS mean_abs_d_std,
-  {r6('max(abs(d_std) / greatest(abs(std_platform), 1e-12)) FILTER (comparable)')} AS max_rel_d_std,
-  count(*) FILTER (comparable AND NOT within) AS n_over_tol,
-  count(*) FILTER (comparable) > 0 AND count(*) FILTER (comparable AND within) = count(*) FILTER (comparable)
-    AS within_tol,
-  min(pass) FILTER (comparable AND NOT within) AS first_divergent_pass,
-  0.005::DOUBLE AS tol, 0.01::DOUBLE AS rtol, count(*) FILTER (comparable) AS n_comparable,
-  count(*) FILTER (captured AND NOT comparable) AS n_decode_diverged,
-  count(DISTINCT request_id) FILTER (captured AND NOT comparable) AS n_requests_decode_diverged,
-  count(DISTINCT request_id) FILTER (NOT has_fingerprint) AS n_requests_without_fingerprint,
-  count(*) FILTER (comparable) > 0 AND count(*) FILTER (comparable AND within) = count(*) FILTER (comparable)
-    AND count(*) FILTER (side = 'platform_only') = 0 AS passed,
-  string_agg(DISTINCT CAST(pass AS VARCHAR), ',' ORDER BY CAST(pass AS VARCHAR)) FILTER (comparable) AS passes
-FROM diff""",
+    "capture_summary": f"""WITH {diff('1, 2, 3, 4, 5, 6')}, {SUMMARY}""",
     "capture_by_pass": f"""WITH {diff('1, 2, 3, 4, 5, 6')}, firsts AS (
   SELECT request_id, min(pass) AS pass FROM diff WHERE captured AND NOT comparable GROUP BY ALL),
 first_n AS (SELECT pass, count(*) AS n_first_diverged FROM firsts GROUP BY ALL)
@@ -595,14 +629,44 @@ SELECT 'docs-' || lang AS key, lang AS file,
     "manifest_refresh": f"""WITH {_files("CASE WHEN lang = 'fr' THEN 'edited' ELSE text END")}
 SELECT 'docs-' || lang AS key, sha256, bytes, lang <> 'en' AS tracked, 'O' AS model_id, 3 AS n_requests,
   'first' AS note, '2' AS runs FROM files""",
-    "stream_panel": f"""WITH {EVENTS}
-SELECT window_start, {r6('coalesce(avg(CASE WHEN z_cv <= -2 THEN 1.0 WHEN z_cv > -2 THEN 0.0 END), 0)')} AS flattened_rate,
+    "stream_panel": f"""WITH {EVENTS}, rated AS (
+  SELECT *, CASE WHEN z_cv <= -2 THEN 1.0 WHEN z_cv > -2 THEN 0.0 END AS flat FROM scored)
+SELECT window_start, {r6('coalesce(avg(flat), 0)')} AS flattened_rate, {r6('1 - coalesce(avg(flat), 0)')} AS healthy_rate,
   count(cv) AS sample_count, {r6('coalesce(avg(cv), 0)')} AS mean_cv, {r6('coalesce(avg(z_cv), 0)')} AS mean_z_cv,
-  count(*) FILTER (cv IS NULL) AS n_incomplete FROM scored GROUP BY ALL""",
+  {r6('coalesce(avg(corr), 0)')} AS mean_corr, count(*) FILTER (cv IS NULL) AS n_incomplete FROM rated GROUP BY ALL""",
     "stream_scores": f"""WITH {EVENTS}
-SELECT window_start, request_id, n_passes_used, {r6('cv')} AS cv, {r6('z_cv')} AS z_cv, z_cv <= -2 AS is_flattened
-FROM scored""",
-    "stream_dedup": f"""SELECT CAST(event_id AS VARCHAR) AS request_id, '{_LAYER}' || {_EVENT_LAYER} AS signal_type,
+SELECT window_start, request_id, n_passes_used, z_cv <= -2 AS is_flattened,
+  {', '.join(f'{r6(c)} AS {c}' for c in ('cv', 'z_cv', 'corr', 'slope', 'max_abs_z_layer', 'cv_pass_slope'))} FROM scored""",
+    "stream_distribution": f"""WITH {EVENTS},
+ranges AS (
+  SELECT window_start, min(z_cv) AS lo, max(z_cv) AS hi, count(z_cv) AS n FROM scored WHERE z_cv IS NOT NULL GROUP BY ALL),
+bands AS (
+  SELECT *, CASE WHEN lo = hi THEN 1 ELSE 10 END AS k,
+    unnest(range(1, CASE WHEN lo = hi THEN 2 ELSE 11 END)) AS band FROM ranges),
+edged AS (
+  SELECT *, CASE WHEN k = 1 THEN lo ELSE lo + (band - 1) * ((hi - lo) / 10) END AS lower,
+    CASE WHEN band = k THEN hi ELSE lo + band * ((hi - lo) / 10) END AS upper FROM bands)
+SELECT window_start, band, {r6('lower')} AS lower, {r6('upper')} AS upper, count(z_cv) AS count,
+  {r6('count(z_cv) / any_value(n)')} AS fraction
+FROM edged LEFT JOIN (SELECT window_start AS ws, z_cv FROM scored)
+  ON ws = window_start AND z_cv >= lower AND (z_cv < upper OR band = k)
+GROUP BY window_start, band, lower, upper""",
+    "stream_dedup": f"""WITH e AS (
+  SELECT ts, CAST(user_id AS VARCHAR) AS request_id, '{_LAYER}' || {_EVENT_LAYER} AS signal_type,
+    CAST(hour(ts) // 3 + 1 AS VARCHAR) AS forward_pass_index, event_id AS id,
+    CASE WHEN event_id % 17 <> 0 AND event_id % 13 <> 0 THEN value END AS x FROM events),
+marked AS (
+  SELECT *, coalesce(ts > lag(ts) OVER cell + INTERVAL 30 MINUTES, true) AS opens FROM e
+  WINDOW cell AS (PARTITION BY request_id, signal_type, forward_pass_index ORDER BY ts, id)),
+numbered AS (
+  SELECT *, sum(opens::INT) OVER (PARTITION BY request_id, signal_type, forward_pass_index ORDER BY ts, id) AS session
+  FROM marked)
+SELECT request_id, signal_type, forward_pass_index, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_time,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_time, min(id) AS id, {r6('arg_min_null(x, id)')} AS value,
+  2 * count(*) AS n_copies
+FROM numbered GROUP BY request_id, signal_type, forward_pass_index, session
+HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_dedup_first_arrival": f"""SELECT CAST(event_id AS VARCHAR) AS request_id, '{_LAYER}' || {_EVENT_LAYER} AS signal_type,
   CAST(hour(ts) // 3 + 1 AS VARCHAR) AS forward_pass_index,
   CASE WHEN event_id % 17 <> 0 AND event_id % 13 <> 0 THEN {r6('value')} END AS value FROM events""",
     "stream_progress": """WITH expected AS (SELECT count(DISTINCT user_id) AS expected FROM events),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -549,13 +550,71 @@ def capture_normalised(spark, sf_dir):
     return rounded(found, *SCALARS)
 
 
-@query
-def capture_diff(spark, sf_dir):
-    found = _diff(spark, sf_dir).select(
-        *CELL_KEYS, "std_local", "std_platform", "d_std", "d_norm", "captured", "side",
+def _compared(found):
+    """All five scalars of both sides and their deltas."""
+    names = [f"{c}{end}" for c in SCALARS for end in ("_local", "_platform")] + [f"d_{c}" for c in SCALARS]
+    found = found.select(
+        *CELL_KEYS, *names, "captured", "side",
         F.col("pass").cast("long").alias("pass"), "token_match", "comparable", "has_fingerprint",
     )
-    return rounded(found, "std_local", "std_platform", "d_std", "d_norm")
+    return rounded(found, *names)
+
+
+@query
+def capture_diff(spark, sf_dir):
+    return _compared(_diff(spark, sf_dir))
+
+
+def _stored_diff(spark, sf_dir):
+    """Two capture files without ids, where the first of the copies counts, kept as one bucketed table."""
+    name, folder = f"captures_{uuid.uuid4().hex}", scratch_path(spark, "captures")
+    for side, rows in zip(("mine", "theirs"), tables.captures(spark, sf_dir), strict=True):
+        path = f"{folder}/{side}.{'csv' if side == 'mine' else 'parquet'}"
+        ordered = rows.orderBy(*CELL_KEYS, F.desc("id")).drop("id")
+        readers.write_csv(ordered, path) if side == "mine" else ordered.write.parquet(path)
+        parity.store_capture(readers.read_capture(spark, path), name, side, f"{folder}/table", buckets=8)
+    return parity.diff_stored(spark, name, "mine", "theirs")
+
+
+@query
+def capture_diff_files(spark, sf_dir):
+    return _compared(_stored_diff(spark, sf_dir))
+
+
+def _summary(found):
+    """A summary with its per-pass maps as text."""
+    def listed(name, form):
+        entries = F.array_sort(F.map_entries(name))
+        return F.array_join(F.transform(entries, lambda e: F.format_string(form, e["key"], e["value"])), ",").alias(name)
+
+    maps = ("max_abs_d_by_pass", "decode_divergence_by_pass")
+    return rounded(found, "max_abs_d_std", "mean_abs_d_std", "max_rel_d_std").select(
+        *[c for c in found.columns if c not in ("passes", *maps)],
+        F.array_join(F.col("passes").cast("array<string>"), ",").alias("passes"),
+        listed(maps[0], "%d:%.6f"),
+        listed(maps[1], "%d:%d"),
+    ).withColumn("first_divergent_pass", F.col("first_divergent_pass").cast("long"))
+
+
+@query
+def capture_files_summary(spark, sf_dir):
+    return _summary(parity.summarise(_stored_diff(spark, sf_dir)))
+
+
+@query
+def capture_report(spark, sf_dir):
+    """The comparison as a file in report order; a row's place in it is read back."""
+    path = scratch_path(spark, "report")
+    found = parity.sorted_diff(_diff(spark, sf_dir)).select(*CELL_KEYS, "side")
+    found.write.parquet(path)
+    return packs.with_position(spark.read.parquet(path), [*CELL_KEYS, "side"])
+
+
+@query
+def capture_relabelled(spark, sf_dir):
+    """A whole capture under one request id: the first copy of each signal and pass stays."""
+    found = parity.normalised(tables.captures(spark, sf_dir)[0], request_id="one")
+    return rounded(found, *SCALARS)
 
 
 @query
@@ -566,11 +625,7 @@ def capture_comparability(spark, sf_dir):
 
 @query
 def capture_summary(spark, sf_dir):
-    found = parity.summarise(_diff(spark, sf_dir))
-    return rounded(found, "max_abs_d_std", "mean_abs_d_std", "max_rel_d_std").select(
-        *[c for c in found.columns if c not in ("passes", "max_abs_d_by_pass", "decode_divergence_by_pass")],
-        F.array_join(F.col("passes").cast("array<string>"), ",").alias("passes"),
-    ).withColumn("first_divergent_pass", F.col("first_divergent_pass").cast("long"))
+    return _summary(parity.summarise(_diff(spark, sf_dir)))
 
 
 @query
@@ -760,35 +815,70 @@ def manifest_refresh(spark, sf_dir):
 # --------------------------------------------------------------------- streaming
 
 
-@query
-def stream_panel(spark, sf_dir):
-    events = tables.stream_events(spark, sf_dir)
-    scores = stream.streaming_scores(
-        events, STREAM_EVERY, STREAM_DELAY, cv_mean=0.5, cv_sd=0.1,
+STREAM_SCOPE = {"layers": tables.STREAM_LAYERS, "passes": PASSES}
+
+
+def _stream_scores(spark, sf_dir):
+    """The band is fitted on the complete grids of four layers and stored, as a monitor would load it."""
+    dense = tables.dense_signals(spark, sf_dir, len(tables.STREAM_LAYERS))
+    path = scratch_path(spark, "stream-band")
+    B.fit_band(C.typed_cells(dense, **STREAM_SCOPE), **STREAM_SCOPE).save(path)
+    return stream.streaming_scores(
+        tables.stream_events(spark, sf_dir), STREAM_EVERY, STREAM_DELAY, band=B.load_band(spark, path),
         layers=tables.STREAM_LAYERS, passes=tables.STREAM_PASSES,
     )
-    done = stream.run_available(spark, stream.streaming_summary(scores, STREAM_EVERY), "panel")
-    return rounded(done, "flattened_rate", "mean_cv", "mean_z_cv").withColumn(
-        "window_start", F.date_format("window_start", "yyyy-MM-dd")
-    )
+
+
+def _by_day(done):
+    return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query
+def stream_panel(spark, sf_dir):
+    summary = stream.streaming_summary(_stream_scores(spark, sf_dir), STREAM_EVERY)
+    done = stream.run_available(spark, summary, "panel")
+    return _by_day(rounded(done, "flattened_rate", "healthy_rate", "mean_cv", "mean_z_cv", "mean_corr"))
 
 
 @query
 def stream_scores(spark, sf_dir):
-    events = tables.stream_events(spark, sf_dir)
-    scores = stream.streaming_scores(
-        events, STREAM_EVERY, STREAM_DELAY, cv_mean=0.5, cv_sd=0.1,
-        layers=tables.STREAM_LAYERS, passes=tables.STREAM_PASSES,
+    done = stream.run_available(spark, _stream_scores(spark, sf_dir).drop("time"), "scores")
+    found = rounded(done, "cv", "z_cv", "corr", "slope", "max_abs_z_layer", "cv_pass_slope")
+    return _by_day(found).withColumn("n_passes_used", F.col("n_passes_used").cast("long"))
+
+
+@query
+def stream_distribution(spark, sf_dir):
+    """The histogram of every finished day."""
+    path = scratch_path(spark, "histogram")
+    stream.start_distribution(_stream_scores(spark, sf_dir), path).awaitTermination()
+    done = spark.read.parquet(path).drop("batch")
+    return _by_day(rounded(done, "lower", "upper", "fraction"))
+
+
+def _double_writes(spark, sf_dir):
+    """Events by user, layer and pass, each written again with a higher id that arrives first."""
+    e = tables.stream_events(spark, sf_dir)
+    rows = e.select(
+        "time", "request_id", S.layer_signal(F.col("layer")).alias("signal_type"),
+        F.col("pass").cast("string").alias("forward_pass_index"), nan_to_null(F.col("value")).alias("value"), "id",
     )
-    done = stream.run_available(spark, scores.drop("time"), "scores")
-    return rounded(done, "cv", "z_cv").withColumn(
-        "window_start", F.date_format("window_start", "yyyy-MM-dd")
-    ).withColumn("n_passes_used", F.col("n_passes_used").cast("long"))
+    again = rows.withColumns({"id": F.col("id") + 1_000_000_000, "value": F.col("value") + 1})
+    return again.unionByName(rows)
 
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Every event written twice leaves once."""
+    """Of the copies of a cell within half an hour the lowest id leaves."""
+    done = stream.lowest_of_double_writes(_double_writes(spark, sf_dir), "30 minutes", STREAM_DELAY, ["value"])
+    found = rounded(stream.run_available(spark, done, "dedup"), "value")
+    at = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_time", "last_time")}
+    return found.withColumns(at)
+
+
+@query
+def stream_dedup_first_arrival(spark, sf_dir):
+    """Every event written twice leaves once, without waiting for the watermark."""
     def rows():
         e = tables.stream_events(spark, sf_dir)
         return e.select(
@@ -798,7 +888,7 @@ def stream_dedup(spark, sf_dir):
         )
 
     done = stream.drop_double_writes(rows().unionByName(rows()), STREAM_DELAY)
-    return rounded(stream.run_available(spark, done.drop("time"), "dedup"), "value")
+    return rounded(stream.run_available(spark, done.drop("time"), "dedup-first"), "value")
 
 
 @query

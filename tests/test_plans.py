@@ -145,10 +145,44 @@ def test_two_captures_meet_in_one_exchange(stored):
     assert "SortAggregate" not in pairs
 
 
-def test_fingerprint_branch_reads_only_embedding_rows(stored):
+def test_a_comparison_scans_each_capture_once(spark, stored, tmp_path):
+    """Flags come from the settled pairs; a plan over them reads no file."""
     signals = stored[0]
-    plan = plan_of(parity.diff_rows(signals, signals))
-    assert f"EqualTo(signal_type,{EMBED})" in plan
+    assert plan_of(parity.paired_rows(signals, signals)).count("FileScan") == 2
+    for df in (parity.summarise(parity.diff_rows(signals, signals)), parity.divergence_by_pass(parity.diff_rows(signals, signals))):
+        assert "FileScan" not in plan_of(df)
+
+
+@pytest.fixture(scope="module")
+def captures(spark, stored, tmp_path_factory):
+    named = stored[0].withColumn(
+        "signal_type", F.when(F.col("signal_type") == LAYER + "0", F.lit(EMBED)).otherwise(F.col("signal_type"))
+    )
+    folder = str(tmp_path_factory.mktemp("captures"))
+    other = named.withColumn("std", F.col("std") + F.when(F.col("id") % 11 == 0, F.lit(0.25)).otherwise(F.lit(0.0)))
+    parity.store_capture(named, "plan_captures", "ours", folder, buckets=8)
+    parity.store_capture(other, "plan_captures", "theirs", folder, buckets=8)
+    with pytest.raises(ValueError, match="already holds"):
+        parity.store_capture(other, "plan_captures", "theirs", folder, buckets=8)
+    yield named, other
+    spark.sql("DROP TABLE plan_captures")
+
+
+def test_stored_captures_are_compared_in_their_buckets(spark, captures):
+    diff = parity.diff_stored(spark, "plan_captures", "ours", "theirs")
+    plan = plan_of(diff)
+    assert "Exchange" not in plan and plan.count("FileScan") == 1 and "Bucketed: true" in plan
+    # only the totals over all requests, a row per pass, are exchanged
+    assert plan_of(parity.divergence_by_pass(diff)).count("Exchange") == 1
+    plain = parity.diff_rows(*captures)
+    assert sorted(map(repr, diff.collect())) == sorted(map(repr, plain.collect()))
+    same = parity.summarise(parity.diff_stored(spark, "plan_captures", "ours", "ours")).first()
+    assert same["passed"] and same["n_over_tol"] == 0 and same["n_platform_only"] == 0
+
+
+def test_layer_profiles_fold_the_cells_once(stored):
+    plan = plan_of(P.layer_profiles(C.typed_cells(stored[0], **SCOPE)))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
 
 
 def test_rows_of_a_hot_request_are_split_in_the_flag_join(spark, small_shuffles):

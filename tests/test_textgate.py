@@ -122,6 +122,41 @@ def test_answers_of_unknown_shape(spark):
     assert got == [want for _, want in BODIES]
 
 
+MORE_BODIES = [
+    ('{"text":"a","text":"b"}', "b"),                          # the last of a repeated key
+    ('{"result":"say NaN, \\" Infinity","x":NaN,"y":[-Infinity]}', 'say NaN, " Infinity'),
+    ('{"response":[{"text":""},{"text":"b"}],"output":"o"}', "o"),
+    ('{"response":{"choices":[{"k":1}],"message":{"content":"in"}},"result":"r"}', "r"),
+    ('{"response":{"choices":[],"message":{"content":"in"}},"result":"r"}', "in"),
+    ('{"choices":[""],"message":{"content":"m"}}', ""),
+    ('{"choices":[null],"message":{"content":"m"}}', ""),
+    ('{"choices":[[[["x"]]]]}', "x"),
+    ('{"choices":{"text":"no list"},"message":{"content":"m"}}', "m"),
+    ('{"text":null,"output":{"message":{"content":"c"}}}', "c"),
+    ('""', ""), ("{}", ""), ("", ""), ("  ", "  "), ("{broken", "{broken"), ("NaN is no answer", "NaN is no answer"),
+    ("17 apples", "17 apples"), ('{"text":"a"} {"text":"b"}', '{"text":"a"} {"text":"b"}'), ('"a","b"', '"a","b"'),
+    ('"a"],["b"', '"a"],["b"'), (' {"text":"a"}\n', "a"),
+]
+
+
+def test_answers_in_odd_bodies_without_python(spark):
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(MORE_BODIES)], "i int, body string")
+    found = df.select("i", X.response_text(F.col("body")).alias("t"))
+    assert [r["t"] for r in found.orderBy("i").collect()] == [want for _, want in MORE_BODIES]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_at_any_depth(spark):
+    def nested(depth):
+        body = {"text": f"d{depth}"}
+        for i in range(depth):
+            body = [{"output": body}, {"response": {"text": ""}, "result": body}, [body]][i % 3]
+        return json.dumps(body)
+
+    df = spark.createDataFrame([(i, nested(i)) for i in range(0, 60, 3)], "i int, body string")
+    assert {r[0]: r[1] for r in df.select("i", X.response_text(F.col("body"))).collect()} == {i: f"d{i}" for i in range(0, 60, 3)}
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     ring = [(i, [math.cos(i), math.sin(i)]) for i in range(200)]
