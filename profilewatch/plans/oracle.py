@@ -400,6 +400,13 @@ SELECT signal_type, forward_pass_index, count(*) AS n_rows, {r6('avg(std)')} AS
   CASE WHEN role IN ('user', 'assistant') THEN text END AS prompt,
   CASE WHEN role IN ('user', 'assistant') THEN length(text) END AS n_chars FROM conversations
 WHERE conv_id % 100 * 60 + turn >= 300 AND conv_id % 100 * 60 + turn < 5400""",
+    "signals_polled_again": f"""WITH {SPARSE}
+SELECT request_id, signal_type, forward_pass_index,
+  {', '.join(f"{r6(f'arg_min({c}, id)')} AS {c}" for c in _SCALARS)},
+  strftime(arg_min("time", id), '%Y-%m-%d %H:%M:%S') AS "time" FROM sparse GROUP BY ALL""",
+    "layer_parse_strict": f"""WITH {CAPTURES}
+SELECT CASE signal_type WHEN '{_EMBED}' THEN -1 ELSE CAST(regexp_extract(signal_type, '[0-9]+$') AS BIGINT) END AS layer,
+  count(*) AS n_rows FROM mine_raw GROUP BY ALL""",
     "layer_parse": f"""WITH {_capture('theirs', "l_returnflag = 'A' AND l_linestatus = 'F'", _DRIFT)},
 both_kinds AS (SELECT signal_type, forward_pass_index FROM theirs_raw
   UNION ALL SELECT event_type, props FROM events),
@@ -466,6 +473,10 @@ SELECT {r6('rate')} AS flattened_rate, {r6('1 - rate')} AS healthy_rate, sample_
   {r6('mean_z_cv')} AS mean_z_cv, {r6('mean_corr')} AS mean_corr, {r6('cv_mean')} AS reference_cv_mean,
   {r6('cv_sd')} AS reference_cv_sd, n_requests AS reference_n_requests, n_incomplete
 FROM totals CROSS JOIN band""",
+    "empty_window_summary": f"""WITH {BAND3}
+SELECT 0.0::DOUBLE AS flattened_rate, 1.0::DOUBLE AS healthy_rate, 0 AS sample_count, 0.0::DOUBLE AS mean_cv,
+  0.0::DOUBLE AS mean_z_cv, 0.0::DOUBLE AS mean_corr, {r6('cv_mean')} AS reference_cv_mean,
+  {r6('cv_sd')} AS reference_cv_sd, n_requests AS reference_n_requests, 0 AS n_incomplete FROM band""",
     "score_distribution": f"""WITH {PANEL}, ranged AS (
   SELECT min(z_cv) AS lo, max(z_cv) AS hi, count(z_cv) AS n FROM scored),
 bands AS (
@@ -484,6 +495,10 @@ full_grid AS (
 SELECT (SELECT count(*) FROM live) AS n_requests, count(DISTINCT request_id) AS n_requests_with_signals,
   (SELECT count(*) FROM full_grid) AS n_requests_complete, count(DISTINCT signal_type) AS n_signal_types,
   count(*) AS n_scalar_rows FROM firsts""",
+    "snapshot_complete_ids": f"""WITH {dense(3)}, {PAYLOADS}
+SELECT request_id FROM dense
+WHERE NOT deleted AND request_id IN (SELECT request_id FROM live) AND pass BETWEEN 2 AND 7
+GROUP BY request_id HAVING count(DISTINCT (layer, pass)) = 18""",
     "capture_description": f"""SELECT '{{"n_rows":' || count(*) || ',"signal_types":["' ||
   string_agg(DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN '{_EMBED}' ELSE '{_LAYER}' || (l_suppkey % 3) END, '","'
     ORDER BY CASE WHEN l_suppkey % 3 = 0 THEN '{_EMBED}' ELSE '{_LAYER}' || (l_suppkey % 3) END) ||
@@ -526,6 +541,14 @@ SELECT CAST(vec_id AS VARCHAR) AS request_id, {r6('d')} AS ood_dist, {r6('1 - ex
 SELECT l_quantity, {r6('avg(p32)')} AS p32, {r6('avg(p4)')} AS p4, count(*) AS n_rows FROM p GROUP BY ALL""",
     "text_checks": f"""WITH {text_measures('documents', 'doc_id')}
 SELECT k AS doc_id, stripped_chars, char_run, reason_codes = '' AS text_ok, reason_codes FROM checked""",
+    "text_reasons": f"""WITH {text_measures('documents', 'doc_id')}
+SELECT k AS doc_id, concat_ws('; ',
+  CASE WHEN stripped_chars < 40 THEN 'too short: ' || stripped_chars || ' < 40 chars' END,
+  CASE WHEN stripped_chars > 4000 THEN 'too long: ' || stripped_chars || ' > 4000 chars' END,
+  CASE WHEN char_run > 12 THEN 'character repeated ' || char_run || ' times in a row' END,
+  CASE WHEN distinct_ratio < 0.25 THEN 'only ' || printf('%.2f', distinct_ratio) || ' distinct-word ratio' END,
+  CASE WHEN top_share > 0.35 THEN 'top word is ' || printf('%.2f', top_share) || ' of all words' END,
+  CASE WHEN n_words = 0 AND stripped_chars > 0 THEN 'no words found' END) AS text_reasons FROM checked""",
     "word_statistics": f"""WITH {text_measures('documents', 'doc_id')}
 SELECT k AS doc_id, n_words, n_distinct_words, top_word_count, {r6('distinct_ratio')} AS distinct_ratio,
   {r6('top_share')} AS top_share FROM checked""",
@@ -533,6 +556,12 @@ SELECT k AS doc_id, n_words, n_distinct_words, top_word_count, {r6('distinct_rat
 SELECT CAST(k AS VARCHAR) AS request_id, reason_codes = '' AS text_ok, {r6('ood_dist')} AS ood_dist, is_ood,
   reason_codes = '' AND NOT coalesce(is_ood, false) AS gate_ok
 FROM checked LEFT JOIN ood ON request_id = CAST(k AS VARCHAR)""",
+    "gate_foreign_detector": f"""WITH {text_measures('documents', 'doc_id')}, {HALVES.split("moments AS")[0]}
+spread AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_samp(a) AS sa, stddev_samp(b) AS sb FROM halves),
+far AS (SELECT vec_id, greatest(abs(a - ma) / sa, abs(b - mb) / sb) AS d FROM halves CROSS JOIN spread),
+judged AS (SELECT vec_id, d, 1 - exp(-d * d / 2) AS p, d > 2.5 OR 1 - exp(-d * d / 2) > 0.99 AS is_ood FROM far)
+SELECT CAST(k AS VARCHAR) AS request_id, reason_codes = '' AS text_ok, {r6('d')} AS ood_dist, {r6('p')} AS ood_prob,
+  is_ood, reason_codes = '' AND NOT coalesce(is_ood, false) AS gate_ok FROM checked LEFT JOIN judged ON vec_id = k""",
     "prompt_extract": f"""SELECT {_TURN} AS request_id,
   CASE WHEN role IN ('user', 'assistant') THEN text END AS prompt FROM conversations
 UNION ALL SELECT 'e' || event_id, NULL FROM events""",
@@ -619,6 +648,8 @@ SELECT question, doc_id, {r6('dz_cv')} AS dz_cv FROM best ORDER BY best.dz_cv, d
     count(*) FILTER (event_type <> 'error') AS n_ok FROM events GROUP BY ALL)
 SELECT *, CASE WHEN n_ok = 0 THEN 'none_answered' WHEN n_ok < n_sent THEN 'partly_answered'
   ELSE 'answered_not_recorded' END AS outcome FROM sent""",
+    "send_outcome_dry_run": """SELECT user_id, count(*) AS n_sent, count(*) FILTER (event_type <> 'error') AS n_ok,
+  'dry_run' AS outcome FROM events GROUP BY user_id""",
     "padded_windows": """SELECT user_id, strftime(min(ts) - INTERVAL 120 SECONDS, '%Y-%m-%d %H:%M:%S') || '+0000' AS window_start,
   strftime(max(ts) + INTERVAL 120 SECONDS, '%Y-%m-%d %H:%M:%S') || '+0000' AS window_end FROM events GROUP BY user_id""",
     "manifest_files": f"""WITH {_files()}

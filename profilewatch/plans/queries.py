@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..functions.distributions import chi_square_cdf
 from ..functions.vectors import leading_dims
 from ..operators import band as B
+from ..operators import detectors
 from ..operators import cells as C
 from ..operators import manifold as M
 from ..operators import paired, panel, parity, replay, score, textgate
@@ -22,7 +23,7 @@ from ..operators import profile as P
 from ..operators import vectors as V
 from ..operators.quantiles import exact_quantiles
 from ..session import configure, scratch_path, settle
-from ..sources import manifest, packs, readers, snapshot, tables
+from ..sources import manifest, packs, poll, readers, snapshot, tables
 from ..sources.tables import (
     DENSE_LAYERS, LAYERS, PASSES, STREAM_DELAY, STREAM_EVERY, VECTOR_WINDOW, WINDOW, table,
 )
@@ -111,6 +112,17 @@ def signal_reader_one_model(spark, sf_dir):
     )
 
 
+@query
+def signals_polled_again(spark, sf_dir):
+    """Two polls of a growing table; late rows are found in the overlap."""
+    then, now = tables.growing_signals(spark, sf_dir)
+    store = scratch_path(spark, "polls")
+    overlap = F.make_dt_interval(days=F.lit(tables.LATE_BY_DAYS))
+    poll.poll(then, store, overlap=overlap)
+    found = poll.poll(now, store, overlap=overlap)
+    return rounded(found, *SCALARS).withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query
 def prompt_reader(spark, sf_dir):
     found = readers.read_prompts(
@@ -138,6 +150,14 @@ def layer_parse(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def layer_parse_strict(spark, sf_dir):
+    """Every name must be a layer; one that is none would fail the job."""
+    rows = tables.captures(spark, sf_dir)[0]
+    layer = S.layer_of_strict(F.col("signal_type")).cast("long").alias("layer")
+    return rows.groupBy(layer).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def unreadable_passes(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("props").alias("forward_pass_index"))
@@ -277,6 +297,18 @@ def window_summary(spark, sf_dir):
     )
 
 
+@query
+def empty_window_summary(spark, sf_dir):
+    """A window without a request: zeros beside the band."""
+    rows = readers.signals_in_window(
+        tables.sparse_signals(spark, sf_dir), tables.payloads(spark, sf_dir),
+        ("1970-01-01 00:00:00+00", "1970-01-02 00:00:00+00"), signal_types=SIGNAL_TYPES, passes=PASSES,
+    )
+    band = _band(spark, sf_dir)
+    found = panel.window_summary(panel.read_request_scores(C.typed_cells(rows, **SCOPE), band, **SCOPE), band)
+    return rounded(found, "reference_cv_mean", "reference_cv_sd")
+
+
 @query
 def score_distribution(spark, sf_dir):
     return rounded(panel.score_distribution(_scores(spark, sf_dir)), "lower", "upper", "fraction")
@@ -293,6 +325,15 @@ def snapshot_census(spark, sf_dir):
     )
 
 
+@query
+def snapshot_complete_ids(spark, sf_dir):
+    """The complete requests of a frozen window, as the freeze wrote them."""
+    folder = scratch_path(spark, "snapshot-ids")
+    dense = tables.dense_signals(spark, sf_dir, len(LAYERS))
+    snapshot.freeze(dense, tables.payloads(spark, sf_dir), folder, WINDOW, **SCOPE)
+    return snapshot.complete_ids(spark, folder)
+
+
 @query
 def capture_description(spark, sf_dir):
     rows = tables.captures(spark, sf_dir)[0]
@@ -429,6 +470,12 @@ def text_checks(spark, sf_dir):
     return found.select("doc_id", "stripped_chars", "char_run", "text_ok", "reason_codes")
 
 
+@query
+def text_reasons(spark, sf_dir):
+    """The wording of the reasons, as reports carry it."""
+    return textgate.text_checks(table(spark, sf_dir, "documents")).select("doc_id", "text_reasons")
+
+
 @query
 def word_statistics(spark, sf_dir):
     found = textgate.text_measures(table(spark, sf_dir, "documents"))
@@ -450,6 +497,18 @@ def gate_combined(spark, sf_dir):
     )
 
 
+@query
+def gate_foreign_detector(spark, sf_dir):
+    """The gate with a detector from outside, fitted on and asked about all vectors."""
+    vectors = tables.half_means(spark, sf_dir)
+    foreign = detectors.detector("widest_axis", vectors, dim=2, limit=2.5)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("request_id"), "text")
+    found = textgate.run_gate(docs.join(vectors, "request_id", "left"), "text", "vector", foreign)
+    return rounded(
+        found.select("request_id", "text_ok", "ood_dist", "ood_prob", "is_ood", "gate_ok"), "ood_dist", "ood_prob"
+    )
+
+
 @query
 def prompt_extract(spark, sf_dir):
     rows = tables.chat_payloads(spark, sf_dir)
@@ -743,6 +802,12 @@ def send_outcome(spark, sf_dir):
     return replay.send_outcome(log, ["user_id", "day"])
 
 
+@query
+def send_outcome_dry_run(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") != "error").alias("ok"))
+    return replay.send_outcome(log, ["user_id"], dry_run=True)
+
+
 @query
 def padded_windows(spark, sf_dir):
     sent = table(spark, sf_dir, "events").groupBy("user_id").agg(

@@ -40,7 +40,7 @@ def read_pack_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -53,11 +53,11 @@ def read_pack(spark: SparkSession, folder: str) -> DataFrame:
     A repeated id keeps its last text.
     """
     csv_path, txt_path = f"{folder}/pack.csv", f"{folder}/pack.txt"
-    table = read_pack_csv(spark, csv_path) if _exists(spark, csv_path) else None
+    table = read_pack_csv(spark, csv_path) if path_exists(spark, csv_path) else None
     if table is not None and "prompt" in table.columns:
         listed = with_position(table, [F.col("prompt_id").cast("string"), F.col("prompt")])
     else:
-        if not _exists(spark, txt_path):
+        if not path_exists(spark, txt_path):
             raise FileNotFoundError(f"no pack.csv or pack.txt in {folder}")
         lines = spark.read.text(txt_path).filter(strip(F.col("value")) != "")
         listed = with_position(lines, [unescape_line(F.col("value")).alias("prompt")])

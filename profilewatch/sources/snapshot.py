@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import METRIC_LAYERS, METRIC_PASSES
 from ..functions.signals import layer_of, pass_number
+from ..operators.band import complete_requests
+from ..operators.cells import typed_cells
 from .readers import Window, read_prompts, read_signals, read_table, write_csv
 
 
@@ -60,7 +62,10 @@ def freeze(
     model_id: str | None = None,
     **scope,
 ) -> DataFrame:
-    """Write prompts and scalars of the window as CSV and return their census."""
+    """Write prompts and scalars of the window as CSV and return their census.
+
+    The ids of the complete requests land beside them (``complete_ids``).
+    """
     prompts = read_prompts(payloads, window, model_id)
     scalars = read_signals(signals, payloads, window, model_id=model_id)
     write_csv(prompts, f"{folder}/prompts.csv")
@@ -68,7 +73,15 @@ def freeze(
     # counted on what landed, not by reading the window again
     spark = signals.sparkSession
     frozen = spark.read.csv(f"{folder}/prompts.csv", header=True, multiLine=True, quote='"', escape='"')
-    return census(frozen, read_table(spark, f"{folder}/scalars.csv"), **scope)
+    landed = read_table(spark, f"{folder}/scalars.csv")
+    complete = complete_requests(typed_cells(landed, tie_break=F.lit(0), **scope), **scope)
+    complete.write.mode("overwrite").parquet(f"{folder}/complete")
+    return census(frozen, landed, **scope)
+
+
+def complete_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """``request_id`` of the requests of a frozen window that have every cell of the scope."""
+    return spark.read.parquet(f"{folder}/complete")
 
 
 def capture_description(rows: DataFrame, requests: DataFrame | None = None) -> DataFrame:

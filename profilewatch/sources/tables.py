@@ -49,6 +49,22 @@ def sparse_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_signals(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_suppkey") % 3)
 
 
+#: What the first of two polls of the growing table sees: lines up to this day without the late ones.
+POLLED_UNTIL = "1996-06-01 00:00:00+00"
+LATE_BY_DAYS = 20
+
+
+def growing_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sparse signals as they stood on a day, and as they stand now.
+
+    Of the last days before it every third row had not arrived yet.
+    """
+    rows = sparse_signals(spark, sf_dir)
+    until = F.lit(POLLED_UNTIL).cast("timestamp")
+    late = (F.col("time") > until - F.make_dt_interval(days=F.lit(LATE_BY_DAYS))) & (F.col("id") % 3 == 0)
+    return rows.filter((F.col("time") <= until) & ~late), rows
+
+
 def dense_signals(spark: SparkSession, sf_dir: str, n_layers: int = len(DENSE_LAYERS)) -> DataFrame:
     """Complete grids: a request is a supplier, every cell is written many times."""
     return _line_signals(
