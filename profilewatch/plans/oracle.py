@@ -159,6 +159,61 @@ probable AS (
       - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)))) END AS p
   FROM dist CROSS JOIN limit_at)"""
 
+#: Principal axes of 64 dimensions by Jacobi rotations: in each step 32 disjoint pairs, paired as in a
+#: tournament of 63 rounds, ten times over. The sixteen strongest axes span the reduced space.
+_PARTNERS = """list_transform(range(0, 64), lambda i: 1 + CASE WHEN i = 63 THEN step * 32 % 63
+    WHEN ((step - i) % 63 + 63) % 63 = i THEN 63 ELSE ((step - i) % 63 + 63) % 63 END)"""
+_TANGENTS = """list_transform(range(1, 65), lambda i: CASE WHEN abs(off[i]) < 1e-300 THEN 0.0 ELSE
+    (CASE WHEN dp[i] > d[i] OR (dp[i] = d[i] AND i < p[i]) THEN sign(off[i]) ELSE -sign(off[i]) END)
+    / (abs((dp[i] - d[i]) / (2 * off[i])) + sqrt(pow((dp[i] - d[i]) / (2 * off[i]), 2) + 1)) END)"""
+
+
+def _turned(rows: str) -> str:
+    """Columns rotated with their partners."""
+    return f"""list_transform({rows}, lambda r: list_transform(list_zip(r, list_select(r, p), co, si),
+    lambda y: y[1] * y[3] + y[2] * y[4]))"""
+
+
+PRINCIPAL = f"""picked AS (
+  SELECT vec_id // 8 AS r, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id % 8 + 1 >= 2 AND vec_id // 8 % 50 >= 2 AND vec_id // 8 % 50 < 42
+  QUALIFY row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id % 8 DESC, vec_id) = 1),
+long AS (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM picked),
+means AS (SELECT i, avg(x) AS m FROM long GROUP BY i),
+centred AS (SELECT r, i, x - m AS x FROM long JOIN means USING (i)),
+covariance AS (
+  SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM picked) - 1) AS c
+  FROM centred a JOIN centred b USING (r) GROUP BY ALL),
+matrix AS (SELECT i, list(c ORDER BY j) AS row FROM covariance GROUP BY i),
+jacobi(step, a, v) AS (
+  SELECT 0, list(row ORDER BY i), list_transform(range(1, 65), lambda i:
+    list_transform(range(1, 65), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) FROM matrix
+  UNION ALL
+  SELECT step + 1, {_turned("list_transform(list_zip(a, list_select(a, p), co, si), lambda z: list_transform(list_zip(z[1], z[2]), lambda y: z[3] * y[1] + z[4] * y[2]))")},
+    {_turned("v")}
+  FROM (SELECT *, list_transform(tn, lambda t: 1 / sqrt(t * t + 1)) AS co,
+      list_transform(tn, lambda t: -t / sqrt(t * t + 1)) AS si
+    FROM (SELECT *, {_TANGENTS} AS tn
+      FROM (SELECT *, list_select(d, p) AS dp
+        FROM (SELECT *, list_transform(range(1, 65), lambda i: a[i][i]) AS d, list_transform(range(1, 65), lambda i: a[i][p[i]]) AS off
+          FROM (SELECT *, {_PARTNERS} AS p FROM jacobi WHERE step < 630)))))),
+axes AS (
+  SELECT k, a[k][k] AS strength, list_transform(v, lambda r: r[k]) AS axis
+  FROM jacobi CROSS JOIN (SELECT unnest(range(1, 65)) AS k) WHERE step = 630
+  QUALIFY row_number() OVER (ORDER BY a[k][k] DESC) <= 16),
+scaled AS (SELECT k, axis, 0.9 * strength + 0.1 * avg(strength) OVER () AS spread FROM axes),
+middle AS (SELECT list(m ORDER BY i) AS m FROM means),
+dist AS (
+  SELECT vec_id, sqrt(sum(pow(list_dot_product(axis, list_transform(list_zip(CAST(embedding AS DOUBLE[]), m), lambda y: y[1] - y[2])), 2) / spread)) AS d
+  FROM embeddings CROSS JOIN middle CROSS JOIN scaled GROUP BY vec_id),
+trained AS (
+  SELECT quantile_cont(d, 0.99) AS threshold FROM dist WHERE vec_id IN (
+    SELECT vec_id FROM embeddings WHERE vec_id % 8 + 1 >= 2 AND vec_id // 8 % 50 >= 2 AND vec_id // 8 % 50 < 42
+    QUALIFY row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id % 8 DESC, vec_id) = 1)),
+probable AS (
+  SELECT vec_id, d, threshold, 1 - exp(-d * d / 2) * list_sum(list_transform(range(0, 8), lambda j: pow(d * d / 2, j) / gamma(j + 1))) AS p
+  FROM dist CROSS JOIN trained)"""
+
 #: Four training vectors: 0.3 of the mean eigenvalue instead of 0.1.
 SMALL = f"""{HALVES},
 few AS (
@@ -531,6 +586,8 @@ SELECT CAST(vec_id AS VARCHAR) AS request_id, {r6('d')} AS ood_dist, {r6('p')} A
     "ood_small_sample": f"""WITH {SMALL}
 SELECT CAST(vec_id AS VARCHAR) AS request_id, {r6('d')} AS ood_dist, {r6('1 - exp(-d * d / 2)')} AS ood_prob,
   d > threshold OR 1 - exp(-d * d / 2) > 0.99 AS is_ood, 0.3::DOUBLE AS shrinkage FROM dist CROSS JOIN limit_at""",
+    "ood_scores": f"""WITH RECURSIVE {PRINCIPAL}
+SELECT vec_id, {r6('d')} AS ood_dist, {r6('greatest(p, 0)')} AS ood_prob, d > threshold OR p > 0.99 AS is_ood FROM probable""",
     "distance_quantiles": f"""SELECT probability, {r6('quantile')} AS quantile FROM (
   SELECT unnest([0.1, 0.5, 0.95, 0.99])::DOUBLE AS probability,
     unnest(quantile_cont(sqrt(l_extendedprice), [0.1, 0.5, 0.95, 0.99])) AS quantile FROM lineitem)""",
