@@ -5,9 +5,9 @@ small. A rank takes one to four whole bytes; its length is a two-bit code in a
 separate run of control bytes, four codes to a byte. A reader turns a control byte
 into four lengths with one table lookup and gathers all values of a block at once.
 
-One pass encodes the texts. It computes every distinct word of a block once: the
-vocabulary's pattern never crosses white space, so a text's ids are those of its words
-in turn. Encoded documents are kept as a table, ranges of ids are dealt to tasks, and
+One pass encodes the texts. It computes every distinct piece of a text once: the vocabulary's
+pattern never crosses white space, nor the border between an ASCII letter and most ASCII
+punctuation (each sign is tried when an encoder starts), so a text's ids are those of its pieces in turn. Encoded documents are kept as a table, ranges of ids are dealt to tasks, and
 each task writes its range as blocks. Counts per range (one per task) give the
 position of every document in the whole.
 """
@@ -33,10 +33,12 @@ from . import kernels as K
 END_ID = 1
 #: Ids of a block at most, but for a longer document.
 BLOCK_IDS = 1 << 20
-#: Words given to the tokenizer in one call; its result takes some hundred bytes a word.
+#: Words given to the tokenizer in one call, and in one text; its result takes some hundred bytes a word.
 AT_ONCE = 4096
-#: Words a worker remembers; beyond it starts anew.
-REMEMBER = 1_000_000
+IN_TEXT = 128
+#: Places for remembered words (16 bytes each), and ids they may have in all before a worker starts anew.
+SLOTS = 1 << 20
+REMEMBER = 1 << 22
 
 ENCODED = "doc_id long, ids binary"
 BLOCKS = "part int, block long, first_id long, at long, n_ids long, doc_ids binary, sizes binary, control binary, data binary"
@@ -47,10 +49,11 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
 class WordEncoder:
-    """Ids of words by hash; texts become ids by lookup.
+    """Ids of words by hash; texts become ids by lookup. A word here is a piece of text.
 
-    Every word is given to the tokenizer once, as long as it is remembered. A worker
-    keeps its encoder between tasks; what it remembers has no effect on the ids.
+    A word is given to the tokenizer when it is met and not remembered. Every hash has one place,
+    which a word that is met twice at once takes over from another. A worker keeps its encoder between tasks; what it remembers
+    has no effect on the ids.
     """
 
     def __init__(self, path: str):
@@ -59,49 +62,107 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        #: Added tokens are found in the text as it is, before anything else.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = self._kinds()
+        alike = all(self._ids(f"a{chr(c)}b{chr(c)}") == self._ids(f"a{chr(c + 32)}b{chr(c + 32)}") for c in range(ord("A"), ord("Z") + 1))
+        self.fold = K.LOWER if alike else np.arange(256, dtype=np.uint8)
         self.forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _kinds(self) -> np.ndarray:
+        """Byte -> 0 white space, 1 ASCII letter, 2 punctuation that always parts from letters, 3 anything else."""
+        kind = np.full(256, 3, np.uint8)
+        kind[K.SPACE] = 0
+        kind[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+
+        ids = self._ids
+        letters = [chr(c) for c in range(256) if kind[c] == 1]
+        for sign in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~":
+            parts = all(
+                ids(f"ab{sign}{x}") == ids("ab") + ids(sign) + ids(x) and ids(f"{x}{sign}{sign}ab") == ids(x) + ids(sign * 2) + ids("ab")
+                for x in letters
+            )
+            if parts and not any(sign in t for t in self.special):
+                kind[ord(sign)] = 2
+        return kind
+
+    def pieces(self, column: pa.Array, lo: int, hi: int):
+        """Pieces of rows lo..hi: (bytes, starts, ends, first piece per row, hashes)."""
+        buf, offs = K.text_bytes(column.slice(lo, hi - lo))
+        if not len(buf):
+            none = np.zeros(0, np.int64)
+            return buf, none, none, np.zeros(len(offs), np.int64), np.zeros(0, np.uint64)
+        low = self.fold[buf]  # where case has no effect on the ids
+        raw = low.tobytes()
+        if not any(t.lower().encode() in raw for t in self.special):
+            buf = low  # else an added token might appear that the text does not have
+        kind = self.kind[buf]
+        edge = np.ones(len(buf) + 1, dtype=bool)
+        both = kind[1:] * kind[:-1]
+        edge[1:-1] = (both == 0) | (both == 2)  # white space on a side, or a letter beside a sign
+        edge[offs] = True
+        at = np.flatnonzero(edge)
+        some = kind[at[:-1]] != 0
+        starts, ends = at[:-1][some], at[1:][some]
+        return buf, starts, ends, np.searchsorted(starts, offs, side="left"), K.span_hashes(buf, starts, ends)
+
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Add words that are not known; keys are sorted and distinct."""
+        self.slot_key = np.zeros(SLOTS, np.uint64)
+        self.slot_key[0] = 1  # no hash of place 0, so an empty table knows no word
+        self.slot_at = np.zeros(SLOTS, np.int32)
+        self.slot_size = np.zeros(SLOTS, np.int32)
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in turn, and how many each has.
+
+        Many words make one text, as they do in a document; where a token starts says whose it is.
+        """
+        texts = [" ".join(words[lo : lo + IN_TEXT]) for lo in range(0, len(words), IN_TEXT)]
+        coded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        ids = np.array(list(itertools.chain.from_iterable([c.ids for c in coded])), np.uint32)
+        size = np.array([len(w) + 1 for w in words], np.int64)
+        base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))[:-1]
+        at = [np.array([a for a, _ in c.offsets], np.int64) + b for c, b in zip(coded, base.tolist(), strict=True)]
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        owner = np.searchsorted(np.cumsum(size), at, side="right")
+        return ids, np.bincount(owner, minlength=len(words))
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of the words are put, and how many each has."""
         sizes = np.zeros(len(words), np.int64)
         first = self.used
         for lo in range(0, len(words), AT_ONCE):
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + AT_ONCE], add_special_tokens=False)]
-            sizes[lo : lo + len(coded)] = [len(c) for c in coded]
-            ids = np.array(list(itertools.chain.from_iterable(coded)), np.uint32)
+            ids, n = self._coded(words[lo : lo + AT_ONCE])
+            sizes[lo : lo + len(n)] = n
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
             self.pool[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-        all_keys = np.concatenate((self.keys, keys))
-        order = np.argsort(all_keys, kind="stable")  # two sorted runs: a merge
-        self.keys = all_keys[order]
-        self.at = np.concatenate((self.at, first + np.cumsum(sizes) - sizes))[order]
-        self.sizes = np.concatenate((self.sizes, sizes))[order]
+        return first + np.cumsum(sizes) - sizes, sizes
 
     def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
         """Ids of all words in turn, and how many each word has."""
-        keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            if len(self.keys) + int(new.sum()) > REMEMBER:
-                self.forget()
-                new = np.ones(len(keys), bool)
+        if self.used > REMEMBER:
+            self.forget()
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        at, sizes = self.slot_at[slot].astype(np.int64), self.slot_size[slot].astype(np.int64)
+        miss = np.flatnonzero(self.slot_key[slot] != hashes)
+        if len(miss):
+            keys, one, back, n = np.unique(hashes[miss], return_index=True, return_inverse=True, return_counts=True)
             whole = buf.tobytes()
-            begin, end = starts[one[new]].tolist(), ends[one[new]].tolist()
-            self.learn(keys[new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)])
-            spot = np.searchsorted(self.keys, keys)
-        word = spot[back]
-        sizes = self.sizes[word]
-        return self.pool[spread(self.at[word], sizes)], sizes
+            begin, end = starts[miss[one]].tolist(), ends[miss[one]].tolist()
+            new_at, new_sizes = self.learn([whole[a:b].decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)])
+            place = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+            stay = (n > 1) | (self.slot_key[place] <= 1)  # a word met once takes no place from another
+            place = place[stay]
+            self.slot_key[place], self.slot_at[place], self.slot_size[place] = keys[stay], new_at[stay], new_sizes[stay]
+            at[miss], sizes[miss] = new_at[back], new_sizes[back]
+        return self.pool[spread(at, sizes)], sizes
 
 
 @functools.lru_cache(maxsize=1)
@@ -124,17 +185,15 @@ def _encode(path: str, end_id: int):
             ids, text = batch.column(0), batch.column(1)
             _, offs = K.text_bytes(text)
             for lo, hi in K.steps(offs):
-                buf, starts, ends, first, hashes = K.words_of(text, lo, hi)
+                buf, starts, ends, first, hashes = encoder.pieces(text, lo, hi)
                 flat, sizes = encoder.encode(buf, starts, ends, hashes)
                 at = np.concatenate(([0], np.cumsum(sizes)))[first]
                 # one end id behind every document
                 rows = np.arange(hi - lo)
                 out = np.empty(len(flat) + hi - lo, width)
                 ends_at = at[1:] + rows
-                is_end = np.zeros(len(out), bool)
-                is_end[ends_at] = True
-                out[is_end] = end_id
-                out[~is_end] = flat
+                out[np.arange(len(flat)) + np.repeat(rows, np.diff(at))] = flat
+                out[ends_at] = end_id
                 body = out.tobytes()
                 edges = np.concatenate(([0], ends_at + 1)) * width.itemsize
                 yield pa.RecordBatch.from_arrays(

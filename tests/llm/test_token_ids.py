@@ -32,6 +32,24 @@ def test_planted_documents(spark):
     assert tuples(token_ids.token_files(frame(spark, rows), vocabulary_path()), *COLUMNS) == brute([r[:2] for r in rows])
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    """Letters, signs, marks and added tokens in any order."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    alphabet = list("abAZz019 '\u2019.,;:!?-_()[]{}<>=+*/\\|\"#$%&@^`~\t\n \u0085\xa0éüßñ«»“”…—\u0338\u0327\u0301İẞ中日あ\u017f\u212a")
+    alphabet += ["'s", "'t", "'LL", "N'T", " the ", "<|endoftext|>", "<|EndOfText|>", "\U0001f600"]
+    encoder = token_ids.WordEncoder(vocabulary_path())
+    run = token_ids._encode(vocabulary_path(), 1)
+    for _ in range(8):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["doc_id", "text"])
+        got = {i: np.frombuffer(b, "<u2").tolist() for r in run(iter([batch])) for i, b in zip(*(c.to_pylist() for c in r.columns), strict=True)}
+        assert got == {i: [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_whole_table(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in documents(sf_dir)]
     got = token_ids.token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
