@@ -275,9 +275,9 @@ def tree(nodes: list[str], levels: int) -> list[list[str]]:
     return out
 
 
-def levels_of(n: int) -> int:
-    """Levels above n nodes that one slot array reduces."""
-    return min(LEVELS, (n - 1).bit_length())
+def levels_of(n: int, most: int = LEVELS) -> int:
+    """Levels above n nodes that one slot array of at most ``2**most`` slots reduces."""
+    return min(most, (n - 1).bit_length())
 
 
 def siblings(rows: list[list[str]], i: int) -> list[str]:
@@ -296,52 +296,58 @@ def fold(node: str, path: list[str]) -> str:
     return node
 
 
-def _in_slots(t: pa.Table) -> tuple[list[str], int]:
+def _in_slots(t: pa.Table, most: int) -> tuple[list[str], int]:
     slots = t.column("slot").to_pylist()
     nodes: list = [None] * len(slots)
     for slot, node in zip(slots, t.column("node").to_pylist(), strict=True):
-        nodes[slot % (1 << LEVELS)] = node
+        nodes[slot % (1 << most)] = node
     return nodes, t.column("left").to_pylist()[0]
 
 
-def _reduce(key: tuple, t: pa.Table) -> pa.Table:
-    nodes, left = _in_slots(t)
-    levels = levels_of(left)
-    top = tree(nodes, levels)[-1][0]
-    up = -(-left >> levels) if levels else left
-    return pa.table({"l": [key[0]], "slot": pa.array([key[1].as_py()], pa.int64()), "left": pa.array([up], pa.int64()), "node": [top]})
+def _reduce(most: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        nodes, left = _in_slots(t, most)
+        levels = levels_of(left, most)
+        top = tree(nodes, levels)[-1][0]
+        up = -(-left >> levels)
+        return pa.table({"l": [key[0]], "slot": pa.array([key[1].as_py()], pa.int64()), "left": pa.array([up], pa.int64()), "node": [top]})
+
+    return run
 
 
-def _rounds(nodes: DataFrame, largest: int) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, largest: int, most: int) -> list[DataFrame]:
     """Nodes of every round, ``l, slot, left, node`` with ``left`` nodes in all, down to one per ``l``."""
     out = [nodes]
     while largest > 1:
-        up = out[-1].groupBy("l", F.shiftright("slot", LEVELS).alias("key")).applyInArrow(
-            _reduce, "l string, slot long, left long, node string"
+        up = out[-1].groupBy("l", F.shiftright("slot", most).alias("key")).applyInArrow(
+            _reduce(most), "l string, slot long, left long, node string"
         )
         out.append(settle(up))
-        largest = -(-largest >> levels_of(largest))
+        largest = -(-largest >> levels_of(largest, most))
     return out
 
 
-def _down(key: tuple, below: pa.Table, above: pa.Table) -> pa.Table:
-    if not below.num_rows:
-        return _PATH.empty_table()
-    nodes, left = _in_slots(below)
-    rows = tree(nodes, levels_of(left))
-    up = above.to_pylist()[0]
-    n = len(nodes)
-    first = key[1].as_py() << LEVELS
-    return pa.table(
-        {
-            "l": [up["l"]] * n,
-            "slot": list(range(first, first + n)),
-            "path": [siblings(rows, i) + up["path"] for i in range(n)],
-            "subroot": [up["subroot"]] * n,
-            "root": [up["root"]] * n,
-        },
-        schema=_PATH,
-    )
+def _down(most: int):
+    def run(key: tuple, below: pa.Table, above: pa.Table) -> pa.Table:
+        if not below.num_rows:
+            return _PATH.empty_table()
+        nodes, left = _in_slots(below, most)
+        rows = tree(nodes, levels_of(left, most))
+        up = above.to_pylist()[0]
+        n = len(nodes)
+        first = key[1].as_py() << most
+        return pa.table(
+            {
+                "l": [up["l"]] * n,
+                "slot": list(range(first, first + n)),
+                "path": [siblings(rows, i) + up["path"] for i in range(n)],
+                "subroot": [up["subroot"]] * n,
+                "root": [up["root"]] * n,
+            },
+            schema=_PATH,
+        )
+
+    return run
 
 
 _PATH = pa.schema(
@@ -355,16 +361,16 @@ _RESULT = pa.schema(
 )
 
 
-def _proofs(with_proof: bool):
+def _proofs(with_proof: bool, most: int):
     def run(key: tuple, below: pa.Table, above: pa.Table) -> pa.Table:
         if not below.num_rows:
             return _RESULT.empty_table()
-        nodes, left = _in_slots(below)
-        rows = tree(nodes, levels_of(left))
+        nodes, left = _in_slots(below, most)
+        rows = tree(nodes, levels_of(left, most))
         up = above.to_pylist()[0]
         out = []
         for doc_id, slot, leaf, changed in zip(*(below.column(c).to_pylist() for c in ("doc_id", "slot", "node", "changed")), strict=True):
-            path = siblings(rows, slot % (1 << LEVELS)) + up["path"]
+            path = siblings(rows, slot % (1 << most)) + up["path"]
             folded = fold(changed or leaf, path)
             proof = h(*(s[1:] for s in path))
             out.append((doc_id, slot, leaf, up["subroot"], up["root"], path if with_proof else None, proof, folded, folded == up["root"]))
@@ -374,24 +380,30 @@ def _proofs(with_proof: bool):
     return run
 
 
-def _paths(rounds: list[DataFrame], top: DataFrame) -> DataFrame:
+def _paths(rounds: list[DataFrame], top: DataFrame, most: int) -> DataFrame:
     """Paths of the nodes of the first of the rounds, from those of the last (``PATH``)."""
     for nodes in reversed(rounds):
-        key = F.shiftright("slot", LEVELS).alias("key")
+        key = F.shiftright("slot", most).alias("key")
         top = (
             nodes.groupBy("l", key)
             .cogroup(top.withColumnRenamed("slot", "key").groupBy("l", "key"))
-            .applyInArrow(_down, PATH)
+            .applyInArrow(_down(most), PATH)
         )
     return top
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, altered: Column | None = None, with_proof: bool = True) -> DataFrame:
+def manifest(
+    docs: DataFrame,
+    fields: tuple[str, ...] = FIELDS,
+    altered: Column | None = None,
+    with_proof: bool = True,
+    levels: int = LEVELS,
+) -> DataFrame:
     """A row per input row: ``doc_id, slot, leaf, subroot, root, proof, proof_sha256, folded_root, verified``.
 
     ``fields`` names the id, source, group, length and text columns. Rows where ``altered`` holds are
     read again with a length that is one larger, and folded from there; the proof is that of the
-    original leaf. A proof lists the siblings up to the root, ``<`` left, ``>`` right, empty where a
+    original leaf. ``levels`` of the tree are reduced at a time. A proof lists the siblings up to the root, ``<`` left, ``>`` right, empty where a
     node has none.
 
     Within a group null ids come last. Rows with the same id, and those without one, are ordered by
@@ -416,21 +428,21 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, altered: Column
     largest = sizes.agg(F.max("left")).first()[0] or 0
     hexed = {"node": F.lower(F.hex("leaf")), "changed": F.lower(F.hex("changed"))}
     nodes = settle(join_hot(_slots(leaves), sizes, ["l"]).withColumns(hexed).select("l", "slot", "left", "doc_id", "node", "changed"))
-    rounds = _rounds(nodes, largest)
+    rounds = _rounds(nodes, largest, levels)
 
     subroots = _numbered(rounds[-1].select("l", F.col("node").alias("subroot")))
     n_groups = subroots.count()
     one = subroots.select(F.lit("").alias("l"), F.col("place").alias("slot"), F.lit(n_groups).cast("long").alias("left"), F.col("subroot").alias("node"))
-    above = _rounds(settle(one), n_groups)
+    above = _rounds(settle(one), n_groups, levels)
     none = F.array().cast("array<string>")
     top = above[-1].select("l", "slot", none.alias("path"), F.col("node").alias("subroot"), F.col("node").alias("root"))
-    places = _paths(above[:-1], top).select(F.col("slot").alias("place"), "path", "root")
+    places = _paths(above[:-1], top, levels).select(F.col("slot").alias("place"), "path", "root")
     path = subroots.join(places, "place").select("l", F.lit(0).cast("long").alias("slot"), "path", "subroot", "root")
-    path = settle(_paths(rounds[1:-1], path))
-    key = F.shiftright("slot", LEVELS).alias("key")
+    path = settle(_paths(rounds[1:-1], path, levels))
+    key = F.shiftright("slot", levels).alias("key")
     return (
         rounds[0]
         .groupBy("l", key)
         .cogroup(path.withColumnRenamed("slot", "key").groupBy("l", "key"))
-        .applyInArrow(_proofs(with_proof), RESULT)
+        .applyInArrow(_proofs(with_proof, levels), RESULT)
     )

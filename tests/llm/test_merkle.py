@@ -55,9 +55,9 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def got(df):
+def got(df, **options):
     altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
-    return sorted((tuple(r) for r in M.manifest(df, altered=altered).select(*COLUMNS).collect()), key=repr)
+    return sorted((tuple(r) for r in M.manifest(df, altered=altered, **options).select(*COLUMNS).collect()), key=repr)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 90])
@@ -71,13 +71,12 @@ def test_whole_table(spark, sf_dir):
     assert got(spark.read.parquet(f"{sf_dir}/documents.parquet")) == brute(rows)
 
 
-def test_several_rounds_of_slots_and_sparse_negative_and_repeated_ids(spark, monkeypatch):
-    monkeypatch.setattr(M, "LEVELS", 3)
+def test_several_rounds_of_slots_and_sparse_negative_and_repeated_ids(spark):
     rng = np.random.default_rng(3)
     ids = [*range(-70, 70), *rng.integers(-(1 << 62), 1 << 62, 120).tolist(), *[5] * 9, *[None] * 11, -(1 << 63), (1 << 63) - 1]
     rows = [(d, f"t{i % 17}", ["en", "en", "fr", None][i % 4], "s", i) for i, d in enumerate(ids)]
     rows += [rows[3]] * 6 + [(None, None, None, None, None)] * 5
-    assert got(frame(spark, rows, 7)) == brute(rows)
+    assert got(frame(spark, rows, 7), levels=3) == brute(rows)
 
 
 def test_other_columns_and_an_empty_table(spark):
