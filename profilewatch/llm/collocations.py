@@ -44,6 +44,8 @@ SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: Bits of the table of frequent words; its size in bytes is an eighth of 2**BITS, whatever the input.
 BITS = 26
+#: Edges that go to Spark at once.
+SENT_ROWS = 1 << 16
 #: Parts that each language's ranking is first cut into.
 PARTS = 64
 
@@ -142,8 +144,9 @@ def _fold(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(len(rows), dtype=np.uint64)
     for i in range(rows.shape[1]):
         key = K.mix(key * np.uint64(K.BASE) + rows[:, i] + np.uint64(1))
-    _, where, back = np.unique(key, return_index=True, return_inverse=True)
-    return rows[where], np.bincount(back, weights=n, minlength=len(where)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    at, _ = K.cuts(key[order])
+    return rows[order[at[:-1]]], np.add.reduceat(n[order], at[:-1]) if len(n) else n
 
 
 def _edges(table, longest: int):
@@ -156,15 +159,17 @@ def _edges(table, longest: int):
                 known = (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 joined[:-1] &= known[1:]
                 rows = grams(h[known], joined[known], longest)
-                found.append(_fold(rows, np.ones(len(rows))))
+                found.append(_fold(rows, np.ones(len(rows), np.int64)))
             if not found:
                 continue
             rows, n = _fold(np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]))
-            order = np.argsort(rows[:, 0], kind="stable")
+            del found
+            order = np.lexsort((rows[:, 1], rows[:, 0]))  # like neighbours take less room in the shuffle
             rows, n = rows[order].view(np.int64), n[order]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(rows[:, i]) for i in range(longest)), pa.array(n)], names=[*_columns(longest), "n"]
-            )
+            for lo in range(0, len(n), SENT_ROWS):
+                part = rows[lo : lo + SENT_ROWS]
+                columns = [pa.array(np.ascontiguousarray(part[:, i])) for i in range(longest)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[lo : lo + SENT_ROWS])], names=[*_columns(longest), "n"])
 
     return run
 
