@@ -60,8 +60,6 @@ WHITESPACE = (
 )
 WORD_PATTERN = "[A-Za-z0-9']+"
 
-# Fixed values -- ordered columns of a score row.
-
 #: The wording of failed text checks, as reports and score tables carry it.
 TEXT_REASONS = {
     "too_short": "too short: %d < {limit} chars",
