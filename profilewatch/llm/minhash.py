@@ -38,11 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_hot
-from ..session import settle
 from . import kernels as K
 from .components import smallest_reachable
 from .suffix import PACKED, _dealt, _joined, _rows, _unpack
-from .tables import shuffle_width
+from .tables import Stored, shuffle_width
 
 SHINGLE = 5
 PERCENT = 80
@@ -60,6 +59,8 @@ PARITY_BITS = 1024
 #: members that are still apart are then compared with each other.
 MAX_ROUNDS = 12
 FEW = 20
+#: Nodes from here up stand for rows without an id, by a hash of their text.
+NO_ID_FROM = (1 << 63) - (1 << 60)
 #: Ids that are sent to every task at once, 8 bytes each.
 SENT_IDS = 500_000
 
@@ -100,7 +101,7 @@ def sketch_size(n: np.ndarray | int, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def _common(shingle: int, sample: DataFrame) -> np.ndarray:
+def _common(shingle: int, sample: DataFrame, stored: Stored) -> np.ndarray:
     """Values of many documents of the sample; at most mean set size over ``COMMON_SHARE``."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +120,10 @@ def _common(shingle: int, sample: DataFrame) -> np.ndarray:
                     [pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([hi - lo], pa.int64())], names=["value", "n", "docs"]
                 )
 
-    counted = settle(sample.mapInArrow(values, "value long, n long, docs long").groupBy("value").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    counted = stored.keep(sample.mapInArrow(values, "value long, n long, docs long").groupBy("value").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     docs = counted.agg(F.sum("docs")).first()[0] or 0
     rows = counted.filter((F.col("n") > max(3, docs * COMMON_SHARE)) & F.col("value").isNotNull()).select("value").collect()
+    stored.drop(counted)
     return np.sort(np.array([r["value"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
@@ -382,61 +384,79 @@ def near_duplicates(
     percent: int = PERCENT,
     max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every input row.
+    """``doc_id, n_shingles, component_id, kept, row_key`` of every input row.
 
     Words are maximal runs without ASCII white space, A-Z in lower case. A text of fewer
     words than a shingle is one shingle of all of them. A null, empty or blank text has an
     empty set, is linked with nothing and stays. Documents are linked at ``percent``
     per cent similarity; ``component_id`` is the smallest id reachable over links. Rows that
     share an id are one node: they have a component together, and each gets its row. A
-    null id is a node of its own, larger than any other, and comes back null (as does
-    the component if it holds no other id). An empty table gives an empty result.
+    row without an id is a node of its own, larger than any id (rows without one and with the same
+    text are one, ids must be below ``NO_ID_FROM``); its id comes back null, as does the component if
+    no row in it has an id. ``row_key`` is a 64-bit hash of id and text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
     ranges, groups = max(8, width // 2), max(8, 2 * width)
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(int(K.NO_ID))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    keyed = docs.select(*_node(F.col(id_col), F.col(text_col)))
     total = keyed.count()
     draw = F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / 1_000_003
     sample = keyed.filter(draw < min(1.0, COMMON_SAMPLE / max(1, total))).select("text")
-    common = spark.sparkContext.broadcast(_common(shingle, sample))
+    stored = Stored(spark, "near-duplicates")
+    common = spark.sparkContext.broadcast(_common(shingle, sample, stored))
 
     entries = keyed.mapInArrow(_scatter(shingle, common, ranges, groups), PACKED)
     replies = entries.groupBy("kind", "part").applyInArrow(_classes(groups), PACKED)
     replies = replies.select("kind", F.col("part").alias("g"), "body").groupBy("g")
     dealt = keyed.withColumn("g", F.pmod("key", F.lit(groups)).cast("int")).groupBy("g")
-    kept = settle(dealt.cogroup(replies).applyInArrow(_retain(shingle, percent, common, ranges), RETAINED))
+    kept = stored.keep(dealt.cogroup(replies).applyInArrow(_retain(shingle, percent, common, ranges), RETAINED))
 
     copies = kept.filter("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
     sets = kept.filter("kept IS NOT NULL").select("doc_id", "n", "members", "parity")
     posting = kept.filter("kept IS NOT NULL").select("doc_id", "n", F.explode("kept").alias("value"))
-    lists = _distinct_lists(posting)
-    links = settle(copies.unionByName(_all_links(lists, sets, percent, max_rounds)))
-    found = smallest_reachable(links)
-    joined = join_hot(kept.select("doc_id", "n"), found.withColumnRenamed("id", "doc_id"), ["doc_id"], "left")
+    lists = _distinct_lists(posting, stored)
+    links = stored.keep(copies.unionByName(_all_links(lists, sets, percent, max_rounds, stored)))
+    stored.drop(lists)
+    found = smallest_reachable(links, stored)
+    joined = join_hot(kept.select("key", "doc_id", "n"), found.withColumnRenamed("id", "doc_id"), ["doc_id"], "left")
     component = F.coalesce("component", "doc_id")
     return joined.select(
-        F.nullif("doc_id", F.lit(int(K.NO_ID))).alias("doc_id"),
+        _id_of(F.col("doc_id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
-        F.nullif(component, F.lit(int(K.NO_ID))).alias("component_id"),
+        _id_of(component).alias("component_id"),
         (component == F.col("doc_id")).alias("kept"),
+        F.col("key").alias("row_key"),
     )
 
 
-def _distinct_lists(posting: DataFrame) -> DataFrame:
+def _node(doc_id: Column, text: Column) -> list[Column]:
+    """Key, node and text of a row."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    alone = F.lit(NO_ID_FROM) + F.xxhash64(text).bitwiseAND(F.lit((1 << 60) - 1))
+    node = F.coalesce(doc_id.cast("long"), alone)
+    return [F.xxhash64(node, text).alias("key"), node.alias("doc_id"), text.alias("text")]
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The ``row_key`` of a row of the input."""
+    return _node(doc_id, text)[0]
+
+
+def _id_of(node: Column) -> Column:
+    return F.when(node < NO_ID_FROM, node)
+
+
+def _distinct_lists(posting: DataFrame, stored: Stored) -> DataFrame:
     """``value, doc_id, n`` of the lists of two members or more; of lists with the same members, one."""
     mark = F.xxhash64("doc_id")
     by_value = posting.groupBy("value").agg(
         F.count("*").alias("many"), F.min("doc_id").alias("low"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s")
     )
     one = by_value.filter("many > 1").groupBy("many", "low", "x", "s").agg(F.min("value").alias("value"))
-    return settle(join_hot(posting, one.select("value"), ["value"]))
+    return stored.keep(join_hot(posting, one.select("value"), ["value"]))
 
 
-def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int) -> DataFrame:
+def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int, stored: Stored) -> DataFrame:
     """Links that connect all similar members of every list."""
     members = lists.withColumn("component", F.col("doc_id"))
     found = None
@@ -448,12 +468,17 @@ def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int)
         ).filter("low != high").select("value", "p.*")
         stars = join_hot(members, pivots, ["value"]).filter("component != pivot_component").filter(_fits(percent))
         pairs = stars.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-        pairs = settle(_candidates(settle(pairs), sets, percent))
-        links = settle(_verified(pairs, sets, percent))
+        named = stored.keep(pairs)
+        pairs = stored.keep(_candidates(named, sets, percent))
+        links = stored.keep(_verified(pairs, sets, percent))
         found = links if found is None else found.unionByName(links)
-        components = settle(smallest_reachable(found))
-        members = join_hot(lists, components.withColumnRenamed("id", "doc_id"), ["doc_id"], "left")
-        members = settle(_apart(members.withColumn("component", F.coalesce("component", "doc_id"))))
+        inner = Stored(lists.sparkSession, "components")
+        components = stored.keep(smallest_reachable(found, inner))
+        inner.clear()
+        # a list that lies in one component stays so: only what was apart is looked at again
+        before, members = members, join_hot(members.drop("component"), components.withColumnRenamed("id", "doc_id"), ["doc_id"], "left")
+        members = stored.keep(_apart(members.withColumn("component", F.coalesce("component", "doc_id"))))
+        stored.drop(named, pairs, components, before)
         if members.isEmpty():
             return found
         if turn > 0 and links.limit(FEW + 1).count() <= FEW:
@@ -470,7 +495,7 @@ def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int)
              _near(percent, "n", "pivot_n", "parity", "pivot_parity")]
     rest = left.join(near, [*same, *open_])
     pairs = rest.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    return found.unionByName(settle(_verified(settle(pairs), sets, percent)))
+    return found.unionByName(stored.keep(_verified(stored.keep(pairs), sets, percent)))
 
 
 def _apart(members: DataFrame) -> DataFrame:

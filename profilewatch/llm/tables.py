@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
+from ..session import configure, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,3 +16,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions the cluster is set to; buckets follow it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+class Stored:
+    """Intermediate tables in the shared folder: compressed columns, read by name, dropped when done with.
+
+    A lost executor costs reading a table again. What is not dropped stays until the folder is cleared.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, scratch_path(spark, f"{name}-{uuid.uuid4().hex}"), {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Remove tables; no result may read them any more. Frames that were not kept here are passed over."""
+        for table in tables:
+            path, _ = self.paths.get(id(table), (None, None))
+            if path is not None:
+                self.paths[id(table)] = (None, table)
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def clear(self) -> None:
+        """Drop all tables kept here."""
+        self.drop(*[table for _, table in self.paths.values()])

@@ -86,7 +86,7 @@ def test_odd_inputs(spark):
     df = spark.createDataFrame(
         [(5, None), (6, ""), (7, "a"), (3, "A"), (None, "a"), (8, " \n"), (9, "q r s"), (9, "t u v")], "doc_id long, text string"
     ).withColumns({"key": F.lit(1), "n": F.lit(2), "value": F.lit(3), "component": F.lit(4)})
-    got = sorted((tuple(r) for r in minhash.near_duplicates(df, shingle=2).collect()), key=repr)
+    got = tuples(minhash.near_duplicates(df, shingle=2), *COLUMNS)
     assert got == sorted(
         [(5, 0, 5, True), (6, 0, 6, True), (7, 1, 3, False), (3, 1, 3, True), (None, 1, 3, False), (8, 0, 8, True), (9, 2, 9, True), (9, 2, 9, True)],
         key=repr,
@@ -94,6 +94,20 @@ def test_odd_inputs(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_rows_without_an_id_are_nodes_of_their_own(spark):
+    """A near copy without an id joins its original, unlike rows without one stay apart."""
+    base = [f"w{i}" for i in range(60)]
+    near, other = [*base[:30], "x", *base[31:]], [f"v{i}" for i in range(60)]
+    docs = [(5, base), (None, near), (None, other), (None, [*other[:30], "x", *other[31:]]), (None, ["p", "q", "r"]), (None, other)]
+    rows = [(d, " ".join(t), i) for i, (d, t) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, i int")
+    found = minhash.near_duplicates(df, shingle=2)
+    keyed = df.select("i", minhash.row_key(df["doc_id"], df["text"]).alias("row_key"))
+    got = {r["i"]: (r["doc_id"], r["component_id"], r["kept"]) for r in keyed.join(found, "row_key").collect()}
+    assert got[0] == (5, 5, True) and got[1] == (None, 5, False) and got[4] == (None, None, True)
+    assert got[2] == got[5] and got[2][:2] == got[3][:2] == (None, None) and {got[2][2], got[3][2]} == {True, False}
+
+
 def test_components_of_a_path_a_star_and_a_loop(spark):
     links = [(i, i + 1) for i in range(10, 30)] + [(100, k) for k in range(101, 120)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
