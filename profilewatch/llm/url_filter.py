@@ -2,8 +2,8 @@
 
 Everything is columns and MLlib: parsing, features, the suffix statistics, training and
 prediction stay in the JVM. The trees learn from URLs with a known verdict. Fitting
-reads a bounded sample of them (``max_train``, drawn by a hash of the id);
-the suffix statistics count all of them, and every URL is judged.
+reads a bounded sample of them (``max_train``, drawn by a hash of the URL, half for each kind);
+the suffix statistics count all of them, out of fold, and every URL is judged.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 MAX_TRAIN = 20_000
+#: Parts of the labelled URLs; a URL's suffix statistics come from the other parts.
+FOLDS = 5
 TREES = 10
 DEPTH = 4
 #: Verdict where no labelled URL exists to learn from.
@@ -123,19 +125,41 @@ def lexical(parts: DataFrame) -> DataFrame:
     )
 
 
+def _fold() -> Column:
+    """Fold of a labelled URL, by its host, so that copies of a URL share one."""
+    return F.pmod(F.xxhash64("host", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Block rate of every host suffix among all labelled URLs, drawn towards one half."""
-    return labelled.groupBy("suffix").agg(
-        ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate"),
-        F.log1p(F.count("*").cast("double")).alias("suffix_weight"),
+    """``suffix, fold, n, blocks``: labels of every host suffix by fold; with a null fold, of all of them."""
+    by_fold = labelled.groupBy("suffix", _fold().alias("fold")).agg(
+        F.count("*").alias("n"), F.sum("label").alias("blocks")
     )
+    total = by_fold.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"))
+    return by_fold.unionByName(total.withColumn("fold", F.lit(None).cast("int")))
+
 
+def _with_suffix(rows: DataFrame, stats: DataFrame, labelled: bool, seen_at_most: int = 10_000) -> DataFrame:
+    """Rows with their suffix's block rate, drawn towards one half.
 
-def _with_suffix(rows: DataFrame, stats: DataFrame, seen_at_most: int = 10_000) -> DataFrame:
-    """Rows with their suffix's statistics; a suffix that was never labelled is at one half."""
-    if stats.limit(seen_at_most + 1).count() <= seen_at_most:
-        stats = F.broadcast(stats)
-    return rows.join(stats, "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_weight": 0.0})
+    A labelled row sees the labels of the other folds only, never its own. A suffix that has no label there,
+    or labels of one kind, is at one half: it would be the label under another name.
+    """
+    total = stats.filter("fold IS NULL").select("suffix", F.col("n").alias("n_all"), F.col("blocks").alias("blocks_all"))
+    small = stats.limit(FOLDS * seen_at_most + 1).count() <= FOLDS * seen_at_most
+    out = rows.join(F.broadcast(total) if small else total, "suffix", "left")
+    n, blocks = F.coalesce("n_all", F.lit(0)), F.coalesce("blocks_all", F.lit(0.0))
+    if labelled:
+        own = stats.filter("fold IS NOT NULL").withColumnRenamed("fold", "own_fold")
+        out = out.withColumn("own_fold", _fold()).join(F.broadcast(own) if small else own, ["suffix", "own_fold"], "left")
+        n, blocks = n - F.coalesce("n", F.lit(0)), blocks - F.coalesce("blocks", F.lit(0.0))
+    mixed = (blocks > 0) & (blocks < n)
+    return out.withColumns(
+        {
+            "suffix_rate": F.when(mixed, (blocks + 1) / (n + 2)).otherwise(F.lit(0.5)),
+            "suffix_weight": F.when(mixed, F.log1p(n.cast("double"))).otherwise(F.lit(0.0)),
+        }
+    )
 
 
 def judge(
@@ -173,22 +197,19 @@ def judge(
     features = lexical(parts)
     columns = ["page_id", "host", "path", "rule"]
     if n == 0 or blocks in (0, n):
-        rest = DEFAULT if n == 0 or blocks == 0 else "block"
-        return parts.select(
-            *columns,
-            F.coalesce("by_rule", F.lit(rest)).alias("verdict"),
-            F.when(F.col("by_rule").isNull(), F.lit(float(rest == "block"))).alias("score"),
-        )
+        return _one_kind(parts, columns, DEFAULT if n == 0 or blocks == 0 else "block")
     stats = settle(suffix_statistics(known))
     draw = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    sample = known.filter(draw < min(1.0, max_train / n))
+    # the rarer label is drawn by a rate of its own, so a large table gives both kinds within the bound
+    rate = F.when(F.col("label") == 1.0, F.lit(min(1.0, max_train / 2 / blocks))).otherwise(F.lit(min(1.0, max_train / 2 / (n - blocks))))
+    sample = known.filter(draw < rate)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = settle(assembler.transform(_with_suffix(sample, stats)).select("label", "features"))
-    kinds = train.select("label").distinct().count()
-    if kinds < 2:  # a tiny draw of one kind: take all labelled rows
-        train = settle(assembler.transform(_with_suffix(known, stats)).select("label", "features"))
+    train = settle(assembler.transform(_with_suffix(sample, stats, labelled=True)).select("label", "features"))
+    kinds = [r["label"] for r in train.select("label").distinct().collect()]
+    if len(kinds) < 2:  # every copy of one kind was passed over
+        return _one_kind(parts, columns, "block" if kinds == [1.0] else DEFAULT)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3).fit(train)
-    open_urls = assembler.transform(_with_suffix(features, stats))
+    open_urls = assembler.transform(_with_suffix(features, stats, labelled=False))
     scored = model.transform(open_urls)
     block = F.element_at(vector_to_array("probability"), 2)
     return scored.select(
@@ -196,3 +217,12 @@ def judge(
         F.coalesce("by_rule", F.when(F.col("prediction") == 1.0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.when(F.col("by_rule").isNull(), block).alias("score"),
     )
+
+
+def _one_kind(parts: DataFrame, columns: list[str], rest: str) -> DataFrame:
+    """The rules' verdicts, and one verdict for all other URLs."""
+    return parts.select(
+        *columns,
+        F.coalesce("by_rule", F.lit(rest)).alias("verdict"),
+        F.when(F.col("by_rule").isNull(), F.lit(float(rest == "block"))).alias("score"),
+    )

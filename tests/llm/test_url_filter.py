@@ -1,5 +1,8 @@
+import math
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from profilewatch.llm import url_filter
@@ -52,6 +55,38 @@ def test_whole_table_without_python(spark, sf_dir):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (verdict is None or r["verdict"] == verdict)
 
 
+def test_suffix_rates_come_from_other_folds_and_from_suffixes_of_both_kinds(spark):
+    rows = [(f"http://h{i}.{s}/p", float(k)) for i in range(40) for s, k in (("one", 1), ("two", i % 4 == 0), ("none", 0))]
+    known = url_filter.lexical(url_filter.url_parts(spark.createDataFrame(rows, "url string, label double")))
+    stats = url_filter.suffix_statistics(known)
+    own = known.withColumn("fold", url_filter._fold()).select("url", "suffix", "label", "fold").collect()
+    rates = {r["url"]: r["suffix_rate"] for r in url_filter._with_suffix(known, stats, labelled=True).collect()}
+    for r in own:
+        others = [x["label"] for x in own if x["suffix"] == r["suffix"] and x["fold"] != r["fold"]]
+        want = (sum(others) + 1) / (len(others) + 2) if 0 < sum(others) < len(others) else 0.5
+        assert rates[r["url"]] == pytest.approx(want)
+        assert r["suffix"] == "two" or want == 0.5
+    seen = url_filter._with_suffix(known.drop("label"), stats, labelled=False).filter("suffix = 'two'").first()
+    assert seen["suffix_rate"] == pytest.approx(11 / 42)
+
+
+def test_features_against_a_plain_version(spark):
+    rows = [(i, u) for i, u in enumerate(URLS)]
+    got = url_filter.lexical(url_filter.url_parts(spark.createDataFrame(rows, "i int, url string"))).collect()
+    for r in got:
+        url = r["url"] or ""
+        host, path, *_ = brute(r["url"])
+        counts = [url.count(c) / len(url) for c in set(url)]
+        want = {
+            "n_chars": len(url), "host_chars": len(host), "path_chars": len(path),
+            "depth": len([x for x in path.split("/") if x]), "host_labels": len(host.split(".")) if host else 0,
+            "digit_share": sum(c in "0123456789" for c in url) / max(1, len(url)),
+            "dash_share": url.count("-") / max(1, len(url)), "entropy": -sum(p * math.log2(p) for p in counts),
+            "has_fragment": "#" in url, "is_secure": url.startswith("https:"), "suffix": host.split(".")[-1],
+        }
+        assert {k: r[k] if k == "suffix" else pytest.approx(r[k]) for k in want} == want, url
+
+
 def test_trees_learn_from_given_labels(spark):
     def url(i, bad):
         return f"http://h{i % 40}.site/{'9' * 12}/{i}?a=1&b=2&c=3" if bad else f"http://host{i % 40}.site/about"
