@@ -60,15 +60,29 @@ RESULT = "doc_id long, item_id long, n_equal long, n_span long, doc_start long,
 #: What separates words here: all ASCII that is neither letter nor digit.
 _BREAK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
+#: Second bytes of U+0080 to U+00BF that are no part of a word.
+_LATIN_MARK = np.array([0x80 <= c <= 0xBF and not chr(c).isalnum() for c in range(256)])
+
 
 def _characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text with a space on both sides of every character of a script without spaces; its punctuation is space."""
+    """The text with a space on both sides of every character of a script without spaces.
+
+    The punctuation of these scripts is space, and so are quotes, dashes, ellipses and other general
+    punctuation (U+2000 to U+206F), and the no-break space, quotes and marks of Latin 1 that are
+    neither letters nor numbers.
+    """
+    pair = np.flatnonzero(buf[:-1] == 0xC2)
+    pair = pair[_LATIN_MARK[buf[pair + 1]]]
     lead = np.flatnonzero(buf >= 0xE0)
+    if len(pair):
+        buf = buf.copy()
+        buf[pair] = buf[pair + 1] = 0x20
     lead = lead[lead + 2 < len(buf)]
     if not len(lead):
         return buf, offs
     x, y, z = buf[lead], buf[lead + 1], buf[lead + 2]
-    mark = (x == 0xE3) & (y == 0x80) & (z < 0xA0) & ~((z >= 0x85) & (z <= 0x87))
+    mark = (x == 0xE2) & ((y == 0x80) | (y == 0x81) & (z <= 0xAF))
+    mark |= (x == 0xE3) & (y == 0x80) & (z < 0xA0) & ~((z >= 0x85) & (z <= 0x87))
     mark |= (x == 0xEF) & (y == 0xBC) & ((z <= 0x8F) | (z >= 0x9A) & (z <= 0xA0))
     mark |= (x == 0xEF) & ((y == 0xBC) & (z >= 0xBB) | (y == 0xBD) & ((z == 0x80) | (z >= 0x9B) & (z <= 0xA5)))
     if mark.any():
@@ -278,7 +292,15 @@ def overlaps(
     return found
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that overlap with no item, all columns unchanged; rows with a null id stay."""
-    found = overlaps(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__doc"), "left_anti")
+def clean(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The rows whose text overlaps with no item, all columns unchanged.
+
+    Every row is judged by its own text, also rows without an id and rows that share one: they are
+    told apart by a 64-bit hash of id and text.
+    """
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    keyed = docs.select(row.alias("doc_id"), F.col(text_col).alias("text"))
+    found = overlaps(keyed, items, **options).select(F.col("doc_id").alias("__doc")).distinct()
+    return docs.join(found, row == F.col("__doc"), "left_anti")

@@ -60,6 +60,25 @@ def test_clean_keeps_the_rest_unchanged(spark):
     assert {r["doc_id"] for r in kept.collect()} == ({x for x, _ in docs} | {None}) - {x for x, _ in want}
 
 
+def test_every_row_is_judged_by_its_own_text(spark):
+    """A copy without an id goes, a clean row that shares an id with a contaminated one stays."""
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = [(None, f"so {item} it goes"), (None, "nothing of it"), (None, None), (4, item), (4, "clean"), (5, ""), (6, item)]
+    d, i = frames(spark, docs, [(7, item)])
+    kept = decontam.clean(d.withColumnRenamed("text", "body"), i, text_col="body").collect()
+    assert sorted(map(repr, ((r["doc_id"], r["body"]) for r in kept))) == sorted(
+        map(repr, [(None, "nothing of it"), (None, None), (4, "clean"), (5, "")])
+    )
+
+
+def test_quotes_dashes_and_blanks_beyond_ascii_part_words(spark):
+    said = [f"w{i}" for i in range(20)]
+    odd = ["\u201c{}\u201d", "\u00ab{}\u00bb", "{}\u2014", "{}\u2026", "\u00a0{}\u2003", "\u2018{}\u2019", "\u00bf{}"]
+    docs = [(k, " ".join(form.format(w) for w in said)) for k, form in enumerate(odd)] + [(99, " ".join(w + "\u00ba" for w in said))]
+    got = decontam.overlaps(*frames(spark, docs, [(1, " ".join(said))])).collect()
+    assert {(r["doc_id"], r["n_equal"]) for r in got} == {(k, 20) for k in range(len(odd))}     # U+00BA is a letter
+
+
 def test_whole_tables_against_word_windows(spark, sf_dir):
     docs, items = documents(sf_dir), documents(sf_dir, "benchmark")
     grams = {tuple(t[i : i + 10]) for t in (tokens(r["text"]) for r in items) for i in range(len(t) - 9)}
