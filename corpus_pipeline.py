@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every group of near copies."""
     found = minhash.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
-    stay = found.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]), "left_semi")
+    stay = found.filter("kept").select(F.col("row_key").alias("__key")).distinct()
+    return docs.join(stay, minhash.row_key(F.col("doc_id"), F.col("text")) == F.col("__key"), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
