@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure, scratch_path
+from ..session import configure, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,30 +17,22 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 class Stored:
-    """Intermediate tables in the shared folder: compressed columns, read by name, dropped when done with.
+    """Intermediate results kept by checkpoint; dropped, they are cleaned once nothing refers to them.
 
-    A lost executor costs reading a table again. What is not dropped stays until the folder is cleared.
+    A lost executor costs reading a result again.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self.paths = spark, scratch_path(spark, f"{name}-{uuid.uuid4().hex}"), {}
+        self.spark, self.name, self.kept = spark, name, []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
-        df.write.parquet(path)
-        table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(table)] = (path, table)
-        return table
+        self.kept.append(settle(df))
+        return self.kept[-1]
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Remove tables; no result may read them any more. Frames that were not kept here are passed over."""
-        for table in tables:
-            path, _ = self.paths.get(id(table), (None, None))
-            if path is not None:
-                self.paths[id(table)] = (None, table)
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        """Let go of results; those that were not kept here are passed over."""
+        self.kept = [k for k in self.kept if not any(k is t for t in tables)]
 
     def clear(self) -> None:
-        """Drop all tables kept here."""
-        self.drop(*[table for _, table in self.paths.values()])
+        """Let go of all results kept here."""
+        self.kept = []
