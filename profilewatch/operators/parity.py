@@ -186,16 +186,32 @@ def _compared(flagged: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def store_capture(rows: DataFrame, table: str, capture: str, path: str, buckets: int = 64) -> None:
+#: Rows of a capture in one bucket: a task holds the bucket's rows of both captures.
+BUCKET_ROWS = 200_000
+LEAST_BUCKETS = 8
+
+
+def _buckets_of(table: str, rows: DataFrame) -> int:
+    """The buckets of a stored table, or as many as a first capture of this size asks for."""
+    spark = rows.sparkSession
+    if not spark.catalog.tableExists(table):
+        return max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    about = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter(F.col("col_name") == "Num Buckets")
+    return int(about.first()["data_type"])
+
+
+def store_capture(rows: DataFrame, table: str, capture: str, path: str, buckets: int | None = None) -> None:
     """Add a capture to a table of captures: a partition of its own, bucketed by request.
 
     Stored is one row per key, the first copy. ``path`` is the table's folder, shared by all
-    executors; ``buckets`` is fixed by the first capture, some hundred MB each at full size.
+    executors. The first capture fixes the buckets: by default one for every ``BUCKET_ROWS`` of
+    its rows, so that larger captures get more of them; later ones take what the table has.
     A name that is in the table is refused, because appending would double its rows.
     """
     spark = rows.sparkSession
     if spark.catalog.tableExists(table) and not spark.table(table).filter(F.col("capture") == capture).isEmpty():
         raise ValueError(f"{table} already holds a capture {capture!r}")
+    buckets = buckets or _buckets_of(table, rows)
     (
         normalised(rows)
         .withColumn("capture", F.lit(capture))

@@ -631,7 +631,7 @@ def _stored_diff(spark, sf_dir):
         path = f"{folder}/{side}.{'csv' if side == 'mine' else 'parquet'}"
         ordered = rows.orderBy(*CELL_KEYS, F.desc("id")).drop("id")
         readers.write_csv(ordered, path) if side == "mine" else ordered.write.parquet(path)
-        parity.store_capture(readers.read_capture(spark, path), name, side, f"{folder}/table", buckets=8)
+        parity.store_capture(readers.read_capture(spark, path), name, side, f"{folder}/table")
     return parity.diff_stored(spark, name, "mine", "theirs")
 
 
