@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilewatch.llm import suffix
+from profilewatch.llm import bwt, suffix
 from profilewatch.llm.bwt import repeated_starts
 from tests.llm.corpus import documents, frame, planted, tuples
 
@@ -64,3 +64,23 @@ def test_transform_against_counting():
         want = [len(t) - i >= length and count[t[i : i + length]] > 1 for t in texts for i in range(len(t))]
         got = repeated_starts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), length)
         assert got.tolist() == want
+
+
+@pytest.mark.parametrize("n", [1, 40, (1 << 21) - 1, 1 << 21, 1 << 30])
+def test_tied_suffixes_by_both_ranks(n):
+    rng = np.random.default_rng(n)
+    # as the doubling hands them over: by the first rank, ties by position
+    at = np.unique(rng.integers(0, n, 500))
+    own = np.sort(rng.integers(0, n + 1, len(at)) // 3 * 3)
+    at = np.concatenate([np.sort(g) for g in np.split(rng.permutation(at), np.flatnonzero(np.diff(own)) + 1)])
+    second = rng.choice([0, n // 2, n], len(at))
+    by = np.lexsort((at, second, own))
+    got = bwt._by_ranks(own, second, at, n)
+    assert [c.tolist() for c in got] == [own[by].tolist(), second[by].tolist(), at[by].tolist()]
+
+
+def test_a_transform_sorts_no_three_arrays(monkeypatch):
+    text = np.frombuffer(random.Random(5).randbytes(300) * 20, np.uint8)
+    monkeypatch.setattr(np, "lexsort", None)
+    ends = np.arange(300, len(text) + 1, 300)
+    assert repeated_starts(text, ends, 200).reshape(-1, 300)[:, :101].all()
