@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
+#: The same where a step holds many arrays of some times its bytes, and nothing is folded or judged by step.
+SMALL_STEP = 500_000
 #: Bytes of text whose entries are sorted into buckets together.
 BLOCK_BYTES = 12_000_000
 #: A missing doc_id orders after every other one.

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 
@@ -81,7 +82,7 @@ def _grams(chars: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 def _steps(column: pa.Array):
     _, offs = K.text_bytes(column)
-    for lo, hi in K.steps(offs):
+    for lo, hi in K.steps(offs, K.SMALL_STEP):
         chars, row, has = _characters(*K.text_bytes(column.slice(lo, hi - lo)))
         yield lo, hi, list(_grams(chars, row)), has
 
@@ -215,13 +216,14 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, seed: int = 11) -> Model:
     return Model(languages, (w[:SLOTS] * idf[:, None] * SCALE).astype(np.float32), w[SLOTS], temperature)
 
 
-def _predict(sent):
+def _predict(sent, text: int, kept: int):
+    """The first ``kept`` columns with language and score of the column ``text``, a batch for every step."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            best, sure = [], []
-            for lo, hi, grams, has in _steps(batch.column(1)):
+            for lo, hi, grams, has in _steps(batch.column(text)):
                 z = np.zeros((hi - lo, len(model.languages)))
                 n = np.zeros(hi - lo)
                 for slot, row in grams:
@@ -229,19 +231,14 @@ def _predict(sent):
                     if len(slot):
                         z[rows] += np.add.reduceat(model.table[slot], at[:-1], axis=0)
                         n[rows] += np.diff(at)
-                if not model.languages:
-                    best.append(np.full(hi - lo, 0))
-                    sure.append(np.zeros(hi - lo))
-                    continue
-                p = softmax((z / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
-                best.append(np.where(has, p.argmax(axis=1), len(model.languages)))
-                sure.append(np.where(has, p.max(axis=1), 0.0))
-            found = names[np.concatenate(best)] if best else np.zeros(0, object)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0))]
-                + [batch.column(i) for i in range(2, batch.num_columns)],
-                names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]],
-            )
+                best, sure = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
+                if model.languages:
+                    p = softmax((z / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
+                    best, sure = np.where(has, p.argmax(axis=1), len(model.languages)), np.where(has, p.max(axis=1), 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).slice(lo, hi - lo) for i in range(kept)] + [pa.array(names[best], pa.string()), pa.array(sure)],
+                    names=[*batch.schema.names[:kept], "lang_pred", "score"],
+                )
 
     return run
 
@@ -264,18 +261,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _predict(sent), "doc_id long, lang_pred string, score double"
+        _predict(sent, 1, 1), "doc_id long, lang_pred string, score double"
     )
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of the documents with ``__lang_pred, __score`` beside them."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    held = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
-    schema = f"doc_id long, lang_pred string, score double, row {held.schema['row'].dataType.simpleString()}"
-    scored = held.mapInArrow(_predict(sent), schema)
-    return scored.select("row.*", F.col("lang_pred").alias("__lang_pred"), F.col("score").alias("__score"))
+    held, kept = docs, len(docs.columns)
+    if text_col in docs.columns and docs.schema[text_col].dataType == T.StringType():
+        text = docs.columns.index(text_col)  # a text goes to Python and back once
+    else:
+        held, text = docs.select("*", F.col(text_col).cast("string").alias("__text")), kept
+    found = [T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())]
+    held = held.toDF(*[f"c{i}" for i in range(len(held.columns))])  # names with dots don't pass
+    return held.mapInArrow(_predict(sent, text, kept), T.StructType([*docs.schema.fields, *found]))
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

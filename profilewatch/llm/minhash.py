@@ -143,7 +143,7 @@ def _scatter(shingle: int, common, ranges: int, groups: int):
             fresh = np.zeros(len(keys), dtype=bool)
             fresh[np.unique(keys, return_index=True)[1]] = True
             parts, low, owner, prints = [], [], [], []
-            for lo, hi in K.steps(offs):
+            for lo, hi in K.steps(offs, K.SMALL_STEP):
                 h, edge = shingle_sets(text, lo, hi, shingle)
                 body = h.tobytes()
                 for i in range(hi - lo):
@@ -290,7 +290,7 @@ def _retain(shingle: int, percent: int, common, ranges: int):
         edge_of = np.searchsorted(owner, np.arange(n_docs + 1))
         out: list[list] = [[] for _ in range(7)]
         _, offs = K.text_bytes(text)
-        for lo, hi in K.steps(offs):
+        for lo, hi in K.steps(offs, K.SMALL_STEP):
             h, edge = shingle_sets(text, lo, hi, shingle)
             usual = _is_common(h, common.value)
             for i in range(lo, hi):

@@ -159,7 +159,7 @@ def _anchor(length: int, gram: int, ranges: int, groups: int):
             keys, text = K.id_values(block.column(0)), block.column(1)
             _, offs = K.text_bytes(text)
             found = []
-            for lo, hi in K.steps(offs):
+            for lo, hi in K.steps(offs, K.SMALL_STEP):
                 row, start, size, anchor, mark, again = pieces(*K.text_bytes(text.slice(lo, hi - lo)), length, gram)
                 found.append((keys[lo:hi][row], start, size, anchor, mark, again))
             if not found:

@@ -184,7 +184,7 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             _, offs = K.text_bytes(text)
-            for lo, hi in K.steps(offs):
+            for lo, hi in K.steps(offs, K.SMALL_STEP):
                 buf, starts, ends, first, hashes = encoder.pieces(text, lo, hi)
                 flat, sizes = encoder.encode(buf, starts, ends, hashes)
                 at = np.concatenate(([0], np.cumsum(sizes)))[first]

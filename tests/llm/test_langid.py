@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,29 @@ def test_no_letter_no_text_and_columns_in_the_way(spark):
     assert langid.with_language(df, model).columns == [*df.columns, "__lang_pred", "__score"]
 
 
+def test_whole_rows_pass_in_small_batches_with_one_text():
+    class Sent:
+        value = langid.Model(["aa", "bb"], np.zeros((langid.SLOTS, 2), np.float32), np.array([0.0, 1.0]), 1.0)
+
+    text = pa.array(["abcde rst " * 100] * 5_000 + ["12", None])
+    batch = pa.record_batch([pa.array(range(len(text))), text, pa.array(["x"] * len(text))], names=["id", "text", "source"])
+    got = list(langid._predict(Sent, 1, 3)(iter([batch])))
+    assert max(b.num_rows for b in got) <= 1_000  # 1,000 bytes a row
+    whole = pa.Table.from_batches(got)
+    assert whole.select(["id", "text", "source"]).equals(pa.Table.from_batches([batch]))
+    assert whole.column("lang_pred").to_pylist() == ["bb"] * 5_000 + ["und"] * 2
+
+
+def test_whole_rows_keep_columns_of_any_name_and_type(spark):
+    rows = [(d, t, lang, 7, [1, 2], None) for d, t, lang in texts(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, `a.b` array<int>, lang_pred string")
+    model = langid.fit(langid.training_rows(df))
+    got = langid.with_language(df, model)
+    assert got.schema.fields[:6] == df.schema.fields and sorted(tuple(r)[:6] for r in got.collect()) == rows
+    want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()}
+    assert {r["doc_id"]: (r["__lang_pred"], r["__score"]) for r in got.collect()} == want
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "aa")], "doc_id long, text string, lang string")
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(df).collect()} == {("und", 0.0)}
