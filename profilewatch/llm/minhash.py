@@ -335,20 +335,28 @@ def _linked(percent: int) -> Column:
     return F.when(far, F.lit(False)).otherwise(100 * inter >= percent * (n_left + n_right - inter))
 
 
-def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sets of the documents that pairs name; only these move. The names are sent to the scan while they are few."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _of_ids(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of some documents; only these move. The ids are sent to the scan while they are few."""
     if ids.limit(SENT_IDS + 1).count() <= SENT_IDS:
         return sets.join(F.broadcast(ids), "doc_id", "left_semi")
     return join_hot(sets, ids, ["doc_id"], "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    sets = _of_pairs(pairs, sets)
-    left = join_hot(pairs, sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), ["a"])
-    both = join_hot(left, sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right")), ["b"])
-    return both.filter(_linked(percent)).select("a", "b")
+    """The pairs whose full sets are similar enough.
+
+    The set of ``b`` goes to ``a`` once for each pair and the set of ``a`` once for all its pairs, so of a
+    star the pivot should be ``a``. While the pairs are few they are sent to the scan.
+    """
+    named = pairs.select(F.col("b").alias("doc_id"), "a")
+    if named.limit(SENT_IDS // 2 + 1).count() <= SENT_IDS // 2:
+        ends = sets.select("doc_id", "members").join(F.broadcast(named), "doc_id")
+    else:
+        ends = join_hot(named, sets.select("doc_id", "members"), ["doc_id"])
+    ends = ends.select("a", F.col("doc_id").alias("b"), F.col("members").alias("right"))
+    hubs = _of_ids(pairs.select(F.col("a").alias("doc_id")).distinct(), sets.select("doc_id", "members"))
+    both = join_hot(ends, hubs.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), ["a"])
+    return both.filter(_linked(percent)).select("a", "b").distinct()
 
 
 def _differ(one: str, other: str) -> Column:
@@ -367,7 +375,8 @@ def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def side(c: str):
         return sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
 
-    sets = _of_pairs(pairs, sets.select("doc_id", "n", "parity"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _of_ids(ids, sets.select("doc_id", "n", "parity"))
     both = join_hot(join_hot(pairs, side("a"), ["a"]), side("b"), ["b"])
     return both.filter(_near(percent, "n_a", "n_b", "p_a", "p_b")).select("a", "b")
 
@@ -467,7 +476,8 @@ def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int,
             F.min_by(pivot, first).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")
         ).filter("low != high").select("value", "p.*")
         stars = join_hot(members, pivots, ["value"]).filter("component != pivot_component").filter(_fits(percent))
-        pairs = stars.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+        ends = [F.least("pivot", "doc_id").alias("low"), F.greatest("pivot", "doc_id").alias("high")]
+        pairs = stars.groupBy(*ends).agg(F.min("pivot").alias("a")).select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
         named = stored.keep(pairs)
         pairs = stored.keep(_candidates(named, sets, percent))
         links = stored.keep(_verified(pairs, sets, percent))
@@ -487,14 +497,14 @@ def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int,
     level = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
     left = join_hot(members, sets.select("doc_id", "parity"), ["doc_id"]).withColumn("level", level)
     near = left.select(
-        F.col("value"), F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"), F.col("doc_id").alias("pivot"),
+        F.col("value"), F.explode(F.array("level", F.col("level") + 1)).alias("level"), F.col("level").alias("pivot_level"), F.col("doc_id").alias("pivot"),
         F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), F.col("parity").alias("pivot_parity"),
     )
     same = [left["value"] == near["value"], left["level"] == near["level"]]
-    open_ = [F.col("doc_id") > F.col("pivot"), F.col("component") != F.col("pivot_component"), _fits(percent),
-             _near(percent, "n", "pivot_n", "parity", "pivot_parity")]
+    once = (F.col("pivot_level") < left["level"]) | (F.col("doc_id") > F.col("pivot"))
+    open_ = [once, F.col("component") != F.col("pivot_component"), _fits(percent), _near(percent, "n", "pivot_n", "parity", "pivot_parity")]
     rest = left.join(near, [*same, *open_])
-    pairs = rest.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = rest.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
     return found.unionByName(stored.keep(_verified(stored.keep(pairs), sets, percent)))
 
 

@@ -112,3 +112,22 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     links = [(i, i + 1) for i in range(10, 30)] + [(100, k) for k in range(101, 120)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {7: 7} | {i: 10 for i in range(10, 31)} | {i: 100 for i in range(100, 120)}
+
+
+def test_pairs_too_many_to_send_find_the_same_links(spark, monkeypatch):
+    """After one round of pivots members of about one size are compared, those of neighbouring sizes too."""
+    monkeypatch.setattr(minhash, "SENT_IDS", 2)
+    base = [f"w{i}" for i in range(50)]
+    docs = [(i, " ".join([*base[: 50 - i % 9], *(f"x{i}y{j}" for j in range(i % 4))])) for i in range(30)]
+    docs += [(40 + i, " ".join(f"v{j}" for j in range(i, 30 + i))) for i in range(0, 12, 4)]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, max_rounds=1)
+    assert tuples(got, *COLUMNS) == brute(docs, 2)
+
+
+@pytest.mark.parametrize("sent", [500_000, 2])
+def test_verified_pairs_come_back_whichever_end_is_the_hub(spark, monkeypatch, sent):
+    monkeypatch.setattr(minhash, "SENT_IDS", sent)
+    sets = spark.range(20).select(F.col("id").alias("doc_id"), F.sequence(F.lit(0), F.when(F.col("id") % 5 == 0, 9).otherwise(3)).cast("array<long>").alias("members"))
+    pairs = spark.range(20).filter("id != 9").select(F.lit(9).cast("long").alias("a"), F.col("id").alias("b"))
+    found = minhash._verified(pairs.unionByName(pairs.filter("b < 3").select(F.col("b").alias("a"), F.col("a").alias("b"))), sets, 80)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(9, i) for i in range(20) if i % 5 and i != 9] + [(1, 9), (2, 9)])

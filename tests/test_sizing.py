@@ -1,5 +1,7 @@
 """Larger inputs get more tasks and buckets, not larger ones."""
 
+import glob
+import time
 import uuid
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from profilewatch.constants import EMBED_SIGNAL
 from profilewatch.operators import parity
-from profilewatch.session import TASK_BYTES, configure
+from profilewatch.session import DROP_SHUFFLES, TASK_BYTES, configure, settle
 
 
 @pytest.mark.parametrize("key", sorted(TASK_BYTES))
@@ -48,3 +50,15 @@ def test_a_small_or_empty_capture_has_the_least_buckets(spark, tmp_path):
         assert parity.diff_stored(spark, name, "ours", "theirs").collect() == []
     finally:
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_settled_results_leave_no_shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    before = set(glob.glob(f"{folder}/**/shuffle_*", recursive=True))
+    kept = settle(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+    for _ in range(50):
+        left = set(glob.glob(f"{folder}/**/shuffle_*", recursive=True)) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 100 and spark.conf.get(DROP_SHUFFLES, None) is None
