@@ -13,7 +13,8 @@ have a Jaccard similarity of ``percent`` or more. Links are exact; components fo
 * Candidates are thinned out before any set moves: each set has a parity sketch, its values
   folded to ``PARITY_BITS`` bits by exclusive or. Two of these differ in at most as many bits as the
   sets differ in values, so a pair that differs in more than similar sets may is dismissed
-  for certain.
+  for certain. Sets of more values have a second one with a bit for each value or more, as similar
+  large sets may differ in more values than ``PARITY_BITS`` bits can show.
 * For what is left the sketch of the union (the smallest hashes of both sets) estimates
   the similarity; pairs far below the threshold are dismissed, the others are
   verified on the full sets.
@@ -55,17 +56,18 @@ UNION_K = 256
 UNION_LEAST = 0.55
 #: Bits of the parity sketch.
 PARITY_BITS = 1024
-#: Rounds of pivots at most, and new links of a round from which on no other follows: the
-#: members that are still apart are then compared with each other.
+#: Rounds of pivots at most, and new links of a round from which on no other follows, or one for so many
+#: members that are still apart: these are then compared with each other.
 MAX_ROUNDS = 12
 FEW = 20
+FEW_PER = 2_000
 #: Nodes from here up stand for rows without an id, by a hash of their text.
 NO_ID_FROM = (1 << 63) - (1 << 60)
 #: Ids that are sent to every task at once, 8 bytes each.
 SENT_IDS = 500_000
 
 VALUES, SETS, CLASSES, COPIES = 0, 1, 2, 3
-RETAINED = "key long, doc_id long, n long, copy_of long, kept array<long>, members array<long>, parity array<long>"
+RETAINED = "key long, doc_id long, n long, copy_of long, kept array<long>, members array<long>, parity array<long>, wide array<long>"
 
 
 def shingle_sets(column: pa.Array, lo: int, hi: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +92,18 @@ def _whole(words: np.ndarray) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little"))
 
 
-def parity_sketch(h: np.ndarray) -> np.ndarray:
-    """The values folded to bits by exclusive or, as 64-bit words."""
-    odd = np.bincount((h >> np.uint64(7)) & np.uint64(PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+def parity_sketch(h: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """The values folded to bits (a power of two) by exclusive or, as 64-bit words."""
+    bits = bits or PARITY_BITS
+    odd = np.bincount((h >> np.uint64(7)) & np.uint64(bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(h: np.ndarray) -> np.ndarray | None:
+    """The parity sketch of a set of more than ``PARITY_BITS`` values, a bit for each value or more."""
+    return parity_sketch(h, 1 << (len(h) - 1).bit_length()) if len(h) > PARITY_BITS else None
+
+
 def sketch_size(n: np.ndarray | int, percent: int):
     """k of a set of n values: one more than may be missing from a linked set."""
     return n - (n * percent + 99) // 100 + 1
@@ -288,7 +296,7 @@ def _retain(shingle: int, percent: int, common, ranges: int):
         take = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
         rank, owner = rank[take] if len(take) else rank[:0].astype(np.uint8), np.repeat(at_row, size)
         edge_of = np.searchsorted(owner, np.arange(n_docs + 1))
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         _, offs = K.text_bytes(text)
         for lo, hi in K.steps(offs, K.SMALL_STEP):
             h, edge = shingle_sets(text, lo, hi, shingle)
@@ -298,7 +306,7 @@ def _retain(shingle: int, percent: int, common, ranges: int):
                 n = len(own)
                 key, rep = int(keys[i]), copy_of.get(int(keys[i]))
                 first = by_key[key]
-                kept, members, parity = None, None, None
+                kept, members, parity, wide = None, None, None, None
                 if n and rep is None and first == i:
                     seen = np.full(n, 255, np.uint8)
                     seen[~usual[edge[i - lo] : edge[i - lo + 1]]] = rank[edge_of[i] : edge_of[i + 1]]
@@ -307,6 +315,7 @@ def _retain(shingle: int, percent: int, common, ranges: int):
                     if alone < k:
                         best = np.lexsort((own, seen))[alone:k]
                         kept, members, parity = own[best].view(np.int64), np.sort(own.view(np.int64)), parity_sketch(own)
+                        wide = wide_sketch(own)
                 elif n and rep is None:
                     rep = int(ids[i])
                 out[0].append(key)
@@ -316,8 +325,9 @@ def _retain(shingle: int, percent: int, common, ranges: int):
                 out[4].append(kept)
                 out[5].append(members)
                 out[6].append(parity)
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
-        names = ["key", "doc_id", "n", "copy_of", "kept", "members", "parity"]
+                out[7].append(wide)
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 4
+        names = ["key", "doc_id", "n", "copy_of", "kept", "members", "parity", "wide"]
         return pa.table([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
     return run
@@ -381,6 +391,30 @@ def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(_near(percent, "n_a", "n_b", "p_a", "p_b")).select("a", "b")
 
 
+def _halved(words: Column) -> Column:
+    """A parity sketch folded to half its bits."""
+    half = (F.size(words) / 2).cast("int")
+    return F.zip_with(F.slice(words, 1, half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _still_near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their wide sketches do not dismiss; a pair with a set that has none stays."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _of_ids(ids, sets.filter("wide IS NOT NULL").select("doc_id", "n", "wide"))
+
+    def side(c: str):
+        return sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"w_{c}"))
+
+    # sets of a candidate pair have about the same size, so one sketch is at most twice as long
+    a, b = F.col("w_a"), F.col("w_b")
+    one = F.when(F.size(a) > F.size(b), _halved(a)).otherwise(a)
+    other = F.when(F.size(b) > F.size(a), _halved(b)).otherwise(b)
+    differ = F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    both = join_hot(join_hot(pairs, side("a"), ["a"], "left"), side("b"), ["b"], "left")
+    return both.filter(a.isNull() | b.isNull() | (F.size(one) != F.size(other)) | near).select("a", "b")
+
+
 def _fits(percent: int):
     return (F.col("n") * 100 >= F.col("pivot_n") * percent) & (F.col("pivot_n") * 100 >= F.col("n") * percent)
 
@@ -421,7 +455,7 @@ def near_duplicates(
     kept = stored.keep(dealt.cogroup(replies).applyInArrow(_retain(shingle, percent, common, ranges), RETAINED))
 
     copies = kept.filter("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
-    sets = kept.filter("kept IS NOT NULL").select("doc_id", "n", "members", "parity")
+    sets = kept.filter("kept IS NOT NULL").select("doc_id", "n", "members", "parity", "wide")
     posting = kept.filter("kept IS NOT NULL").select("doc_id", "n", F.explode("kept").alias("value"))
     lists = _distinct_lists(posting, stored)
     links = stored.keep(copies.unionByName(_all_links(lists, sets, percent, max_rounds, stored)))
@@ -466,7 +500,11 @@ def _distinct_lists(posting: DataFrame, stored: Stored) -> DataFrame:
 
 
 def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int, stored: Stored) -> DataFrame:
-    """Links that connect all similar members of every list."""
+    """Links that connect all similar members of every list.
+
+    A round names its links by the components that it began with, so it works on its own links and not
+    on all before; they connect what the links between the documents do.
+    """
     members = lists.withColumn("component", F.col("doc_id"))
     found = None
     for turn in range(max_rounds):
@@ -477,21 +515,26 @@ def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int,
         ).filter("low != high").select("value", "p.*")
         stars = join_hot(members, pivots, ["value"]).filter("component != pivot_component").filter(_fits(percent))
         ends = [F.least("pivot", "doc_id").alias("low"), F.greatest("pivot", "doc_id").alias("high")]
-        pairs = stars.groupBy(*ends).agg(F.min("pivot").alias("a")).select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+        roots = F.min(F.struct(F.col("pivot").alias("a"), F.col("pivot_component").alias("root_a"), F.col("component").alias("root_b"))).alias("p")
+        pairs = stars.groupBy(*ends).agg(roots).select("p.*", F.when(F.col("p.a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
         named = stored.keep(pairs)
-        pairs = stored.keep(_candidates(named, sets, percent))
-        links = stored.keep(_verified(pairs, sets, percent))
-        found = links if found is None else found.unionByName(links)
+        near = stored.keep(_candidates(named.select("a", "b"), sets, percent))
+        pairs = stored.keep(_still_near(near, sets, percent))
+        links = stored.keep(_verified(pairs, sets, percent).join(named, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
         inner = Stored(lists.sparkSession, "components")
-        components = stored.keep(smallest_reachable(found, inner))
+        components = stored.keep(smallest_reachable(links, inner))
         inner.clear()
+        joined = components.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        found = joined if found is None else found.unionByName(joined)
         # a list that lies in one component stays so: only what was apart is looked at again
-        before, members = members, join_hot(members.drop("component"), components.withColumnRenamed("id", "doc_id"), ["doc_id"], "left")
-        members = stored.keep(_apart(members.withColumn("component", F.coalesce("component", "doc_id"))))
-        stored.drop(named, pairs, components, before)
-        if members.isEmpty():
+        moved = components.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        before, members = members, join_hot(members, moved, ["component"], "left")
+        members = stored.keep(_apart(members.select("value", "doc_id", "n", F.coalesce("root", "component").alias("component"))))
+        stored.drop(named, near, pairs, components, before)
+        apart = members.count()
+        if not apart:
             return found
-        if turn > 0 and links.limit(FEW + 1).count() <= FEW:
+        if turn > 0 and links.count() <= max(FEW, apart // FEW_PER):
             break
     # what is still apart, each member with those of other components of about its size
     level = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
@@ -505,7 +548,8 @@ def _all_links(lists: DataFrame, sets: DataFrame, percent: int, max_rounds: int,
     open_ = [once, F.col("component") != F.col("pivot_component"), _fits(percent), _near(percent, "n", "pivot_n", "parity", "pivot_parity")]
     rest = left.join(near, [*same, *open_])
     pairs = rest.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-    return found.unionByName(stored.keep(_verified(stored.keep(pairs), sets, percent)))
+    pairs = stored.keep(_still_near(stored.keep(pairs), sets, percent))
+    return found.unionByName(stored.keep(_verified(pairs, sets, percent)))
 
 
 def _apart(members: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 import collections
+import glob
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from profilewatch.llm import minhash
 from profilewatch.llm.components import smallest_reachable
+from profilewatch.llm.tables import DROP_SHUFFLES, Stored
 from tests.llm.corpus import documents, frame, lower, planted, tuples, words
 
 
@@ -131,3 +135,50 @@ def test_verified_pairs_come_back_whichever_end_is_the_hub(spark, monkeypatch, s
     pairs = spark.range(20).filter("id != 9").select(F.lit(9).cast("long").alias("a"), F.col("id").alias("b"))
     found = minhash._verified(pairs.unionByName(pairs.filter("b < 3").select(F.col("b").alias("a"), F.col("a").alias("b"))), sets, 80)
     assert sorted(tuple(r) for r in found.collect()) == sorted([(9, i) for i in range(20) if i % 5 and i != 9] + [(1, 9), (2, 9)])
+
+
+def test_wide_sketches_dismiss_large_unlike_sets_and_no_link(spark):
+    """Of 4,000 and 3,300 values 1,024 bits tell nothing; a sketch as long as the set does."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    sets, pairs = [], []
+    for at, (n, shared) in enumerate([(4000, 3600), (4000, 3560), (4200, 3700), (4000, 2800), (4000, 1200), (3300, 3250), (4000, 0)]):
+        own = [pool[:4000], np.concatenate((pool[:shared], pool[10_000 : 10_000 + n - shared]))]
+        for side, h in enumerate(own):
+            sets.append((2 * at + side, len(h), *(x.tolist() for x in (np.sort(h.view(np.int64)), minhash.parity_sketch(h), minhash.wide_sketch(h)))))
+        pairs.append((2 * at, 2 * at + 1, 100 * shared >= 80 * (8000 - 4000 + n - shared)))
+    sets.append((99, 900, *(x.tolist() for x in (np.sort(pool[:900].view(np.int64)), minhash.parity_sketch(pool[:900]))), minhash.wide_sketch(pool[:900])))
+    frame_of = spark.createDataFrame(sets, "doc_id long, n long, members array<long>, parity array<long>, wide array<long>")
+    asked = spark.createDataFrame([p[:2] for p in pairs] + [(0, 99)], "a long, b long")
+    links = {p[:2] for p in pairs if p[2]}
+    assert tuples(minhash._verified(asked, frame_of, 80), "a", "b") == sorted(links, key=repr) and len(links) == 4
+    narrow = {tuple(r) for r in minhash._candidates(asked, frame_of, 80).collect()}
+    wide = {tuple(r) for r in minhash._still_near(asked, frame_of, 80).collect()}
+    assert {(8, 9), (12, 13)} <= narrow and not {(6, 7), (8, 9), (12, 13)} & wide, (narrow, wide)
+    assert links | {(0, 99)} <= wide
+
+
+def test_rounds_end_when_few_links_are_new(spark, monkeypatch):
+    """Members that are left over are compared with each other, so fewer rounds lose no link."""
+    docs = [r[:2] for r in planted(n=120)]
+    rounds = []
+    candidates = minhash._candidates
+    monkeypatch.setattr(minhash, "_candidates", lambda *a: rounds.append(1) or candidates(*a))
+    monkeypatch.setattr(minhash, "FEW", -1)
+    monkeypatch.setattr(minhash, "FEW_PER", 1)
+    got = minhash.near_duplicates(frame(spark, planted(n=120)), shingle=2)
+    assert tuples(got, *COLUMNS) == brute(docs, 2) and len(rounds) <= 2
+
+
+def test_kept_results_leave_no_shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    before = set(glob.glob(f"{folder}/**/shuffle_*", recursive=True))
+    was = spark.conf.get(DROP_SHUFFLES, None)
+    source = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    kept = Stored(spark, "test").keep(source)
+    for _ in range(50):
+        left = set(glob.glob(f"{folder}/**/shuffle_*", recursive=True)) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == source.count() == 100 and spark.conf.get(DROP_SHUFFLES, None) == was
