@@ -97,6 +97,21 @@ def test_text_dives_where_its_lines_get_short_for_good():
     assert main_text("<p>a</p><p>b</p><p>c</p><p>d</p>") == "a b c d"
 
 
+def test_the_distribution_decides_inside_a_named_article():
+    body = f"<h1>Head</h1>{f'<p>{LONG}</p>' * 8}"
+    want = f"Head {LONG * 8}".strip()
+    marks = "".join(f"<div>{x}</div>" for x in ("A-", "A+", "12", "3", "|"))
+    for tag in ("article", "main", "div class=post-content"):
+        close = f"</{tag.split()[0]}>"
+        # rows of counters and icons fill no window, before the text and behind it
+        assert main_text(f"<{tag}>{marks}{body}{marks}{close}{FEET}") == f"| {want}"
+        assert main_text(f"<{tag}>{body}{marks}<p>{LONG}</p><p>Me</p>{close}") == f"{want} A- A+ 12 3 | {LONG}Me"
+        # lines that consist of links go wherever they stand, links in a sentence do not
+        links = "<ul><li><a href=1>More of this &amp; that</a></li><li><a href=2>One</a> | <a href=3>Something else</a></li></ul>"
+        cite = "<p>See <a href=4>the &#228;&#228;&#228;&#228; report</a>.</p>"
+        assert main_text(f"<{tag}>{body}{links}{cite}<p>{LONG}</p>{links}{close}") == f"{want} One | Something else See the ääää report. {LONG}One | Something else"
+
+
 def test_broken_pages_take_time_in_proportion():
     import time
 
