@@ -11,22 +11,27 @@ equal strings always meet:
 2. ``_meet`` (by range of anchors): pieces that are equal to another one repeat as a
    whole. Where an anchor has different pieces, or stands twice in its only one, one of
    each kind is asked for. The rest cannot repeat.
-3. ``_fetch`` (by documents) sends the bytes of the pieces asked for, and only those.
-4. ``_expand`` (by anchor) builds the transform over the different pieces and reports
+3. ``_cut`` (by documents), only for anchors with more than ``HOT`` different pieces or more
+   bytes than one transform takes: their pieces are cut by the alignment of their starts
+   (``aligned``) and meet once more by the bytes that these have in common.
+4. ``_fetch`` (by documents) sends the bytes of the pieces asked for, and only those. Where
+   aligned pieces are still of too many kinds, every start goes by itself, as a fingerprint.
+5. ``_expand`` (by anchor) builds the transform over the different pieces and reports
    which of their starts repeat.
-5. ``_remove`` (by documents) merges the reported starts into maximal runs of bytes.
+6. ``_remove`` (by documents) merges the reported starts into maximal runs of bytes.
 
 Every step carries packed arrays; equal pieces of one block are folded before they
 move. A passage that a third of all documents share has equal pieces inside and different
-ones only at its edges. An anchor with more than ``HOT`` different pieces is split by
-the alignment of its starts and by the bytes that these have in common
-(``_aligned``), so its pieces spread over many tasks. Documents are dealt once; Spark
-reads the same exchange in both steps that need the texts.
+ones only at its edges; cut by alignment, these are equal but for the few that reach over
+the edge. So no transform takes more than ``CHUNK`` bytes, however many documents share a
+passage. Buckets hold about ``GROUP_BYTES`` of text, whatever the cluster is set to.
+Documents are dealt once; Spark reads the same exchange in all steps that need the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,20 +41,25 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bwt import repeated_starts
-from .tables import shuffle_width
+from .tables import Stored, shuffle_width
 
 LENGTH = 200
 GRAM = 32
-#: Different pieces of one anchor from which on they are split further.
+#: Different pieces of one anchor from which on they are cut further.
 HOT = 4_000
-#: Starts of one alignment block of a split anchor.
+#: Starts of one alignment block of a hot anchor.
 ALIGNED = 16
 #: Starts of a piece at most; a longer run of one anchor is several pieces.
 MAX_STARTS = 2_048
-#: Bytes that one transform takes, but for a larger single anchor.
+#: Bytes that one transform takes.
 CHUNK = 1_500_000
+#: Bytes of text whose documents, or the entries of twice as many, are one bucket.
+GROUP_BYTES = 8_000_000
 
-ENTRIES, FLAGS, WANTED, PIECES = 0, 1, 2, 3
+#: Kinds of packed rows. SPLIT pieces are to be cut by alignment, SINGLE ones by start; STRINGS are those starts.
+ENTRIES, FLAGS, WANTED, PIECES, SPLIT, SINGLE, STRINGS = range(7)
+#: Bits of an entry: others of its block equal it, its anchor recurs in it, it was reported as a whole before.
+MANY, AGAIN, DONE = 1, 2, 4
 PACKED = "kind int, part int, body binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept_sha256 string, kept binary"
 DIGEST = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -74,6 +84,8 @@ def _unpack(body: bytes) -> list[np.ndarray]:
 
 def _joined(bodies: list[bytes], n: int) -> list[np.ndarray]:
     parts = [_unpack(b) for b in bodies]
+    if not parts:
+        return [np.zeros(0, np.int64) for _ in range(n)]
     return [np.concatenate([p[i] for p in parts]) for i in range(n)]
 
 
@@ -102,6 +114,14 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial prefix sums of bytes, and the powers that make their differences independent of the place."""
+    up, down = K.powers(K.BASE, len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
+    return sums, down
+
+
 def _recurs(grams: np.ndarray, anchor: np.ndarray, at: np.ndarray, reach: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Whether the anchor of a piece stands at two places of it, so that it may repeat in itself."""
     width = len(grams) - len(anchor) + 1
@@ -122,9 +142,7 @@ def pieces(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
-    up, down = K.powers(K.BASE, len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
+    sums, down = _sums(buf)
     grams = K.mix((sums[gram:] - sums[:-gram]) * down[: len(buf) - gram + 1])
     anchor = _smallest(grams, length - gram + 1)
     row_of = np.searchsorted(offs, np.arange(0, n, 1), side="right") - 1 if len(offs) > 2 else np.zeros(n, np.int64)
@@ -153,6 +171,19 @@ def _flag_rows(group_count: int, key: np.ndarray, start: np.ndarray, size: np.nd
     return _dealt(FLAGS, np.mod(key, group_count), key, start.astype("<i8"), size.astype("<u4"))
 
 
+def _folded(ranges: int, groups: int, anchor, mark, doc, start, size, bits) -> list[tuple[int, int, bytes]]:
+    """Entries in an order of anchors and marks: equal ones repeat, and the first of them speaks for all."""
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
+    many = new & ~np.append(new[1:], True)
+    # an anchor is the smallest of many hashes, so most of them are small: mixed again, they fill all ranges
+    out = _dealt(
+        ENTRIES, K.bucket_of(K.mix(anchor[new]), ranges).astype(np.int64), anchor[new], mark[new], doc[new],
+        start[new].astype("<i8"), size[new].astype("<u4"), (bits | many * np.uint8(MANY))[new],
+    )
+    return out + _flag_rows(groups, doc[~new], start[~new], size[~new])
+
+
 def _anchor(length: int, gram: int, ranges: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in K.blocks(batches, "text"):
@@ -167,122 +198,187 @@ def _anchor(length: int, gram: int, ranges: int, groups: int):
             key, start, size, anchor, mark, again = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((mark, anchor))
             key, start, size, anchor, mark, again = (c[order] for c in (key, start, size, anchor, mark, again))
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
-            following = np.append(new[1:], True)
-            many = new & ~following
-            # equal pieces of one block repeat; the first of them speaks for all
-            out = _dealt(
-                ENTRIES, K.bucket_of(anchor[new], ranges).astype(np.int64), anchor[new], mark[new], key[new],
-                start[new].astype("<i8"), size[new].astype("<u4"), many[new].astype(np.uint8) + 2 * again[new].astype(np.uint8),
-            )
-            out += _flag_rows(groups, key[~new], start[~new], size[~new])
+            out = _folded(ranges, groups, anchor, mark, key, start, size, again * np.uint8(AGAIN))
             if out:
                 yield _rows(out)
 
     return run
 
 
-def _meet(groups: int, hot: int):
+def _meet(length: int, groups: int, hot: int, finer: int):
+    """Flags of equal entries, and of those left one of each kind as ``WANTED``, or as ``finer`` where there are too many."""
+
     def run(key: tuple, packed: pa.Table) -> pa.Table:
         if key[0].as_py() == FLAGS:
             return packed
-        anchor, mark, doc, start, size, many = _joined([b.as_py() for b in packed.column("body")], 6)
+        anchor, mark, doc, start, size, bits = _joined([b.as_py() for b in packed.column("body")], 6)
         order = np.lexsort((start, doc, mark, anchor))
-        anchor, mark, doc, start, size, many = (c[order] for c in (anchor, mark, doc, start, size, many))
+        anchor, mark, doc, start, size, bits = (c[order] for c in (anchor, mark, doc, start, size, bits))
         kind = np.ones(len(anchor), dtype=bool)
         kind[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
         edges = np.append(np.flatnonzero(kind), len(anchor))
         of = np.cumsum(kind) - 1
-        whole = ((np.diff(edges) > 1) | (np.maximum.reduceat(many & 1, edges[:-1]) > 0))[of]
+        whole = ((np.diff(edges) > 1) | (np.maximum.reduceat(bits & MANY, edges[:-1]) > 0))[of]
         out = _flag_rows(groups, doc[whole], start[whole], size[whole])
         one = np.flatnonzero(kind)  # one of each kind
         first = np.concatenate(([True], anchor[one][1:] != anchor[one][:-1]))
-        kinds = np.diff(np.append(np.flatnonzero(first), len(one)))[np.cumsum(first) - 1]
-        asked = (kinds > 1) | ((many[one] > 1) & ~whole[one])
-        ask, split = one[asked], (kinds > hot)[asked]
-        out += _dealt(
-            WANTED, np.mod(doc[ask], groups), anchor[ask], doc[ask], start[ask], size[ask],
-            whole[ask].astype(np.uint8), split.astype(np.uint8),
-        )
+        at = np.flatnonzero(first)
+        kinds = np.diff(np.append(at, len(one)))
+        reach = np.add.reduceat(size[one].astype(np.int64) + length - 1, at)
+        large = ((kinds > hot) | (reach > CHUNK)) & (kinds > 1)
+        which = np.cumsum(first) - 1
+        asked = (kinds > 1)[which] | ((bits[one] & AGAIN > 0) & ~whole[one])
+        done = (whole[one] | (bits[one] & DONE > 0)).astype(np.uint8)
+        for asks, some in ((WANTED, asked & ~large[which]), (finer, asked & large[which])):
+            ask = one[some]
+            out += _dealt(asks, np.mod(doc[ask], groups), anchor[ask], doc[ask], start[ask], size[ask], done[some])
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-def _aligned(body: bytes, size: int, length: int, gram: int) -> list[tuple[int, int, int]]:
-    """Parts of a piece of a hot anchor: key, first start, number of starts.
+def _placed(docs: pa.Table, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the documents, and where in them each start lies."""
+    keys = K.id_values(docs.column("key").combine_chunks())
+    buf, offs = K.text_bytes(docs.column("text").combine_chunks())
+    by = np.argsort(keys, kind="stable")
+    return buf, offs[by[np.searchsorted(keys[by], doc)]] + start
+
+
+def _copied(buf: np.ndarray, begin: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of pieces, their bytes one after the other, and where each begins in these (one more than pieces)."""
+    ends = np.concatenate(([0], np.cumsum(reach)))
+    for lo, hi in K.steps(ends, K.SMALL_STEP):
+        at = ends[lo : hi + 1] - ends[lo]
+        yield lo, hi, buf[np.arange(int(at[-1])) + np.repeat(begin[lo:hi] - at[:-1], reach[lo:hi])], at
+
+
+def aligned(text: np.ndarray, at: np.ndarray, anchor: np.ndarray, size: np.ndarray, length: int, gram: int):
+    """Parts of pieces of hot anchors: piece, first start in it, number of starts, key, fingerprint.
 
     Equal strings hold their anchor at the same distance, so they fall into the same block
-    of distances; and they agree on the bytes that all strings of that block share.
+    of distances; and they agree on the bytes that all strings of that block share. No string
+    stands twice in one part. ``at`` tells where pieces begin in ``text``, with the end appended.
     """
-    raw = np.frombuffer(body, np.uint8)
-    up, down = K.powers(K.BASE, len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
-    grams = K.mix((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
-    width = length - gram + 1
+    sums, down = _sums(text)
+    grams = K.mix((sums[gram:] - sums[:-gram]) * down[: len(text) - gram + 1])
+    # a gram over the end of a piece lies behind the anchors of all its strings
+    spots = np.flatnonzero(grams == np.repeat(anchor, np.diff(at))[: len(grams)])
+    owner = np.repeat(np.arange(len(size)), size)
+    start = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    here = at[owner] + start
+    spot = spots[np.searchsorted(spots, here)]  # the first place of the anchor inside each string
+    block = (spot - here) // ALIGNED
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(owner)))
+    owner, start, here, spot, block = (c[new] for c in (owner, start, here, spot, block))
+    latest = spot - block * ALIGNED  # the last start of the whole block
+    core = np.maximum(latest - ALIGNED + 1 + length, latest)
+    key = K.mix((sums[core] - sums[latest]) * down[latest] + (block + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    mark = K.mix((sums[here + count + length - 1] - sums[here]) * down[here] + count.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return owner, start, count, key, mark
+
+
+def _cut(length: int, gram: int, ranges: int, groups: int):
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and docs.num_rows:
+            anchor, doc, start, size, done = _joined(asked.column("body").to_pylist(), 5)
+            size = size.astype(np.int64)
+            buf, begin = _placed(docs, doc, start)
+            found = []
+            for lo, hi, text, at in _copied(buf, begin, size + length - 1):
+                owner, first, count, key, mark = aligned(text, at, anchor[lo:hi], size[lo:hi], length, gram)
+                owner += lo
+                found.append((key, mark, doc[owner], start[owner] + first, count, done[owner] * np.uint8(DONE)))
+            key, mark, doc, start, count, bits = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((start, doc, mark, key))
+            out = _folded(ranges, groups, *(c[order] for c in (key, mark, doc, start, count, bits)))
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
+
+
+def _sent(raw: memoryview, begin: np.ndarray, length: int, parts: int, anchor, doc, start, size, done) -> list[tuple[int, int, bytes]]:
+    """Pieces with their bytes, dealt by anchor."""
+    part = ((anchor >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges, keys = K.cuts(part[order])
     out = []
-    # the first place of the smallest gram inside each string
-    low = grams == grams[: width + size - 1].min()
-    spots = np.flatnonzero(low)
-    at = spots[np.searchsorted(spots, np.arange(size))]
-    distance = at - np.arange(size)
-    block = distance // ALIGNED
-    new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (at[1:] != at[:-1]))))
-    for a, b in zip(new.tolist(), np.append(new[1:], size).tolist(), strict=True):
-        latest = int(at[a]) - int(block[a]) * ALIGNED  # the last start of the whole block
-        earliest = latest - ALIGNED + 1
-        core = body[latest : earliest + length]
-        key = int.from_bytes(hashlib.blake2b(core + bytes([int(block[a]) & 255]), digest_size=8).digest(), "little")
-        out.append((key, a, b - a))
+    for k, a, b in zip(keys.tolist(), edges[:-1], edges[1:], strict=True):
+        mine = order[a:b]
+        head = _pack(*(c[mine] for c in (anchor, doc, start, size, done)))
+        spans = zip(begin[mine].tolist(), (begin[mine] + size[mine] + length - 1).tolist(), strict=True)
+        out.append((PIECES, k, b"".join([np.array([len(head)], "<i8").tobytes(), head, *(raw[x:y] for x, y in spans)])))
     return out
 
 
-def _fetch(length: int, gram: int, parts: int):
+def _strings(buf: np.ndarray, begin: np.ndarray, length: int, parts: int, groups: int, doc, start, size, done) -> list[tuple[int, int, bytes]]:
+    """Every start of the pieces by the fingerprint of its string; equal ones are folded."""
+    found = []
+    for lo, hi, text, at in _copied(buf, begin, size + length - 1):
+        sums, down = _sums(text)
+        many = size[lo:hi]
+        owner = np.repeat(np.arange(hi - lo), many)
+        step = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+        here = at[owner] + step
+        owner += lo
+        found.append((K.mix((sums[here + length] - sums[here]) * down[here]), doc[owner], start[owner] + step, done[owner]))
+    mark, doc, start, done = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((start, doc, mark))
+    mark, doc, start, done = (c[order] for c in (mark, doc, start, done))
+    new = np.ones(len(mark), dtype=bool)
+    new[1:] = mark[1:] != mark[:-1]
+    many = new & ~np.append(new[1:], True)
+    bits = many * np.uint8(MANY) | done * np.uint8(DONE)
+    out = _dealt(STRINGS, K.bucket_of(mark[new], parts).astype(np.int64), mark[new], doc[new], start[new], bits[new])
+    rest = ~new & (done == 0)
+    return out + _flag_rows(groups, doc[rest], start[rest], np.ones(int(rest.sum())))
+
+
+def _fetch(length: int, parts: int, groups: int):
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        out, wanted = [], []
+        bodies: dict[int, list[bytes]] = {FLAGS: [], WANTED: [], SINGLE: []}
         for kind, body in zip(asked.column("kind").to_pylist(), asked.column("body").to_pylist(), strict=True):
-            if kind == FLAGS:
-                out.append((FLAGS, asked.column("g")[0].as_py(), body))
-            else:
-                wanted.append(body)
-        if wanted and docs.num_rows:
-            anchor, doc, start, size, whole, split = _joined(wanted, 6)
-            keys = K.id_values(docs.column("key").combine_chunks())
-            text = docs.column("text").combine_chunks()
-            buf, offs = K.text_bytes(text)
-            raw = memoryview(buf)
-            by = np.argsort(keys, kind="stable")
-            row = by[np.searchsorted(keys[by], doc)]
-            begin = offs[row] + start
-            made: dict[int, list] = {}
-            for i in range(len(doc)):
-                body = bytes(raw[begin[i] : begin[i] + int(size[i]) + length - 1])
-                if split[i]:
-                    cuts = _aligned(body, int(size[i]), length, gram)
+            bodies[kind].append(body)
+        out = [(FLAGS, asked.column("g")[0].as_py(), body) for body in bodies[FLAGS]]
+        for kind in (WANTED, SINGLE):
+            if bodies[kind] and docs.num_rows:
+                anchor, doc, start, size, done = _joined(bodies[kind], 5)
+                buf, begin = _placed(docs, doc, start)
+                if kind == WANTED:
+                    out += _sent(memoryview(buf), begin, length, parts, anchor, doc, start, size, done)
                 else:
-                    cuts = [(int(anchor[i]), 0, int(size[i]))]
-                for key, a, n in cuts:
-                    made.setdefault((key >> 7) % parts, []).append((key, int(doc[i]), int(start[i]) + a, n, int(whole[i]), body[a : a + n + length - 1]))
-            for part, rows in made.items():
-                key, own, at, n, full, bodies = zip(*rows, strict=True)
-                arrays = [np.array(key, "<u8"), np.array(own, "<i8"), np.array(at, "<i8"), np.array(n, "<u4"), np.array(full, np.uint8)]
-                head = _pack(*arrays)
-                out.append((PIECES, part, np.array([len(head)], "<i8").tobytes() + head + b"".join(bodies)))
+                    out += _strings(buf, begin, length, parts, groups, doc, start, size.astype(np.int64), done)
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
+def _repeated_strings(groups: int, packed: pa.Table) -> list[tuple[int, int, bytes]]:
+    """Flags of the starts whose fingerprints meet."""
+    mark, doc, start, bits = _joined(packed.column("body").to_pylist(), 4)
+    order = np.argsort(mark, kind="stable")
+    edges, _ = K.cuts(mark[order])
+    size = np.diff(edges)
+    twice = np.repeat((size > 1) | (np.maximum.reduceat(bits[order] & MANY, edges[:-1]) > 0), size)
+    told = order[twice & (bits[order] & DONE == 0)]
+    return _flag_rows(groups, doc[told], start[told], np.ones(len(told)))
+
+
 def _expand(length: int, groups: int):
     def run(key: tuple, packed: pa.Table) -> pa.Table:
         if key[0].as_py() == FLAGS:
             return packed
+        if key[0].as_py() == STRINGS:
+            return pa.Table.from_batches([_rows(_repeated_strings(groups, packed))])
         columns, texts = [], []
-        for body in packed.column("body").to_pylist():
-            (n,) = np.frombuffer(body, "<i8", 1)
-            columns.append(_unpack(body[8 : 8 + n]))
-            texts.append(np.frombuffer(body, np.uint8, offset=8 + int(n)))
+        for body in packed.column("body"):
+            raw = body.as_buffer()
+            (n,) = np.frombuffer(raw, "<i8", 1)
+            columns.append(_unpack(raw[8 : 8 + int(n)].to_pybytes()))
+            texts.append(np.frombuffer(raw, np.uint8, offset=8 + int(n)))
         anchor, doc, start, size, whole = (np.concatenate([c[i] for c in columns]) for i in range(5))
         text = np.concatenate(texts)
         reach = size.astype(np.int64) + length - 1
@@ -314,42 +410,56 @@ def _expand(length: int, groups: int):
     return run
 
 
+def _flagged(keys: np.ndarray, offs: np.ndarray, length: int, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where flagged runs begin and end in the bytes of the documents, in the order of their begins."""
+    doc, start, size = _joined(bodies, 3)
+    by = np.argsort(keys, kind="stable")
+    ordered = keys[by]
+    lo, hi = np.searchsorted(ordered, doc, "left"), np.searchsorted(ordered, doc, "right")
+    many = hi - lo
+    rows = by[np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+    begin = offs[rows] + np.repeat(start, many)
+    end = begin + np.repeat(size.astype(np.int64), many) + length - 1
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order]
+
+
 def _remove(length: int, with_text: bool):
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        n = docs.num_rows
         keys = K.id_values(docs.column("key").combine_chunks())
-        buf, offs = K.text_bytes(docs.column("text").combine_chunks())
-        gone = np.zeros(len(buf), dtype=bool)
-        if n and flags.num_rows:
-            doc, start, size = _joined(flags.column("body").to_pylist(), 3)
-            by = np.argsort(keys, kind="stable")
-            ordered = keys[by]
-            lo, hi = np.searchsorted(ordered, doc, "left"), np.searchsorted(ordered, doc, "right")
-            rows = by[np.repeat(lo, hi - lo) + np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
-            begin = offs[rows] + np.repeat(start, hi - lo)
-            end = begin + np.repeat(size.astype(np.int64), hi - lo) + length - 1
-            depth = np.zeros(len(buf) + 1, dtype=np.int32)
-            np.add.at(depth, begin, 1)
-            np.add.at(depth, end, -1)
-            gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
-        kept, raw = ~gone, buf
-        left = raw[kept].tobytes()
-        at = np.concatenate(([0], np.cumsum(kept)))[offs]
-        turn = np.zeros(len(buf) + 1, dtype=bool)
-        turn[:-1] = gone & ~np.concatenate(([False], gone[:-1]))[: len(gone)]
-        turn[offs[:-1]] |= np.append(gone, False)[offs[:-1]]
-        spans = np.diff(np.concatenate(([0], np.cumsum(turn[:-1])))[offs])
-        size = np.diff(offs)
-        cut = []
-        for i in range(n if with_text else 0):
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone[offs[i] : offs[i + 1]].astype(np.int8), [0]))))
-            cut.append(edge.reshape(-1, 2).tolist())
-        texts = [left[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        buf, every = K.text_bytes(docs.column("text").combine_chunks())
+        begin, end = _flagged(keys, every, length, flags.column("body").to_pylist())
+        sizes, removed, spans, hashes, cuts, texts = [], [], [], [], [], []
+        for lo, hi in K.steps(every, K.SMALL_STEP):
+            base, offs = every[lo], every[lo : hi + 1] - every[lo]
+            raw = buf[base : every[hi]]
+            mine = slice(*np.searchsorted(begin, (base, every[hi])))  # a run stays inside its text
+            depth = np.bincount(begin[mine] - base, minlength=len(raw) + 1) - np.bincount(end[mine] - base, minlength=len(raw) + 1)
+            gone = np.cumsum(depth[:-1]) > 0
+            kept = ~gone
+            left = raw[kept].tobytes()
+            at = np.concatenate(([0], np.cumsum(kept)))[offs]
+            turn = np.zeros(len(raw) + 1, dtype=bool)
+            turn[:-1] = gone & ~np.concatenate(([False], gone[:-1]))[: len(gone)]
+            turn[offs[:-1]] |= np.append(gone, False)[offs[:-1]]
+            size = np.diff(offs)
+            sizes.append(size)
+            removed.append(size - np.diff(at))
+            spans.append(np.diff(np.concatenate(([0], np.cumsum(turn[:-1])))[offs]))
+            for i in range(hi - lo):
+                text = left[at[i] : at[i + 1]]
+                hashes.append(hashlib.sha256(text).hexdigest())
+                if with_text:
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone[offs[i] : offs[i + 1]].astype(np.int8), [0]))))
+                    cuts.append(edge.reshape(-1, 2).tolist())
+                    texts.append(text)
+        n = docs.num_rows
+        none = np.zeros(0, np.int64)
         return pa.table(
             [
-                docs.column("doc_id"), pa.array(size, pa.int64()), pa.array(size - np.diff(at), pa.int64()), pa.array(spans, pa.int64()),
-                pa.array(cut if with_text else [None] * n, pa.list_(pa.list_(pa.int64()))),
-                pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                docs.column("doc_id"), *(pa.array(np.concatenate([none, *c]), pa.int64()) for c in (sizes, removed, spans)),
+                pa.array(cuts if with_text else [None] * n, pa.list_(pa.list_(pa.int64()))),
+                pa.array(hashes, pa.string()),
                 pa.array(texts if with_text else [None] * n, pa.binary()),
             ],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"],
@@ -377,15 +487,24 @@ def remove_repeats(
     empty table gives an empty result.
     """
     gram = gram or max(4, min(GRAM, length // 2))
-    width = shuffle_width(docs.sparkSession)
-    ranges, groups, parts = max(64, width), max(8, 2 * width), max(16, 2 * width)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
+    width = shuffle_width(docs.sparkSession)
+    size = keyed.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    groups = max(16, 2 * width, math.ceil(size / GROUP_BYTES))
+    ranges, parts = max(64, groups // 2), groups
     dealt = keyed.withColumn("g", F.pmod("key", F.lit(groups)).cast("int")).groupBy("g")
+
+    def asked(rows: DataFrame):
+        return rows.select("kind", F.col("part").alias("g"), "body").groupBy("g")
+
     entries = keyed.select("key", "text").mapInArrow(_anchor(length, gram, ranges, groups), PACKED)
-    met = entries.groupBy("kind", "part").applyInArrow(_meet(groups, hot), PACKED)
-    asked = met.select("kind", F.col("part").alias("g"), "body").groupBy("g")
-    fetched = dealt.cogroup(asked).applyInArrow(_fetch(length, gram, parts), PACKED)
+    met = Stored(docs.sparkSession, "suffix-dedup").keep(entries.groupBy("kind", "part").applyInArrow(_meet(length, groups, hot, SPLIT), PACKED))
+    wanted, hottest = met.filter(F.col("kind") == WANTED), met.filter(F.col("kind") == SPLIT)
+    if not hottest.isEmpty():
+        cut = dealt.cogroup(asked(hottest)).applyInArrow(_cut(length, gram, ranges, groups), PACKED)
+        wanted = wanted.unionByName(cut.groupBy("kind", "part").applyInArrow(_meet(length, groups, hot, SINGLE), PACKED))
+    fetched = dealt.cogroup(asked(wanted)).applyInArrow(_fetch(length, parts, groups), PACKED)
     found = fetched.groupBy("kind", "part").applyInArrow(_expand(length, groups), PACKED)
-    flags = found.select(F.col("part").alias("g"), "body").groupBy("g")
+    flags = asked(found.unionByName(met.filter(F.col("kind") == FLAGS)))
     return dealt.cogroup(flags).applyInArrow(_remove(length, with_text), RESULT)

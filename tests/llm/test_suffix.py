@@ -84,3 +84,75 @@ def test_a_transform_sorts_no_three_arrays(monkeypatch):
     monkeypatch.setattr(np, "lexsort", None)
     ends = np.arange(300, len(text) + 1, 300)
     assert repeated_starts(text, ends, 200).reshape(-1, 300)[:, :101].all()
+
+
+def staged(texts, length, gram, hot, ranges, groups, parts):
+    """The steps up to the flags, without Spark: starts that repeat by text, and the rows that left the first step."""
+    import pyarrow as pa
+
+    docs = pa.table([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "text"])
+
+    def grouped(rows, run):
+        dealt = collections.defaultdict(list)
+        for kind, part, body in rows:
+            dealt[kind, part].append((kind, part, body))
+        return [row for k, own in dealt.items() for row in listed(run((pa.scalar(k[0]), pa.scalar(k[1])), suffix._rows(own)))]
+
+    def cogrouped(rows, run):
+        out = []
+        for g in sorted({part for _, part, _ in rows}):
+            own = pa.Table.from_batches([suffix._rows([row for row in rows if row[1] == g])]).rename_columns(["kind", "g", "body"])
+            out += listed(run(docs.filter(pa.array([i % groups == g for i in range(len(texts))])), own))
+        return out
+
+    def listed(found):
+        return list(zip(*(found.column(c).to_pylist() for c in ("kind", "part", "body")), strict=True))
+
+    first = [row for batch in suffix._anchor(length, gram, ranges, groups)(iter(docs.to_batches())) for row in listed(batch)]
+    met = grouped(first, suffix._meet(length, groups, hot, suffix.SPLIT))
+    cut = cogrouped([row for row in met if row[0] == suffix.SPLIT], suffix._cut(length, gram, ranges, groups))
+    asked = [row for row in met if row[0] == suffix.WANTED] + grouped(cut, suffix._meet(length, groups, hot, suffix.SINGLE))
+    found = grouped(cogrouped(asked, suffix._fetch(length, parts, groups)), suffix._expand(length, groups))
+    starts = collections.defaultdict(set)
+    for kind, _, body in found + [row for row in met if row[0] == suffix.FLAGS]:
+        assert kind == suffix.FLAGS
+        for doc, start, size in zip(*(c.tolist() for c in suffix._unpack(body)), strict=True):
+            starts[doc].update(range(start, start + size))
+    return starts, first
+
+
+def test_a_passage_of_many_texts_fills_no_transform(monkeypatch):
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, taken = words(600), []
+    repeated = suffix.repeated_starts
+    monkeypatch.setattr(suffix, "repeated_starts", lambda text, *a: taken.append(len(text)) or repeated(text, *a))
+    monkeypatch.setattr(suffix, "CHUNK", 20_000)
+    for n in (200, 800):
+        # edges that 16 starts reach over alike for some, and for none
+        texts = [words(rng.randint(0, 150)) + rng.choice(["", "xyz"]) + passage + words(rng.randint(0, 150)) for _ in range(n)]
+        taken.clear()
+        starts, _ = staged(texts, 200, 32, 50, 8, 4, 4)
+        count = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+        for doc, t in enumerate(texts):
+            assert starts[doc] == {i for i in range(len(t) - 199) if count[t[i : i + 200]] > 1}
+        assert max(taken, default=0) <= suffix.CHUNK
+
+
+def test_anchors_fill_all_ranges():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(100)]
+    _, first = staged(texts, 200, 32, 50, 64, 4, 4)
+    sizes = [len(suffix._unpack(body)[0]) for kind, _, body in first if kind == suffix.ENTRIES]
+    assert len(sizes) == 64 and max(sizes) < 3 * sum(sizes) / 64
+
+
+def test_buckets_follow_the_bytes_of_the_input(spark, monkeypatch):
+    rows = planted(n=60)
+    anchor, asked = suffix._anchor, []
+    monkeypatch.setattr(suffix, "GROUP_BYTES", 250)
+    monkeypatch.setattr(suffix, "_anchor", lambda *a: asked.append(a) or anchor(*a))
+    got = suffix.remove_repeats(frame(spark, rows), length=20, hot=5)
+    assert tuples(got, *suffix.DIGEST) == brute([(r[0], (r[1] or "").encode()) for r in rows], 20)
+    size = sum(len((r[1] or "").encode()) for r in rows)
+    assert asked[0][3] >= size / 250 and asked[0][2] >= size // 500
