@@ -413,6 +413,12 @@ def _expand(length: int, groups: int):
 def _flagged(keys: np.ndarray, offs: np.ndarray, length: int, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Where flagged runs begin and end in the bytes of the documents, in the order of their begins."""
     doc, start, size = _joined(bodies, 3)
+    # rows of one id and text are told once for each of them, and each time about all of them
+    order = np.lexsort((size, start, doc))
+    doc, start, size = (c[order] for c in (doc, start, size))
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (size[1:] != size[:-1])
+    doc, start, size = doc[new], start[new], size[new]
     by = np.argsort(keys, kind="stable")
     ordered = keys[by]
     lo, hi = np.searchsorted(ordered, doc, "left"), np.searchsorted(ordered, doc, "right")

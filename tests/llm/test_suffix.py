@@ -156,3 +156,16 @@ def test_buckets_follow_the_bytes_of_the_input(spark, monkeypatch):
     assert tuples(got, *suffix.DIGEST) == brute([(r[0], (r[1] or "").encode()) for r in rows], 20)
     size = sum(len((r[1] or "").encode()) for r in rows)
     assert asked[0][3] >= size / 250 and asked[0][2] >= size // 500
+
+
+def test_flags_of_equal_rows_do_not_multiply():
+    n = 3_000
+    body = suffix._pack(np.full(n, 7), np.full(n, 2), np.full(n, 5, "<u4"))
+    begin, end = suffix._flagged(np.full(n, 7), np.arange(n + 1) * 40, 20, [body, body])
+    assert begin.tolist() == [40 * i + 2 for i in range(n)] and (end - begin == 24).all()
+
+
+def test_equal_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "xyzuvw" * 9)] * 400 + [(1, "abc" + "d" * 15)], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix.remove_repeats(df, length=20).collect())
+    assert got == {(None, 54, 54): 400, (1, 18, 0): 1}
